@@ -94,16 +94,17 @@ def share(arr, floor: float = 0.0) -> Column:
 # ---- corrected moments --------------------------------------------------------------------------
 
 def skew_corrected(n, g1) -> Column:
-    """Bias-corrected skewness from the population form; 0 where undefined."""
+    """Bias-corrected skewness from the population form (as it is for n <= 2); 0 where undefined."""
     n = c(n).cast("double")
-    return F.coalesce(F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * c(g1)), F.lit(0.0))
+    return F.coalesce(F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * c(g1)).otherwise(c(g1)), F.lit(0.0))
 
 
 def kurtosis_corrected(n, g2, fisher: bool = False) -> Column:
-    """Bias-corrected kurtosis from the population excess; Pearson form unless ``fisher``; 0 where undefined."""
+    """Bias-corrected kurtosis from the population excess (as it is for n <= 3); Pearson form unless ``fisher``;
+    0 where undefined."""
     n = c(n).cast("double")
-    val = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * c(g2) + 6) + (0.0 if fisher else 3.0)
-    return F.coalesce(F.when(n > 3, val), F.lit(0.0))
+    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * c(g2) + 6)
+    return F.coalesce(F.when(n > 3, corrected).otherwise(c(g2)) + (0.0 if fisher else 3.0), F.lit(0.0))
 
 
 # ---- windows ------------------------------------------------------------------------------------

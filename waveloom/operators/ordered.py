@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import c, over
@@ -46,14 +46,14 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "
     placed = _spread(df, keys, order)
     # one row per partition: bounded by the shuffle width, not by the data
     sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(over([], F.col("_pid")).rowsBetween(-(1 << 31), -1)), F.lit(0))
+    before = F.coalesce(F.sum("_n").over(over([], F.col("_pid")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_pid", before.alias("_before"))
-    at = placed.join(F.broadcast(starts), "_pid").withColumn("_at", F.col("_before") + F.col("_idx"))
-    first = at.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    at = placed.join(F.broadcast(starts), "_pid").withColumn("_place", F.col("_before") + F.col("_idx"))
+    first = at.groupBy(*keys).agg(F.min("_place").alias("_first"))
     return (
         _same(at, first, keys)
-        .withColumn(name, (F.col("_at") - F.col("_first")).cast("long"))
-        .drop("_pid", "_idx", "_before", "_at", "_first")
+        .withColumn(name, (F.col("_place") - F.col("_first")).cast("long"))
+        .drop("_pid", "_idx", "_before", "_place", "_first")
     )
 
 
@@ -68,11 +68,11 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[st
     """
     src = df.select("*", *[col.alias(f"_v_{name}") for name, (_, col) in totals.items()])
     placed = _spread(src, keys, order)
-    here = over(["_pid", *keys], F.col("_idx")).rowsBetween(-(1 << 31), 0)
+    here = over(["_pid", *keys], F.col("_idx")).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select("*", *[_MERGE[how](f"_v_{n}").over(here).alias(f"_l_{n}") for n, (how, _) in totals.items()])
     parts = placed.groupBy("_pid", *keys).agg(*[_MERGE[how](f"_v_{n}").alias(f"_p_{n}") for n, (how, _) in totals.items()])
     # one row per (partition, key): a key cannot have more rows here than there are partitions
-    prior = over(list(keys), F.col("_pid")).rowsBetween(-(1 << 31), -1)
+    prior = over(list(keys), F.col("_pid")).rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select("_pid", *keys, *[_MERGE[how](f"_p_{n}").over(prior).alias(f"_c_{n}") for n, (how, _) in totals.items()])
     out = _same(local, carry, ["_pid", *keys])
     for n, (how, _) in totals.items():

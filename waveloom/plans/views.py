@@ -51,7 +51,7 @@ class Tables:
         def build():
             e = self.table("events").select(
                 (F.col("user_id") % 20).alias("subject_id"), F.col("event_type").alias("channel"),
-                "ts", "event_id", "value")
+                "ts", "event_id", (F.col("value") - 50).alias("value"))
             numbered = positions(e, ["subject_id", "channel"], ["ts", "event_id"], "t")
             size = (numbered.groupBy("subject_id", "channel").agg(F.count("*").alias("n"))
                     .groupBy("subject_id").agg(F.min("n").alias("n")))
@@ -163,7 +163,7 @@ class Tables:
 VIEW_SQL = {
     "v_samples": """
         SELECT e.*, n.n FROM (
-          SELECT user_id % 20 AS subject_id, event_type AS channel, value,
+          SELECT user_id % 20 AS subject_id, event_type AS channel, value - 50 AS value,
                  row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts, event_id) - 1 AS t FROM events) e
         JOIN (SELECT subject_id, min(k) AS n FROM (
                 SELECT user_id % 20 AS subject_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY 1) n
