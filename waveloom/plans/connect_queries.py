@@ -114,9 +114,9 @@ def _(t):
     return con.wavelet_coherence(t.windows, FS)
 
 
-_METRICS = f"""(SELECT *, 'pearson' AS metric, band FROM ({_PEARSON}), (VALUES ('low'), ('high')) b(band)
-    UNION ALL SELECT *, 'spearman', band FROM ({_SPEARMAN}), (VALUES ('low'), ('high')) b(band)
-    UNION ALL SELECT * EXCLUDE (band), 'coherence', band FROM ({_COH}))"""
+_METRICS = f"""(SELECT {WK}, i, j, value, 'pearson' AS metric, band FROM ({_PEARSON}), (VALUES ('low'), ('high')) b(band)
+    UNION ALL SELECT {WK}, i, j, value, 'spearman', band FROM ({_SPEARMAN}), (VALUES ('low'), ('high')) b(band)
+    UNION ALL SELECT {WK}, i, j, value, 'coherence', band FROM ({_COH}))"""
 
 
 def _metrics(t):

@@ -558,7 +558,7 @@ def _(t):
                                focus="mid", high="high", low="low")
 
 
-@query("sig11_feature_set", "subject_id:i segment_id:i channel:s ord:i family:s feature:s value:d9", f"""
+@query("sig11_feature_set", "subject_id:i segment_id:i channel:s ord:i family:s feature:s value:d10", f"""
     WITH f AS (SELECT {WCH}, var_pop(value) AS v0, var_pop(d) AS v1, var_pop(dd) AS v2, avg(value) AS mean, stddev_pop(value) AS std, skewness(value) AS skew,
         kurtosis(value) + 3 AS kurtosis, min(value) AS min, max(value) AS max, max(value) - min(value) AS ptp, sqrt(avg(value * value)) AS rms,
         sum(abs(d)) / 7 AS line_length, sum(CASE WHEN (value < 0) <> (prev < 0) THEN 1 ELSE 0 END) / 7 AS zc FROM (
@@ -593,7 +593,7 @@ def _(t):
     return rec.resample_windows(t.windows, FS, 12.0).select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
 
 
-@query("sig14_node_features", "subject_id:i segment_id:i channel:s feature:i value:d9", f"""
+@query("sig14_node_features", "subject_id:i segment_id:i channel:s feature:i value:d10", f"""
     WITH b AS (SELECT {WCH}, band, log10(sum(p)) AS v FROM ({psd_sql(8)}), {_BANDS_SQL} WHERE hz >= lo AND hz <= hi GROUP BY {WCH}, band)
     SELECT {WCH}, CASE band WHEN 'low' THEN 0 WHEN 'mid' THEN 1 ELSE 2 END AS feature, v AS value FROM b
     UNION ALL SELECT {WCH}, u.f, u.v FROM {_HJ} h, LATERAL (VALUES (3, v0), (4, sqrt(v1 / v0)), (5, sqrt(v2 / v1) / sqrt(v1 / v0))) u(f, v)""")
