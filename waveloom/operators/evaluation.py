@@ -208,10 +208,16 @@ def class_scores(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return s.select(*keys, "class", "p", F.when(F.col("true_label") == F.col("class"), 1).otherwise(0).alias("pos"))
 
 
-def score_ties(preds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct scores per class with ties, positives, and counts below: the basis of AUC, AP and curves."""
+def score_ties(preds: DataFrame, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """Distinct scores per class with ties, positives, and counts below: the basis of AUC, AP and curves.
+
+    ``digits`` rounds scores first, so that averages equal up to the order of summation count as ties.
+    """
     k = [*keys, "class"]
-    t = tie_table(class_scores(preds, keys), k, "p", {"pos": F.col("pos")})
+    s = class_scores(preds, keys)
+    if digits is not None:
+        s = s.withColumn("p", F.round("p", digits))
+    t = tie_table(s, k, "p", {"pos": F.col("pos")})
     n = t.groupBy(*k).agg(F.sum("ties").alias("_N"), F.sum("pos").alias("_P"))
     return attach(t, n, k)
 
@@ -321,7 +327,7 @@ def metric_bundle(preds: DataFrame, n_classes: int, keys: Sequence[str] = (), *,
     first voted to subjects."""
     p = soft_vote(preds, n_classes, vote_keys) if vote_keys else preds
     base = summary_rates(confusion(p, keys=keys), keys)
-    t = score_ties(p, keys)
+    t = score_ties(p, keys, 12 if vote_keys else None)
     parts = [brier(p, keys), over_classes(roc_auc(t, keys), "roc_auc", keys), over_classes(pr_auc(t, keys), "pr_auc", keys)]
     for d in parts:
         base = attach(base, d, keys)

@@ -185,7 +185,7 @@ def _(t):
 
 
 def _bundle_sql():
-    sc = f"(SELECT split, subject_id, true_label, pred_label, k, CASE k WHEN 0 THEN prob_0 WHEN 1 THEN prob_1 ELSE prob_2 END AS p FROM {_VOTED}, range(3) r(k))"
+    sc = f"(SELECT split, subject_id, true_label, pred_label, k, round(CASE k WHEN 0 THEN prob_0 WHEN 1 THEN prob_1 ELSE prob_2 END, 12) AS p FROM {_VOTED}, range(3) r(k))"
     return f"""WITH r AS ({rates_sql('split', _VOTED)}),
     a AS (SELECT split, avg(auc) AS roc_auc_macro_ovr FROM (SELECT split, k, (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (count(*) - sum(pos))) AS auc FROM (
       SELECT split, k, CASE WHEN true_label = k THEN 1 ELSE 0 END AS pos, rank() OVER (PARTITION BY split, k ORDER BY p) + (count(*) OVER (PARTITION BY split, k, p) - 1) / 2 AS r FROM {sc}) GROUP BY 1, 2) GROUP BY 1),
