@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, c, over, pick_first, random_below, random_hex, random_unit
 from . import blocks as B
+from .landing import land
 from .ordered import attach, positions, quantiles
 
 S, SEG = "subject_id", "segment_id"
@@ -76,7 +77,7 @@ def noise_scores(windows: DataFrame, *, node: Sequence[str] = NODE_NOISE, conn:
                  conn_weight: float = 0.5, temperature: float = 1.0, min_weight: float = 0.05) -> DataFrame:
     """QC09: positive robust z of each column within the subject; means of node and connectivity z's; weighted mix; and the
     sampling weight clip(exp(-score / T), min, 1). All columns go through one ranking pass."""
-    long = windows.unpivot([S, SEG], [*node, *conn], "metric", "value")
+    long = land(windows.unpivot([S, SEG], [*node, *conn], "metric", "value"))
     z = robust_zscore(long, [S, "metric"], positive=True)
     g = z.groupBy(S, SEG).agg(F.avg(F.when(F.col("metric").isin(list(node)), F.col("z"))).alias("node_noise_score"),
                               F.avg(F.when(F.col("metric").isin(list(conn)), F.col("z"))).alias("connectivity_noise_score"))
@@ -87,10 +88,11 @@ def noise_scores(windows: DataFrame, *, node: Sequence[str] = NODE_NOISE, conn:
 
 def anomaly_labels(windows: DataFrame, features: Sequence[str], *, trees: int = 200, tau: float = 3.5, seed: int = 42) -> DataFrame:
     """QC10: isolation forest per subject on standardized features; severity = -score; clean when at most the adaptive cut."""
+    windows = land(windows.select(S, SEG, *features))
     st = windows.groupBy(S).agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])
     z = [(F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") < EPS, 1.0).otherwise(F.col(f"_s_{f}")) for f in features]
     v = windows.join(st, S).select(S, SEG, F.array(*z).alias("x"))
-    scored = B.unpack(B.isolation_forest(B.pack(v, [S], [SEG]), [S], trees=trees, seed=seed), [S], ["iforest_score"]).withColumn("severity", -F.col("iforest_score"))
+    scored = land(B.unpack(B.isolation_forest(B.pack(v, [S], [SEG]), [S], trees=trees, seed=seed), [S], ["iforest_score"]).withColumn("severity", -F.col("iforest_score")))
     cut = mad_threshold(scored, [S], "severity", tau)
     return scored.join(cut, S).withColumn("iforest_is_clean", F.col("severity") <= F.col("threshold"))
 

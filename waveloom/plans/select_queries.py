@@ -189,7 +189,7 @@ def _by_subject(t):
     return sel.manifest_by_subject(_manifest(t), ["distance"], deny=deny)
 
 
-@query("qc16_manifest_by_subject", "subject_id:i num_segments_total:i num_segments_clean:i num_segments_removed:i removed_fraction:d num_clusters_total:i num_artifact_clusters:i mean_distance_all:d9 mean_distance_clean:d9 mean_distance_removed:d9", f"SELECT * FROM {_BYSUB}")
+@query("qc16_manifest_by_subject", "subject_id:i num_segments_total:i num_segments_clean:i num_segments_removed:i removed_fraction:d9 num_clusters_total:i num_artifact_clusters:i mean_distance_all:d10 mean_distance_clean:d10 mean_distance_removed:d10", f"SELECT * FROM {_BYSUB}")
 def _(t):
     return _by_subject(t)
 
