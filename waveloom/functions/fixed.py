@@ -24,14 +24,14 @@ GROUP_CODES = {
     "all2": {"C": 0, "A": 1, "F": 1},
     "adhc": {"C": 0, "A": 1},
     "ftdhc": {"C": 0, "F": 1},
-    "adftd": {"A": 0, "F": 1},
+    "adftd": {"A": 1, "F": 0},
 }
 
 # Symptom words that decide the class, first rule that matches wins.
 SYMPTOM_RULES = [
     ("Healthy", ["normal", "smi"]),
     ("Dementia", ["dementia", "ad", "load"]),
-    ("MCI", ["mci", "mci_amnestic", "mci_amnestic_rf", "mci_non_amnestic", "mci_multi_domain"]),
+    ("MCI", ["mci", "mci_amnestic", "mci_vascular"]),
 ]
 
 # Upper limits for window quality, strict.

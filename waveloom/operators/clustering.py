@@ -498,7 +498,7 @@ def combined_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("combined_score", s)
 
 
-def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int) -> DataFrame:
+def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int, max_iter: int = 30) -> DataFrame:
     """CLU19: per fold and representation, subject-level rates of a balanced linear probe, with the stability of the graphs.
 
     ``vectors`` maps a representation (node flat, node mean, edge, combined) to rows (subject_id, label, x)."""
@@ -506,8 +506,8 @@ def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability
     for fold in range(n_folds):
         role = folds.filter(F.col("fold") == fold).select(S, "role")
         for name, v in vectors.items():
-            r = v.join(role, S)
-            p = linear_probe(r.filter("role = 'train'"), r.filter("role = 'test'"), balanced=True)
+            r = land(v.join(role, S))
+            p = linear_probe(r.filter("role = 'train'"), r.filter("role = 'test'"), balanced=True, max_iter=max_iter)
             voted = ev.soft_vote(p.withColumnRenamed("label", "true_label"), 3, [S])
             m = ev.summary_rates(ev.confusion(voted)).select(F.lit(fold).alias("fold"), F.lit(name).alias("representation"), "accuracy", "macro_f1", "n_samples")
             out = m if out is None else out.unionByName(m)
