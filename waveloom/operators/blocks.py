@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import pick_first, random_hex
 from . import kernels as K
 from .landing import land
+from .ordered import attach
 
 BLOCK = 4096
 
@@ -24,7 +25,7 @@ BLOCK = 4096
 def pack(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], x: str = "x", block: int = BLOCK, extra: Sequence[str] = ()) -> DataFrame:
     """(keys.., b, ids, m): blocks of at most a few thousand vectors of one key."""
     n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("_nb"))
-    r = rows.join(n, list(keys)) if keys else rows.crossJoin(F.broadcast(n))
+    r = _join(rows, n, keys)
     r = r.withColumn("b", F.pmod(F.xxhash64(*ids), F.col("_nb")))
     g = r.groupBy(*keys, "b").agg(F.sort_array(F.collect_list(F.struct(*ids, *extra, F.col(x).alias("x")))).alias("_s"))
     return g.select(*keys, "b", F.transform("_s", lambda s: F.struct(*[s[i].alias(i) for i in (*ids, *extra)])).alias("ids"), F.col("_s.x").alias("m"))
@@ -43,7 +44,7 @@ def sum_arrays(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 
 
 def _join(blocks: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return blocks.join(model, list(keys)) if keys else blocks.crossJoin(F.broadcast(model))
+    return attach(blocks, model, keys)
 
 
 def _per_block(fn, returns="array<double>"):
@@ -170,7 +171,7 @@ def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20,
     f = _per_block(step)
     for r in range(rounds + 1):
         sums = sum_arrays(_join(blocks, cent, keys).select(*keys, f("m", "model").alias("sums")), keys, "sums")
-        both = cent.join(sums, list(keys)) if keys else cent.crossJoin(F.broadcast(sums))
+        both = _join(cent, sums, keys)
         cent = land(both.select(*keys, (update if r < rounds else best)("model", "sums").alias("model")))
 
     def final(m, p):
@@ -227,7 +228,7 @@ def isolation_forest(blocks: DataFrame, keys: Sequence[str], *, trees: int = 200
     blocks = land(blocks)
     rows = blocks.select(*keys, F.explode(F.arrays_zip("ids", "m")).alias("z")).select(*keys, F.to_json("z.ids").alias("_id"), F.col("z.m").alias("x"))
     n = blocks.groupBy(*keys).agg(F.sum(F.size("m")).alias("_n"))
-    r = rows.join(n, list(keys)) if keys else rows.crossJoin(F.broadcast(n))
+    r = _join(rows, n, keys)
     share = F.lit(float(sample)) / F.col("_n")
     mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("_id", t, F.lit(seed)), F.lit(1 << 30)) < share * float(1 << 30))
     s = r.select(*keys, "_id", "_n", "x", F.explode(mine).alias("_t"))

@@ -86,7 +86,7 @@ def grid_search(train: DataFrame, dims: Sequence[int], ks: Sequence[int], seeds:
             v = validity(t, ids, d)
             share = t.groupBy("cluster").agg(F.count("*").alias("n"))
             tot = share.agg(F.sum("n").alias("_t"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-            row = v.crossJoin(F.broadcast(tot)).select(
+            row = attach(v, tot, []).select(
                 F.lit(d).alias("dims"), F.lit(k).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin",
                 F.lit(float(runs[0][0].stages[-1].summary.trainingCost)).alias("inertia"), (F.col("_lo") / F.col("_t")).alias("min_share"), (F.col("_hi") / F.col("_t")).alias("max_share"))
             if len(runs) > 1:
@@ -95,7 +95,7 @@ def grid_search(train: DataFrame, dims: Sequence[int], ks: Sequence[int], seeds:
                     j = t.select(*ids, F.col("cluster").alias("a")).join(other[1].select(*ids, F.col("cluster").alias("b")), list(ids))
                     a = adjusted_rand(j, "a", "b")
                     ari = a if ari is None else ari.unionByName(a)
-                row = row.crossJoin(F.broadcast(ari.agg(F.avg("ari").alias("ari_mean"))))
+                row = attach(row, ari.agg(F.avg("ari").alias("ari_mean")), [])
             out = row if out is None else out.unionByName(row)
     return out
 

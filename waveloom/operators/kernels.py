@@ -99,7 +99,7 @@ def butter_sos(order: int, sfreq: float, low: float | None, high: float | None)
             raise ValueError("band edges must satisfy 0 < low < high < sfreq / 2")
     k = np.arange(1, order + 1)
     proto = np.exp(1j * np.pi * (2 * k + order - 1) / (2 * order))
-    warp = lambda f: 4.0 * math.tan(math.pi * f / (2 * nyq) / 1.0)
+    warp = lambda f: 4.0 * math.tan(math.pi * f / (2 * nyq))
     if low is not None and high is not None:
         w1, w2 = warp(low), warp(high)
         bw, w0 = w2 - w1, math.sqrt(w1 * w2)
@@ -254,7 +254,7 @@ def morlet_cwt(x: np.ndarray, dt: float, per_octave: int = 12, omega0: float = 6
     count = int(np.log2(n * dt / s0) * per_octave) + 1
     scales = s0 * 2 ** (np.arange(count) / per_octave)
     size = 1 << int(np.ceil(np.log2(n)))
-    spec = np.fft.fft(x - x.mean(axis=1, keepdims=True) * 0, size, axis=1)
+    spec = np.fft.fft(x, size, axis=1)
     w = 2 * np.pi * np.fft.fftfreq(size, dt)
     psi = np.pi**-0.25 * np.exp(-0.5 * (scales[:, None] * w[None] - omega0) ** 2) * (w[None] > 0)
     psi = psi * np.sqrt(scales[:, None] * w[1] * size)

@@ -126,7 +126,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
         return src.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
     ties = tie_table(src.select(*keys, value), keys, value)
     size = src.groupBy(*keys).agg(F.count("*").alias("_N"))
-    t = _same(ties, size, keys) if keys else ties.crossJoin(F.broadcast(size))
+    t = attach(ties, size, keys)
     v, lo_edge, hi_edge = F.col(value), F.col("before"), F.col("before") + F.col("ties")
     aggs = []
     for name, p in probs.items():
@@ -143,5 +143,5 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, f
 
 
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-key results back to rows; without keys there is one result row, which is broadcast."""
-    return _same(df, small, keys) if keys else df.crossJoin(F.broadcast(small))
+    """Join per-key results back to rows. Without keys ``small`` is an aggregate of one row, added to every row."""
+    return _same(df, small, keys) if keys else df.join(F.broadcast(small), F.lit(True))

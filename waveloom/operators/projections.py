@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, c, fixed_map, over, pick_first, random_hex, zscore
 from ..functions.fixed import BIPOLAR_PAIRS, CHANNEL_ALIASES, LABEL_ALIASES
+from .ordered import attach
 from .windows import KEYS, with_length
 
 
@@ -191,7 +192,7 @@ def _grouped_z(df: DataFrame, value: str, group: Sequence[str], ddof: int, guard
     g = df.groupBy(*group).agg(F.avg(value).alias("_mu"), F.coalesce(sd, F.lit(0.0)).alias("_sd"))
     den = {"one": F.when(F.col("_sd") < eps, 1.0).otherwise(F.col("_sd")), "add": F.col("_sd") + eps,
            "clamp": F.greatest("_sd", F.lit(eps))}[guard]
-    j = df.join(g, list(group)) if group else df.crossJoin(F.broadcast(g))
+    j = attach(df, g, list(group))
     return j.withColumn(value, (F.col(value) - F.col("_mu")) / den).drop("_mu", "_sd")
 
 

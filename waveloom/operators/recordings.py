@@ -78,8 +78,15 @@ def _pass(blocks: DataFrame, sos: np.ndarray, keys: Sequence[str], x: str) -> Da
     return blocks.join(states, [*keys, "b"]).withColumn(x, final(c(x), F.col("state"))).drop("state")
 
 
-def filter_recording(samples: DataFrame, sos: np.ndarray, *, block: int = 65536, keys: Sequence[str] = RKEYS) -> DataFrame:
-    """SIG12: zero-phase filtering of whole recordings, equal to one forward and one backward pass with odd padding."""
+def filter_recording(samples: DataFrame, sos: np.ndarray, *, block: int = 65536, keys: Sequence[str] = RKEYS, short: str = "raise") -> DataFrame:
+    """SIG12: zero-phase filtering of whole recordings, equal to one forward and one backward pass with odd padding.
+
+    Recordings no longer than the padding raise, or are passed on as they are with ``short='keep'``.
+    """
+    if short == "keep":
+        s = win.with_length(samples).select(*keys, "t", "value", "n")
+        pad = K.pad_length(sos)
+        return filter_recording(s.filter(F.col("n") > pad), sos, block=block, keys=keys).unionByName(s.filter(F.col("n") <= pad))
     pad = K.pad_length(sos)
     block = max(block, pad + 1)
     b = to_blocks(samples, block, keys)
@@ -176,16 +183,16 @@ def node_features(windows: DataFrame, sfreq: float, bands: dict, families: Seque
 def prepare(samples: DataFrame, sfreq: float, *, band: tuple | None = (0.5, 45.0), notch: float | None = None,
             reference: str = "none", window_sec: float = 4.0, overlap: float = 0.0, normalize: str = "none",
             min_valid: int = 1, max_windows: int | None = None, seed: int = 0, macro_sec: float | None = None,
-            unit: str = "uv", block: int = 65536) -> dict[str, DataFrame]:
+            unit: str = "uv", block: int = 65536, short: str = "raise") -> dict[str, DataFrame]:
     """QC04: filter, notch, reference, cut, check amplitudes, drop bad windows, then normalize what is kept, then blocks.
 
     Quality is judged before normalization. Returns 'windows', 'qc', 'summary' and, with ``macro_sec``, 'macros'.
     """
     s = samples
     if band:
-        s = bandpass_recording(s, sfreq, *band, block=block)
+        s = bandpass_recording(s, sfreq, *band, block=block, short=short)
     if notch:
-        s = notch_recording(s, sfreq, notch, block=block)
+        s = notch_recording(s, sfreq, notch, block=block, short=short)
     s = prj.reference(s, reference)
     w = win.segment_signal(s, sfreq, window_sec=window_sec, overlap=overlap)
     flags = qc.flag_windows(qc.window_metrics(prj.to_microvolts(w, unit)))

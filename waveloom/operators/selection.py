@@ -350,7 +350,7 @@ def cluster_label_table(m: DataFrame, cluster: str = "cluster", label: str = "la
     n = m.groupBy(cluster, label).agg(F.count("*").alias("_n"))
     t = n.groupBy(cluster).agg(F.sum("_n").alias("_t"))
     k = n.agg(F.count_distinct(label).alias("_k"))
-    p = n.join(t, cluster).crossJoin(F.broadcast(k)).withColumn("p", F.col("_n") / F.col("_t"))
+    p = attach(n.join(t, cluster), k, []).withColumn("p", F.col("_n") / F.col("_t"))
     # labels absent from a cluster count with the floor 1e-12, as the others are floored
     floor = 1e-12
     h = p.groupBy(cluster).agg((F.sum(-F.greatest("p", F.lit(floor)) * F.log2(F.greatest("p", F.lit(floor)))) + (F.max("_k") - F.count("*")) * (-floor * float(np.log2(floor)))).alias("_h"), F.max("_k").alias("_k2"))
@@ -451,7 +451,8 @@ def diversity(draws: DataFrame, cluster: str = "cluster") -> tuple[DataFrame, Da
     s = draws.groupBy(S, "label").agg(F.count("*").alias("total_draws"), F.count_distinct(SEG).alias("unique_segments"), F.count_distinct(cluster).alias("unique_clusters"), F.count_distinct("epoch").alias("num_epochs"))
     s = s.withColumn("unique_segment_ratio", F.col("unique_segments") / F.greatest("total_draws", F.lit(1)))
     g = draws.agg(F.count_distinct("epoch").alias("probe_epochs"), F.count_distinct(S).alias("num_subjects"), F.count("*").alias("total_draws"), F.count_distinct(S, SEG).alias("unique_segments_total"), F.count_distinct(cluster).alias("unique_clusters_total"))
-    g = g.crossJoin(F.broadcast(s.agg(F.avg("unique_segment_ratio").alias("mean_subject_unique_segment_ratio")))).crossJoin(F.broadcast(e.agg(F.avg("unique_segment_ratio").alias("mean_epoch_unique_segment_ratio"))))
+    g = attach(g, s.agg(F.avg("unique_segment_ratio").alias("mean_subject_unique_segment_ratio")), [])
+    g = attach(g, e.agg(F.avg("unique_segment_ratio").alias("mean_epoch_unique_segment_ratio")), [])
     return e, s, g
 
 
@@ -462,7 +463,7 @@ def stratified_folds(subjects: DataFrame, n_splits: int, *, val_ratio: float = 0
     subjects than folds."""
     small = subjects.groupBy(label).agg(F.count("*").alias("_c")).agg(F.min("_c").alias("_least"))
     s = positions(subjects.select(S, label).withColumn("_h", random_hex(F.lit(seed), S)), [label], ["_h", S], "_p").withColumn("test_fold", F.pmod("_p", F.lit(n_splits)))
-    s = s.crossJoin(F.broadcast(small)).withColumn("test_fold", F.when(F.col("_least") < n_splits, F.raise_error(F.lit("more folds than subjects in the smallest class"))).otherwise(F.col("test_fold"))).select(S, label, "test_fold")
+    s = attach(s, small, []).withColumn("test_fold", F.when(F.col("_least") < n_splits, F.raise_error(F.lit("more folds than subjects in the smallest class"))).otherwise(F.col("test_fold"))).select(S, label, "test_fold")
     f = s.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     rest = f.filter("test_fold <> fold").withColumn("_h", random_hex(F.lit(seed), F.lit("val"), "fold", S))
     rest = positions(rest, ["fold", label], ["_h", S], "_q")

@@ -13,6 +13,8 @@ from .connectivity import feature_similarity
 from .ordered import _same, attach, positions, quantiles, running, tie_table
 
 
+CHUNK = 1 << 16
+
 # ---- feature tables -----------------------------------------------------------------------------
 
 def wide_features(long: DataFrame, keys: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
@@ -192,7 +194,9 @@ def bootstrap_widths(edges: DataFrame, *, draws: int = 200, low: float = 0.025,
     """
     seg = positions(edges.select("subject_id", segment).distinct(), ["subject_id"], [segment], "_p")
     size = seg.groupBy("subject_id").agg(F.count("*").alias("_T"))
-    d = size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_T") - 1)))
+    # draws are made in chunks of bounded length, spread over the cluster before they are expanded
+    d = size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_T") - 1) / CHUNK))))
+    d = d.repartition("subject_id", "_b", "_k").withColumn("_d", F.explode(F.sequence(F.col("_k") * CHUNK, F.least((F.col("_k") + 1) * CHUNK, F.col("_T")) - 1))).drop("_k")
     d = d.withColumn("_p", random_below("_T", F.lit(seed), "subject_id", "_b", "_d")).groupBy("subject_id", "_p", "_b").agg(F.count("*").alias("_c"))
     cnt = d.groupBy("subject_id", "_p").agg(F.collect_list(F.struct("_b", "_c")).alias("_bc"))
     m = seg.join(cnt, ["subject_id", "_p"]).join(size, "subject_id").select("subject_id", segment, "_bc", "_T")

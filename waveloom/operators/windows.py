@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import EPS, a_sum, c, over, pick_first, random_below, random_hex
-from .ordered import positions
+from .ordered import attach, positions, quantiles
 
 KEYS = ["subject_id"]
 
@@ -173,6 +173,9 @@ def to_level(df: DataFrame, group: Sequence[str], value: str, how: str = "mean",
     if label:
         same = F.min(label) == F.max(label)
         aggs.append(F.when(same, F.min(label)).otherwise(F.raise_error(F.lit("mixed labels in a group"))).alias(label))
+    if how == "median":  # exact and spread, for levels as long as a subject
+        out = df.groupBy(*group).agg(*aggs[1:])
+        return attach(out, quantiles(df, list(group), value, {value: 0.5}), list(group))
     return df.withColumn("_reduce_in", F.col(value)).groupBy(*group).agg(*aggs)
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import random_hex
 from ..operators import features as ft
 from ..operators import projections as prj
 from ..operators import quality as qc
@@ -576,16 +575,12 @@ def _(t):
 
 @query("sig12_bandpass_recording", "subject_id:i channel:s t:i value:d")
 def _(t):
-    s = t.samples
-    if s.filter("n > 27").isEmpty():
-        return rec.bandpass_recording(s, FS, None, 3.0, order=1, block=8)
-    return rec.bandpass_recording(s, FS, 0.5, 3.0, block=32)
+    return rec.bandpass_recording(t.samples, FS, 0.5, 3.0, block=32, short="keep")
 
 
 @query("sig12_notch_recording", "subject_id:i channel:s t:i value:d")
 def _(t):
-    s = t.samples
-    return rec.notch_recording(s.filter("n > 9"), FS, 2.0, block=32)
+    return rec.notch_recording(t.samples, FS, 2.0, block=32, short="keep")
 
 
 @query("sig13_resample", "subject_id:i segment_id:i channel:s k:i value:d")
@@ -639,8 +634,7 @@ def _(t):
 
 @query("qc04_prepared_windows", "subject_id:i segment_id:i channel:s k:i value:d")
 def _(t):
-    s = t.samples.filter("n > 27")
-    p = rec.prepare(s, FS, band=(0.5, 3.0), reference="average", window_sec=1.0, overlap=0.5, normalize="per_channel", block=64)
+    p = rec.prepare(t.samples, FS, band=(0.5, 3.0), reference="average", window_sec=1.0, overlap=0.5, normalize="per_channel", block=64, short="keep")
     return p["windows"].select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
 
 
@@ -659,4 +653,3 @@ def _(t):
     return qc.class_quality(qc.subject_quality(_flags(t)).withColumn("label_id", F.col("subject_id") % 3))
 
 
-_ = random_hex

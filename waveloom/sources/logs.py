@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
+
 # line patterns of a run log (fixed values)
 SEED = r"Seed random\s*=\s*(\d+)"
 FOLD = r"=+\s*Fold:\s*(\d+)\s*=+"
@@ -24,9 +26,13 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def carry_forward(lines: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """SRC10: each column's last non-null value up to the row; the group is one file (or one conversation)."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.select(*[c for c in lines.columns if c not in cols], *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+    """SRC10: each column's last non-null value up to the row.
+
+    The latest value is the running maximum of (place, value), so a group of any length stays spread.
+    """
+    pairs = {f"_f_{c}": ("max", F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("_v")))) for c in cols}
+    r = running(lines, list(group), list(order), pairs)
+    return r.select(*[c for c in lines.columns if c not in cols], *[F.col(f"_f_{c}._v").alias(c) for c in cols])
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:

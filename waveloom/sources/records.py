@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import fixed_map, pick_first
 from ..functions.fixed import GROUP_CODES, SYMPTOM_RULES
+from ..operators.ordered import attach
 
 RECORD_SCHEMA = ("subject_id string, dataset_name string, label string, label_id int, sfreq double, channels array<string>, metadata map<string,string>, "
                  "source_path string, session_id string, montage_type string, signal_unit string, n_samples bigint")
@@ -78,4 +79,4 @@ def require_all(matches: DataFrame, missing: DataFrame) -> DataFrame:
     """SRC04: the matches, or an error naming how many serials are missing (raised when the result is computed)."""
     n = missing.agg(F.count("*").alias("_missing"))
     ok = F.when(F.col("_missing") > 0, F.raise_error(F.concat(F.col("_missing").cast("string"), F.lit(" official serials are not stored")))).otherwise(F.lit(True))
-    return matches.crossJoin(F.broadcast(n)).filter(ok).drop("_missing")
+    return attach(matches, n, []).filter(ok).drop("_missing")
