@@ -172,6 +172,26 @@ def test_centrality_sums_to_one(spark):
     assert s["eig_1"] == pytest.approx(2.0) and s["eig_min"] == pytest.approx(-1.0)
 
 
+def test_labels_of_both_data_sets(spark):
+    from waveloom.operators import projections as prj
+
+    d = spark.createDataFrame([("aheap", "fronto-temporal  dementia"), ("aheap", "c"), ("CAUEEG", "2.0"), ("caueeg", "normal")], "ds string, label string")
+    got = [(r["class_name"], r["class_id"]) for r in prj.harmonize_labels(d, "label", "ds").collect()]
+    assert sorted(got) == [("FTD", 2), ("HC", 0), ("Healthy", 0), ("MCI", 2)]
+    with pytest.raises(Exception, match="unknown label"):
+        prj.harmonize_labels(d.limit(1).withColumn("label", F.lit("zebra")), "label", "ds").collect()
+
+
+def test_choices_are_limited_before_the_shuffle(spark):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        sel.cluster_balanced(manifest(spark), 5).explain("formatted")
+    assert "WindowGroupLimit" in out.getvalue()
+
+
 # ---- evaluation golden cases --------------------------------------------------------------------
 
 def test_soft_vote_by_hand(spark):

@@ -13,6 +13,9 @@ CHANNEL_ALIASES = {
 
 # Class spellings per data set: (data set, class, id, accepted spellings).
 LABEL_ALIASES = [
+    ("aheap", "HC", 0, ["C", "HC", "CN", "CONTROL", "CONTROLS", "HEALTHY", "NORMAL", "0"]),
+    ("aheap", "AD", 1, ["A", "AD", "ALZHEIMER", "ALZHEIMERS", "ALZHEIMER'S DISEASE", "1"]),
+    ("aheap", "FTD", 2, ["F", "FTD", "FRONTOTEMPORAL DEMENTIA", "FRONTO TEMPORAL DEMENTIA", "2"]),
     ("caueeg", "Healthy", 0, ["HEALTHY", "HC", "CN", "CONTROL", "NORMAL", "0"]),
     ("caueeg", "Dementia", 1, ["DEMENTIA", "ALZHEIMER", "AD", "1"]),
     ("caueeg", "MCI", 2, ["MCI", "MILD COGNITIVE IMPAIRMENT", "2"]),

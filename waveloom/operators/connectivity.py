@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EPS, a_center, a_dot, a_unit, c, let, over
+from ..functions.exprs import EPS, a_center, a_dot, a_unit, c, over
 from ..functions.fixed import BANDS
 from . import kernels as K
 
@@ -365,5 +365,3 @@ def within_between(edges: DataFrame, regions: DataFrame) -> DataFrame:
     """CON17: each edge marked 'within' or 'between' by its regions."""
     return _with_regions(edges, regions).withColumn("kind", F.when(F.col("ri") == F.col("rj"), "within").otherwise("between"))
 
-
-_ = let

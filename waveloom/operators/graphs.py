@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import EPS, a_dot, a_mean, a_sum, c, over, pick_first, random_hex
+from ..functions.exprs import EPS, a_dot, a_mean, c, over, pick_first, random_hex
+from . import kernels as K
 from .connectivity import feature_similarity, mirror
 from .ordered import attach, positions, quantiles
 
@@ -565,56 +566,80 @@ def stability_report(pairs: DataFrame) -> DataFrame:
                      F.avg("weight_corr").alias("corr_mean"), F.stddev_pop("weight_corr").alias("corr_std"), F.count("weight_corr").alias("n_corr"))
 
 
-def hyper_scores(nodes: DataFrame, edges: DataFrame, members: DataFrame, graph: Sequence[str] = G) -> DataFrame:
+def hyper_scores(graphs: DataFrame, members: DataFrame, graph: Sequence[str] = G) -> DataFrame:
     """GRA22: per graph, weighted over regions: within cosine, 1 / (1 + spread), node-centroid cosine, ln(1 + between / within).
 
-    ``members`` has (region, node, weight); ``edges`` holds the cosine of node features.
+    ``members`` has (region, node, weight), a constant of the montage that travels as one row; a graph is scored from its own
+    row, without a shuffle.
     """
-    m = F.broadcast(members)
-    n = nodes.join(m, "node")
-    cen = n.groupBy(*graph, "region", "weight", "feature").agg(F.avg("x").alias("mu"), F.var_pop("x").alias("_v"))
-    reg = cen.groupBy(*graph, "region", "weight").agg(F.sum("_v").alias("spread"), F.sort_array(F.collect_list(F.struct("feature", "mu"))).alias("_c"))
-    reg = reg.select(*graph, "region", "weight", "spread", F.col("_c.mu").alias("centroid"))
-    wm = lambda s, q: F.sum(F.col(q) * s) / F.greatest(F.sum(q), F.lit(EPS))
-    smooth = reg.groupBy(*graph).agg(wm(1 / (1 + F.col("spread")), "weight").alias("smoothness"), wm(F.col("spread"), "weight").alias("_within"),
-                                     F.sort_array(F.collect_list(F.struct("region", "weight", "centroid"))).alias("_r"))
-    # pairs of regions inside one graph
-    pr = smooth.select(*graph, "_r", F.posexplode("_r").alias("_p", "_a")).select(*graph, "_a", F.explode(F.slice("_r", F.col("_p") + 2, F.size("_r"))).alias("_b"))
-    d2 = a_sum(F.zip_with(F.col("_a.centroid"), F.col("_b.centroid"), lambda u, v: (u - v) * (u - v)))
-    btw = pr.select(*graph, d2.alias("_d"), ((F.col("_a.weight") + F.col("_b.weight")) / 2).alias("_q")).groupBy(*graph).agg(wm(F.col("_d"), "_q").alias("_between"))
-    mi, mj = F.broadcast(members.withColumnRenamed("node", "i")), F.broadcast(members.select(F.col("region").alias("_r2"), F.col("node").alias("j")))
-    inside = edges.join(mi, "i").join(mj, "j").filter("region = _r2").groupBy(*graph, "region", "weight").agg(F.avg("w").alias("_s"))
-    within = inside.groupBy(*graph).agg(wm(F.col("_s"), "weight").alias("within_similarity"))
-    vec = n.groupBy(*graph, "region", "weight", "node").agg(F.sort_array(F.collect_list(F.struct("feature", "x"))).alias("_x"))
-    inc = vec.select(*graph, "region", "weight", F.col("_x.x").alias("x")).join(reg.select(*graph, "region", "centroid"), [*graph, "region"])
-    cos = a_dot("x", "centroid") / (F.greatest(F.sqrt(a_dot("x", "x")), F.lit(EPS)) * F.greatest(F.sqrt(a_dot("centroid", "centroid")), F.lit(EPS)))
-    cons = inc.select(*graph, "weight", cos.alias("_s")).groupBy(*graph).agg(wm(F.col("_s"), "weight").alias("consistency"))
-    return (smooth.drop("_r").join(btw, list(graph)).join(within, list(graph)).join(cons, list(graph))
-            .withColumn("contrast", F.log1p(F.col("_between") / (F.col("_within") + EPS))).drop("_within", "_between"))
+
+    def unit(v):
+        return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), EPS)
+
+    def mean(values, weights):
+        return float(np.dot(values, weights) / max(np.sum(weights), EPS)) if len(values) else 0.0
+
+    def one(x, region, node, weight):
+        cen, spread, q, within, wq, cons, cq = [], [], [], [], [], [], []
+        for r in np.unique(region):
+            at = node[region == r]
+            w = float(weight[region == r][0])
+            v = x[at]
+            mu = v.mean(0)
+            cen.append(mu)
+            spread.append(((v - mu) ** 2).sum(1).mean())
+            q.append(w)
+            u = unit(v)
+            cons += (u @ unit(mu)).tolist()
+            cq += [w] * len(at)
+            if len(at) > 1:
+                within.append((u @ u.T)[np.triu_indices(len(at), 1)].mean())
+                wq.append(w)
+        cen, spread, q = np.array(cen), np.array(spread), np.array(q)
+        i, j = np.triu_indices(len(cen), 1)
+        between = mean(((cen[i] - cen[j]) ** 2).sum(1), (q[i] + q[j]) / 2)
+        contrast = np.log1p(between / (mean(spread, q) + EPS)) if len(cen) > 1 else 0.0
+        return [mean(np.array(within), np.array(wq)), mean(1 / (1 + spread), q), mean(np.array(cons), np.array(cq)), float(contrast)]
+
+    @F.pandas_udf("array<double>")
+    def run(nodes: pd.Series, region: pd.Series, node: pd.Series, weight: pd.Series) -> pd.Series:
+        return pd.Series([one(K.matrix(m), np.asarray(r, int), np.asarray(n, int), np.asarray(w, float)) for m, r, n, w in zip(nodes, region, node, weight)])
+
+    m = members.agg(F.sort_array(F.collect_list(F.struct(F.col("region").cast("int").alias("r"), F.col("node").cast("int").alias("n"), F.col("weight").cast("double").alias("w")))).alias("_m"))
+    g = attach(graphs.select(*graph, "nodes"), m, []).withColumn("_s", run("nodes", F.col("_m.r"), F.col("_m.n"), F.col("_m.w")))
+    return g.select(*graph, *[F.get("_s", k).alias(n) for k, n in enumerate(["within_similarity", "smoothness", "consistency", "contrast"])])
 
 
 def pseudo_scores(edges: DataFrame, graphs: DataFrame, *, motif_k: int = 4, graph: str = "graph_id", w: str = "w") -> DataFrame:
-    """GRA23: nonlinear edge coupling, Dirichlet contrast of feature halves, and the motif score of the k nodes of largest degree."""
-    e = edges.select(graph, "i", "j", F.col(w).alias("w")).join(graphs.select(graph, "nodes"), graph)
-    xi, xj = F.element_at("nodes", F.col("i") + 1), F.element_at("nodes", F.col("j") + 1)
-    e = e.withColumn("_xi", xi).withColumn("_xj", xj).drop("nodes")
-    half = F.floor(F.size("_xi") / 2).cast("int")
-    d2 = lambda a, b: a_sum(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)))
-    first, second = d2(F.slice("_xi", 1, half), F.slice("_xj", 1, half)), d2(F.slice("_xi", half + 1, F.size("_xi")), F.slice("_xj", half + 1, F.size("_xj")))
-    sim = a_dot("_xi", "_xj") / F.sqrt(F.size("_xi").cast("double"))
-    size = 2 * F.sum(F.abs("w")) + EPS
-    base = e.groupBy(graph).agg((2 * F.sum(F.col("w") / (1 + F.exp(-sim))) / size).alias("nonlinear"),
-                                ((F.sum(F.col("w") * first) - F.sum(F.col("w") * second)) / size).alias("dirichlet"))
-    deg = mirror(edges.select(graph, "i", "j", F.col(w).alias("w"))).groupBy(graph, "i").agg(F.sum("w").alias("_d"))
-    top = pick_first(deg, [graph], F.desc("_d"), F.col("i"), k=motif_k).groupBy(graph).agg(F.collect_set("i").alias("_m"))
-    inner = e.join(top, graph).filter(F.array_contains("_m", F.col("i")) & F.array_contains("_m", F.col("j")))
-    inner = inner.groupBy(graph).agg((2 * F.sum(F.col("w") * F.tanh(sim)) / size).alias("_int"))
-    g = graphs.select(graph, F.posexplode("nodes").alias("node", "f")).join(top, graph).select(
-        graph, F.array_contains("_m", F.col("node")).alias("_in"), F.posexplode("f").alias("feature", "x"))
-    g = g.groupBy(graph, "feature").agg(F.avg(F.when(F.col("_in"), F.col("x"))).alias("_a"), F.avg(F.when(~F.col("_in"), F.col("x"))).alias("_b"))
-    con = g.groupBy(graph).agg(F.coalesce(F.avg(F.pow(F.col("_a") - F.col("_b"), F.lit(2))), F.lit(0.0)).alias("_con"))
-    return base.join(inner, graph, "left").join(con, graph).select(
-        graph, "nonlinear", "dirichlet", (F.coalesce("_int", F.lit(0.0)) + 0.5 * F.col("_con")).alias("motif"))
+    """GRA23: nonlinear edge coupling, Dirichlet contrast of feature halves, and the motif score of the k nodes of largest degree.
+
+    A graph's edges are gathered once, meet its node features in one join, and are scored in place.
+    """
+
+    def one(x, i, j, v):
+        n, f = x.shape
+        a = np.zeros((n, n))
+        a[i, j] = a[j, i] = v
+        size = np.abs(a).sum() + EPS
+        sim = x @ x.T / np.sqrt(f)
+        d2 = lambda u: ((u[:, None] - u[None]) ** 2).sum(-1)
+        mid = f // 2
+        energy = lambda u: 0.5 * (a * d2(u)).sum() / size
+        dirichlet = energy(x[:, :mid]) - energy(x[:, mid:]) if f >= 2 else energy(x)
+        top = np.argsort(-a.sum(1), kind="stable")[:motif_k]
+        rest = np.setdiff1d(np.arange(n), top)
+        am = a[np.ix_(top, top)]
+        inner = (am * np.tanh(sim[np.ix_(top, top)])).sum() / (np.abs(am).sum() + EPS)
+        contrast = ((x[top].mean(0) - x[rest].mean(0)) ** 2).mean() if len(rest) else 0.0
+        return [float((a / (1 + np.exp(-sim))).sum() / size), float(dirichlet), float(inner + 0.5 * contrast)]
+
+    @F.pandas_udf("array<double>")
+    def run(nodes: pd.Series, i: pd.Series, j: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([one(K.matrix(m), np.asarray(a, int), np.asarray(b, int), np.asarray(d, float)) for m, a, b, d in zip(nodes, i, j, v)])
+
+    e = edges.groupBy(graph).agg(F.collect_list(F.struct("i", "j", F.col(w).alias("w"))).alias("_e"))
+    g = graphs.select(graph, "nodes").join(e, graph).withColumn("_s", run("nodes", F.col("_e.i"), F.col("_e.j"), F.col("_e.w")))
+    return g.select(graph, *[F.get("_s", k).alias(n) for k, n in enumerate(["nonlinear", "dirichlet", "motif"])])
 
 
 def subject_scores(scores: DataFrame, value: str, how: str = "mean", *, top_ratio: float = 0.3, subject: str = "subject_id") -> DataFrame:

@@ -6,12 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import connectivity as con
 from ..operators import graphs as gr
-from ..operators import windows as win
 from .connect_queries import regions
 from .registry import query
-from .views import FS
 
-_ = FS
 _E = "graph_id:i i:i j:i w:d"
 _MD5 = "md5(concat_ws('|', {}))"
 
@@ -393,7 +390,7 @@ _MEMW = f"(SELECT *, 1.0 + region AS q FROM {MEM})"
       FROM n JOIN c ON c.graph_id = n.graph_id AND c.region = n.region AND c.feature = n.feature GROUP BY 1, 2, 3, 4) GROUP BY 1)
     SELECT sm.graph_id, within_similarity, smoothness, consistency, ln(1 + bt / (wi + 1e-8)) AS contrast FROM sm JOIN b USING (graph_id) JOIN w USING (graph_id) JOIN k USING (graph_id)""")
 def _(t):
-    return gr.hyper_scores(t.nodes, edges(t), members(t))
+    return gr.hyper_scores(t.graphs, members(t))
 
 
 _PSEUDO = """(WITH e AS (SELECT e.graph_id, e.i, e.j, e.w, sum(a.x * b.x) AS dp, sum(CASE WHEN a.feature < 2 THEN pow(a.x - b.x, 2) ELSE 0 END) AS d1, sum(CASE WHEN a.feature >= 2 THEN pow(a.x - b.x, 2) ELSE 0 END) AS d2
@@ -500,4 +497,3 @@ def _(t):
     return gr.region_bank(e, regions(t).withColumnRenamed("channel", "node"), [("cos", None), ("rbf", None)])
 
 
-_ = win

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import selection as sel
-from ..operators import windows as win
 from .registry import query
 from .signal_queries import WCH
 from .views import FS
@@ -393,5 +392,3 @@ def _(t):
         out = d if out is None else out.unionByName(d)
     return out
 
-
-_ = win

@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import projections as prj
 from ..operators import stats as st
-from .connect_queries import regions
 from .registry import query
 from .signal_queries import WCH
 
-_ = regions
 _NAMES = ["time__mean", "time__std", "time__ptp", "hjorth__mobility"]
 _WIDE = f"""(SELECT {WCH}, avg(value) AS time__mean, stddev_pop(value) AS time__std, max(value) - min(value) AS time__ptp, sqrt(var_pop(d) / greatest(var_pop(value), 1e-8)) AS hjorth__mobility,
       CASE subject_id % 5 WHEN 0 THEN 'Test' ELSE 'Train' END AS data_split, 'class_' || (subject_id % 3) AS class_label
