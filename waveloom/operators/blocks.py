@@ -33,13 +33,13 @@ def pack(rows: DataFrame, keys: Sequence[str], ids: Sequence[str], x: str = "x",
 
 def unpack(blocks: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Back to rows: ids and one value per row from each array column in ``cols``."""
-    z = blocks.select(*keys, F.explode(F.arrays_zip("ids", *cols)).alias("z"))
+    z = blocks.select(*keys, F.explode_outer(F.arrays_zip("ids", *cols)).alias("z"))
     return z.select(*keys, "z.ids.*", *[F.col(f"z.{k}").alias(k) for k in cols])
 
 
 def sum_arrays(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """Element-wise sum of equally long arrays per key."""
-    e = df.select(*keys, F.posexplode(col).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    e = df.select(*keys, F.posexplode_outer(col).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
     return e.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_s")).select(*keys, F.col("_s._v").alias(col))
 
 

@@ -184,7 +184,7 @@ def silhouette(df: DataFrame, ids: Sequence[str], cluster: str = "cluster", x: s
         return pd.Series(out)
 
     j = attach(k.select("b", cluster, "_k").join(tot, "b"), sizes, [])
-    return j.select(F.explode(value("sums", cluster, "_k", "_sizes")).alias("_v")).agg(F.avg("_v").alias("silhouette"))
+    return j.select(F.explode_outer(value("sums", cluster, "_k", "_sizes")).alias("_v")).agg(F.avg("_v").alias("silhouette"))
 
 
 def validity(df: DataFrame, ids: Sequence[str], dim: int, cluster: str = "cluster", x: str = "x") -> DataFrame:
@@ -358,7 +358,7 @@ def nearest(df: DataFrame, k: int, id_col: str = "vec_id", *, label: str = "labe
 
     cols = ["m", id_col, S, label]
     p = _block_pairs(_blocks(u, [id_col], [S, label], x, block), cols, both=True)
-    e = p.select(F.explode(top("l_m", f"l_{id_col}", f"l_{S}", f"l_{label}", "r_m", f"r_{id_col}", f"r_{S}", f"r_{label}")).alias("e")).select("e.*")
+    e = p.select(F.explode_outer(top("l_m", f"l_{id_col}", f"l_{S}", f"l_{label}", "r_m", f"r_{id_col}", f"r_{S}", f"r_{label}")).alias("e")).select("e.*").filter("id IS NOT NULL")
     return pick_first(e, ["id"], F.col("d"), F.col("o"), k=k, rank="rank")
 
 

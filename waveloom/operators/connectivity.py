@@ -54,7 +54,11 @@ def spearman(windows: DataFrame, keys: Sequence[str] = WKEYS, x: str = "x") -> D
 
 
 def _matrix_kernel(windows: DataFrame, keys: Sequence[str], x: str, fn, names: Sequence[str], metric: str, banded: bool) -> DataFrame:
-    """Edges from ``fn([channels, n]) -> [bands, channels, channels]`` run on whole windows in Arrow batches."""
+    """Edges from ``fn([channels, n]) -> [bands, channels, channels]`` run on whole windows in Arrow batches.
+
+    Kernel results are unpacked with the outer form: the inner one makes Spark filter on the result first, which would run the
+    kernel twice.
+    """
 
     @F.pandas_udf("array<array<double>>")
     def run(ms: pd.Series) -> pd.Series:
@@ -71,7 +75,7 @@ def _matrix_kernel(windows: DataFrame, keys: Sequence[str], x: str, fn, names: S
     pair = F.flatten(F.transform(pos, lambda i: F.transform(
         F.slice(pos, i + 1, F.size(pos)), lambda j: F.struct(F.element_at(ch, i).alias("i"), F.element_at(ch, j).alias("j")))))
     g = g.filter(F.size("_c") > 1).select(*keys, run(F.col("_c.x")).alias("_v"), pair.alias("_ij"))
-    b = g.select(*keys, "_ij", F.posexplode("_v").alias("_b", "_w"))
+    b = g.select(*keys, "_ij", F.posexplode_outer("_v").alias("_b", "_w"))
     e = b.select(*keys, "_b", F.explode(F.arrays_zip("_ij", "_w")).alias("e"))
     band = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_b") + 1) if banded else None
     return _edges(e.select(*keys, "_b", F.col("e._ij.i").alias("i"), F.col("e._ij.j").alias("j"), F.col("e._w").alias("_w")),

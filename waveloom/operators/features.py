@@ -251,7 +251,7 @@ def feature_set(windows: DataFrame, families: Sequence[str], sfreq: float, bands
         cur = d.withColumn(cell, F.transform(named, lambda s: F.struct(tag.alias("family"), s["feature"].alias("feature"), s["value"].alias("value"))))
         cells.append(cell)
         cur = cur.select(*base, x, *cells)
-    return (cur.select(*base, F.posexplode(F.concat(*cells)).alias("ord", "f"))
+    return (cur.select(*base, F.posexplode_outer(F.concat(*cells)).alias("ord", "f"))
             .select(*base, F.col("f.family").alias("family"), F.col("f.feature").alias("feature"), "ord", F.col("f.value").alias("value")))
 
 

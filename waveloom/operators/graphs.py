@@ -63,7 +63,7 @@ def _per_graph(edges: DataFrame, graph: Sequence[str], w: str, fn, extra: str =
     rest = [x for x in edges.columns if x not in (*graph, "i", "j", w)]
     g = edges.groupBy(*graph).agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col(w).alias("w"), *rest))).alias("_e"))
     g = g.withColumn("_k", run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w")))
-    z = g.select(*graph, F.explode(F.arrays_zip("_e", "_k")).alias("z")).filter("z._k")
+    z = g.select(*graph, F.explode_outer(F.arrays_zip("_e", "_k")).alias("z")).filter("z._k")
     return z.select(*graph, F.col("z._e.i").alias("i"), F.col("z._e.j").alias("j"), F.col("z._e.w").alias(w),
                     *[F.col(f"z._e.{r}").alias(r) for r in rest]).select(edges.columns)
 
@@ -417,7 +417,7 @@ def node_theory(edges: DataFrame, graph: Sequence[str] = G, w: str = "w", iterat
         return pd.Series([one(np.asarray(a), np.asarray(b), np.asarray(d, float)) for a, b, d in zip(i, j, v)])
 
     g = edges.groupBy(*graph).agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col(w).alias("w")))).alias("_e"))
-    r = g.select(*graph, F.explode(run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w"))).alias("_r"))
+    r = g.select(*graph, F.explode_outer(run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w"))).alias("_r"))
     names = ["strength", "abs_strength", "pos_strength", "neg_strength", "mean_abs_edge", "weighted_clustering", "eigenvector_centrality"]
     return r.select(*graph, F.element_at("_r", 1).cast("int").alias("node"), *[F.element_at("_r", k + 2).alias(n) for k, n in enumerate(names)])
 

@@ -19,6 +19,7 @@ from . import kernels as K
 from . import projections as prj
 from . import quality as qc
 from . import windows as win
+from .landing import land
 
 RKEYS = ["subject_id", "channel"]
 
@@ -97,11 +98,12 @@ def filter_recording(samples: DataFrame, sos: np.ndarray, *, block: int = 65536,
     tail = F.transform(F.reverse(F.slice(x, -(pad + 1), pad)), lambda v: 2 * F.element_at("x", -1) - v)
     none = F.array().cast("array<double>")
     b = b.withColumn("y", F.concat(F.when(first, head).otherwise(none), x, F.when(last, tail).otherwise(none)))
-    b = _pass(b, sos, keys, "y")
+    # both steps of the backward pass read the forward result, so it is written once
+    b = land(_pass(b, sos, keys, "y"))
     turned = b.withColumn("y", F.reverse("y")).withColumn("b", F.col("n_blocks") - 1 - F.col("b"))
     back = _pass(turned, sos, keys, "y").withColumn("y", F.reverse("y")).withColumn("b", F.col("n_blocks") - 1 - F.col("b"))
     cut = F.slice("y", F.when(F.col("b") == 0, pad + 1).otherwise(1), F.size("x"))
-    return (back.select(*keys, "n", (F.col("b") * block).alias("_t0"), F.posexplode(cut).alias("_i", "value"))
+    return (back.select(*keys, "n", (F.col("b") * block).alias("_t0"), F.posexplode_outer(cut).alias("_i", "value"))
             .select(*keys, (F.col("_t0") + F.col("_i")).alias("t"), "value", "n"))
 
 
@@ -153,7 +155,7 @@ def spectrogram(windows: DataFrame, hop_ratio: float = 0.25, mode: str = "magnit
 
     w = map_windows(windows, values, x, "_s", "array<array<array<double>>>")
     base = [k for k in windows.columns if k != x]
-    return (w.select(*base, F.posexplode("_s").alias("part", "_p")).select(*base, "part", F.posexplode("_p").alias("f", "_q"))
+    return (w.select(*base, F.posexplode_outer("_s").alias("part", "_p")).select(*base, "part", F.posexplode("_p").alias("f", "_q"))
             .select(*base, "part", "f", F.posexplode("_q").alias("frame", "value")))
 
 
@@ -172,7 +174,7 @@ def node_features(windows: DataFrame, sfreq: float, bands: dict, families: Seque
     if not update:
         cells["energies"] = F.col("energy") if "energies" in families else None
     arr = F.concat(*[cells[f] for f in families if f in cells])
-    long = d.select(*keys, "channel", F.posexplode(arr).alias("feature", "value"))
+    long = d.select(*keys, "channel", F.posexplode_outer(arr).alias("feature", "value"))
     if update:
         from ..functions.exprs import over, zscore
 

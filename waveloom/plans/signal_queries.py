@@ -97,7 +97,7 @@ _PAIRS = [("click", "error"), ("error", "view"), ("purchase", "signup")]
     JOIN v_windows a ON a.channel = p.a JOIN v_windows b ON b.channel = p.b
       AND a.subject_id = b.subject_id AND a.segment_id = b.segment_id AND a.k = b.k""")
 def _(t):
-    return prj.bipolar(t.windows, _PAIRS).select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
+    return prj.bipolar(t.windows, _PAIRS).select("subject_id", "segment_id", "channel", F.posexplode_outer("x").alias("k", "value"))
 
 
 @query("prj07_reference", "subject_id:i channel:s t:i average:d chosen:d", """
@@ -165,7 +165,7 @@ def _(t):
     FROM (SELECT *, value / 100 AS v FROM v_windows)""")
 def _(t):
     w = t.windows.withColumn("x", F.transform("x", lambda v: v / 100))
-    return prj.to_microvolts(w).select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
+    return prj.to_microvolts(w).select("subject_id", "segment_id", "channel", F.posexplode_outer("x").alias("k", "value"))
 
 
 _FLAGGED_SQL = "SELECT subject_id, segment_id, max(abs(value)) > 150 AS bad FROM v_windows GROUP BY 1, 2"
@@ -464,12 +464,12 @@ def psd_sql(nper: int) -> str:
 
 @query("sig03_welch_psd", "subject_id:i segment_id:i channel:s f:i p:d9", psd_sql(4))
 def _(t):
-    return ft.welch_psd(t.windows, FS, 4).select("subject_id", "segment_id", "channel", F.posexplode("psd").alias("f", "p"))
+    return ft.welch_psd(t.windows, FS, 4).select("subject_id", "segment_id", "channel", F.posexplode_outer("psd").alias("f", "p"))
 
 
 @query("sig03_periodogram", "subject_id:i segment_id:i channel:s f:i p:d9", psd_sql(8))
 def _(t):
-    return ft.welch_psd(t.windows, FS, "min256").select("subject_id", "segment_id", "channel", F.posexplode("psd").alias("f", "p"))
+    return ft.welch_psd(t.windows, FS, "min256").select("subject_id", "segment_id", "channel", F.posexplode_outer("psd").alias("f", "p"))
 
 
 _BANDS_SQL = "(VALUES ('low', 0.0, 2.0), ('mid', 1.0, 4.0), ('high', 3.0, 5.0)) b(band, lo, hi)"
@@ -480,7 +480,7 @@ _BP = f"""SELECT {WCH}, band, sum((p + q) / 2) AS absolute FROM (
 def _by_band(df, cols):
     names = F.array(*[F.lit(b) for b in BANDS8])
     z = F.arrays_zip(names.alias("band"), *[F.col(c) for c in cols])
-    return df.select("subject_id", "segment_id", "channel", F.explode(z).alias("z")).select(
+    return df.select("subject_id", "segment_id", "channel", F.explode_outer(z).alias("z")).select(
         "subject_id", "segment_id", "channel", F.col("z.band"), *[F.col(f"z.{c}") for c in cols])
 
 
@@ -512,7 +512,7 @@ def _(t):
 
 @query("sig07_wavelet_energy", "subject_id:i segment_id:i channel:s band:i energy:d3")
 def _(t):
-    return ft.wavelet_energy(t.windows).select("subject_id", "segment_id", "channel", F.posexplode("energy").alias("band", "energy"))
+    return ft.wavelet_energy(t.windows).select("subject_id", "segment_id", "channel", F.posexplode_outer("energy").alias("band", "energy"))
 
 
 @query("sig08_higuchi", "subject_id:i segment_id:i channel:s higuchi_fd:d", f"""
@@ -585,7 +585,7 @@ def _(t):
 
 @query("sig13_resample", "subject_id:i segment_id:i channel:s k:i value:d")
 def _(t):
-    return rec.resample_windows(t.windows, FS, 12.0).select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
+    return rec.resample_windows(t.windows, FS, 12.0).select("subject_id", "segment_id", "channel", F.posexplode_outer("x").alias("k", "value"))
 
 
 @query("sig14_node_features", "subject_id:i segment_id:i channel:s feature:i value:d10", f"""
@@ -635,7 +635,7 @@ def _(t):
 @query("qc04_prepared_windows", "subject_id:i segment_id:i channel:s k:i value:d")
 def _(t):
     p = rec.prepare(t.samples, FS, band=(0.5, 3.0), reference="average", window_sec=1.0, overlap=0.5, normalize="per_channel", block=64, short="keep")
-    return p["windows"].select("subject_id", "segment_id", "channel", F.posexplode("x").alias("k", "value"))
+    return p["windows"].select("subject_id", "segment_id", "channel", F.posexplode_outer("x").alias("k", "value"))
 
 
 _SUBJ = f"""SELECT subject_id, subject_id % 3 AS label_id, count(*) AS n_windows, count(*) FILTER (WHERE bad_segment_flag) AS n_artifact,
