@@ -1,24 +1,46 @@
-"""Cutting lineage through a table in the shared checkpoint folder."""
+"""Cutting lineage through a table in the shared folder of the session."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
+
+
+def _qualified(spark: SparkSession, folder: str):
+    """The folder as a Hadoop path with its scheme, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(path), fs
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a folder of our own only where none is set."""
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, a folder below the warehouse.
+
+    A cluster must name a folder that all executors share: without the setting, a warehouse on a
+    machine's own disk is accepted only if driver and executors are one process.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    path, fs = _qualified(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    if fs.getScheme() == "file" and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{path.toString().rstrip('/')}/_scratch"
+
+
+def app_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared folder; it goes when the application ends."""
     app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-waveloom-", dir="/tmp")
-    return _OWN[app]
+    root = f"{shared_dir(spark)}/waveloom/{app}"
+    if _ROOTS.get(app) != root:
+        path, fs = _qualified(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _ROOTS[app] = root
+    return root
 
 
 def land(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -28,7 +50,7 @@ def land(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     column pruning and filters reach the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/waveloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
