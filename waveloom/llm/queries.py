@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring
+from . import pieces, repair, separators, substring
 
 QUERIES = {
+    "op3_repair_tokens": repair.query,
+    "op4_piece_agenda": pieces.query,
+    "op5_separator_scan": separators.query,
     "op7_substring_dedup": substring.query,
 }
 

@@ -50,7 +50,7 @@ def _bucket_cuts(unique: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
-                   chunk_bytes: int = 16 << 20, bucket_windows: int = 3_000_000) -> DataFrame:
+                   chunk_bytes: int = 8 << 20, bucket_windows: int = 2_000_000) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts in a text with a smaller id.
 
     Words are runs of characters other than ASCII white space, unchanged. Windows are judged on the
