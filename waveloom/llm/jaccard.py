@@ -210,6 +210,8 @@ def _split(docs: DataFrame, rows: DataFrame, shingle: int, rate: float) -> DataF
                     t = h[cuts[k]: cuts[k + 1]]
                     if len(t):
                         child = np.unique(_children(t, np.array(batch.column(2)[lo + k].as_py(), np.int64).view(U64), rate)[1]).view(np.int64)
+                        if not len(child):
+                            continue
                         yield pa.RecordBatch.from_pydict({"node": child, "id": np.full(len(child), batch.column(0)[lo + k].as_py(), np.int64), "sketch": [_sketch(t)] * len(child)})
 
     wide = docs.join(rows, "id").select("id", "text", "parents")

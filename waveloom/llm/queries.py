@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, pieces, quality, repair, separators, substring
+from . import jaccard, language, pieces, quality, repair, separators, substring, vectors
 
 QUERIES = {
+    "op2_dimension_scan": vectors.query,
     "op3_repair_tokens": repair.query,
     "op4_piece_agenda": pieces.query,
     "op5_separator_scan": separators.query,
+    "op8_chosen_path_join": jaccard.query,
     "op9_quality": quality.query,
     "op10_language": language.query,
     "op7_substring_dedup": substring.query,
