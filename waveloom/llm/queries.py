@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, quality, repair, separators, substring, vectors
+from . import jaccard, language, pieces, quality, repair, separators, substring, vectors, wrappers
 
 QUERIES = {
     "op2_dimension_scan": vectors.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op8_chosen_path_join": jaccard.query,
     "op9_quality": quality.query,
     "op10_language": language.query,
+    "op6_page_wrappers": wrappers.query,
     "op7_substring_dedup": substring.query,
 }
 
