@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 12_000, id_col: str =
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_pydict({"col": at, "bad": sums[0][at], "good": sums[1][at]})
 
-    counted = (train.join(known, "_id").mapInArrow(count, "col long, bad long, good long")
+    counted = (train.join(known.hint("merge"), "_id").mapInArrow(count, "col long, bad long, good long")
                .groupBy("col").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas())
     sums = np.ones((2, 1 << BITS))
     sums[0][counted["col"]] += counted["bad"]
@@ -161,13 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 12_000, id_col: str =
     return {"weight": (w * ratio).astype(np.float32), "square": (ratio**2).astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all by default) with ``score`` (0 to 1, higher: class 1 likelier) and ``predicted`` (score >= threshold).
+def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None,
+          names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns (all by default) with a score (0 to 1, higher: class 1 likelier) and a prediction (score >= threshold).
 
     Reads the whole text and nothing else. Null and empty texts have no indicators and get the score of
-    the bias alone. Repeated rows get equal scores. Columns named score or predicted are replaced.
+    the bias alone. Repeated rows get equal scores. Columns of the input that have one of ``names`` are replaced.
     """
-    keep = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
+    keep = [c for c in (keep or docs.columns) if c not in names]
     box = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2^18 numbers
 
     def work(batches):
@@ -181,10 +182,10 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
                     z = m["slope"] * (sums / np.maximum(norm, 1e-12) + m["bias"]) + m["offset"]
                     out[lo: hi] = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             cols = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
-            yield pa.RecordBatch.from_pydict(cols | {"score": out, "predicted": (out >= threshold).astype(np.int32)})
+            yield pa.RecordBatch.from_pydict(cols | {names[0]: out, names[1]: (out >= threshold).astype(np.int32)})
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(work, schema + ", score double, predicted int")
+    return docs.select(*keep, *([] if text_col in keep else [text_col])).mapInArrow(work, f"{schema}, `{names[0]}` double, `{names[1]}` int")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -1,10 +1,11 @@
-"""Registered queries of the corpus operators. None of them has SQL text: each is tested against brute force."""
+"""Registered queries of the corpus operators. Those without SQL text are tested against brute force."""
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, quality, repair, separators, substring, vectors, wrappers
+from . import jaccard, language, pieces, quality, repair, separators, substring, templates, vectors, wrappers
 
 QUERIES = {
+    "op1_template_leaks": templates.query,
     "op2_dimension_scan": vectors.query,
     "op3_repair_tokens": repair.query,
     "op4_piece_agenda": pieces.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op7_substring_dedup": substring.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_template_leaks": templates.oracle()}

@@ -50,13 +50,13 @@ def _bucket_cuts(unique: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text",
-                   chunk_bytes: int = 8 << 20, bucket_windows: int = 2_000_000) -> DataFrame:
+                   chunk_bytes: int = 8 << 20, bucket_windows: int = 2_000_000, tidy: bool = True) -> DataFrame:
     """Remove each word covered by a window of ``window`` words that also starts in a text with a smaller id.
 
     Words are runs of characters other than ASCII white space, unchanged. Windows are judged on the
     input. Overlapping repeated windows merge into maximal removal intervals. Returns the input's
     columns with the text replaced by the kept words (joined by one space) and ``_n_words``,
-    ``_n_removed``.
+    ``_n_removed``. Without ``tidy``, texts that lose no word stay as they are.
 
     Null text stays null with zero words; texts shorter than a window lose nothing; rows with equal
     ids never remove from each other; rows with a null id lose nothing and remove nothing. Other
@@ -135,10 +135,15 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             between = k[:-1][w.doc[k[:-1]] == w.doc[k[1:]]]  # a kept word with a kept one after it in its text
             mask[w.end[between]] = True
             part[w.end[between]] = 32
+            cuts = np.bincount(w.doc[~here], minlength=hi - lo)
+            if not tidy:
+                whole = np.repeat(cuts == 0, np.diff(cut))
+                mask |= whole
+                part[whole] = blob[offsets[lo]: offsets[hi]][whole]
             texts.append(part[mask])
             place = np.concatenate([[0], np.cumsum(mask)])
             offs.extend((place[cut[1:]] + offs[-1]).tolist())
-            removed.append(np.bincount(w.doc[~here], minlength=hi - lo))
+            removed.append(cuts)
         out = text_from_bytes(np.concatenate(texts) if texts else np.zeros(0, np.uint8), np.array(offs), ~column.combine_chunks().is_null().to_numpy(zero_copy_only=False))
         cols = {c: t.column(c) for c in kept} | {text_col: out.cast(pa.string()) if len(out) == 0 or offs[-1] < 2**31 else out,
                                                  "_n_words": counts, "_n_removed": np.concatenate(removed) if removed else np.zeros(0, np.int64)}
