@@ -25,11 +25,3 @@ def sf_dir():
 @pytest.fixture(scope="session")
 def con():
     return database(SF)
-
-
-@pytest.fixture
-def spread(monkeypatch):
-    """Treat every input as large, so that the spread forms run."""
-    from waveloom.operators import ordered
-
-    monkeypatch.setattr(ordered, "SMALL_BYTES", 0)

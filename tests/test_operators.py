@@ -39,10 +39,7 @@ def brute(df):
     return pdf, pdf.groupby("k")
 
 
-@pytest.mark.parametrize("form", ["plain", "spread"])
-def test_ordered(spark, request, form):
-    if form == "spread":
-        request.getfixturevalue("spread")
+def test_ordered(spark):
     df = heavy(spark)
     pdf, g = brute(df)
     q = {r["k"]: r for r in od.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
@@ -57,11 +54,16 @@ def test_ordered(spark, request, form):
     assert np.allclose(run["lo"], run.groupby("k")["v"].cummin())
 
 
-def test_spread_queries(spark, con, sf_dir, spread):
-    from compare import check
-
-    for name in ("qc06_robust_zscore", "eva11_roc_auc", "eva12_pr_auc", "sta08_bh_adjust", "sta10_kruskal", "qc31_stratified_folds", "win05_eye_closed_intervals", "src10_carry_forward", "win09_macro_count"):
-        assert not check(spark, con, name, sf_dir)[3], name
+def test_no_partition_holds_a_heavy_key(spark):
+    """One subject with 70 % of the rows is spread over the partitions that number them."""
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 10).alias("k"), F.xxhash64("id").alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many partitions as large data would have
+    try:
+        placed = od._spread(df, ["k"], ["v", "id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = placed.filter("k = 0").groupBy("_pid").count().toPandas()["count"]
+    assert len(parts) >= 4 and parts.max() <= 0.5 * parts.sum()
 
 
 # ---- windows ------------------------------------------------------------------------------------

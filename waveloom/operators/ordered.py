@@ -1,9 +1,8 @@
 """Positions, running totals, ranks and exact quantiles that stay spread when one key holds most rows.
 
-A plain window gathers a whole key in one task. Here the rows are range partitioned by (key, order),
-so a heavy key spans many partitions; every partition is numbered or totalled on its own, and the
-small table of per-partition totals carries the offsets. Only where the tables behind the
-input are smaller than ``SMALL_BYTES`` together does a plain window do the same with one shuffle.
+A plain window gathers a whole key in one task. Here, at every size, the rows are range partitioned by
+(key, order), so a heavy key spans many partitions; every partition is numbered or totalled on its own,
+and the small table of per-partition totals carries the offsets.
 """
 
 from __future__ import annotations
@@ -17,21 +16,6 @@ from ..functions.exprs import c, over
 from .landing import land
 
 _LOW = (1 << 33) - 1
-SMALL_BYTES = 32 << 20
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the tables that ``df`` reads are below the limit together; an unknown size counts as large.
-
-    The tables are asked, not the result, because the planner multiplies the sizes of joined sides.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
-    except Exception:  # no estimates on this kind of session
-        return False
-    return sum(sizes) < SMALL_BYTES
-
 
 def _spread(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """Range partition and sort, then fix each row's partition and place by writing them down."""
@@ -58,8 +42,6 @@ def _same(a: DataFrame, b: DataFrame, keys: Sequence[str], hint: str | None = No
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "pos") -> DataFrame:
     """0-based position of each row inside its key."""
-    if is_small(df):
-        return df.withColumn(name, (F.row_number().over(over(list(keys), *[c(o) for o in order])) - 1).cast("long"))
     placed = _spread(df, keys, order)
     # one row per partition: bounded by the shuffle width, not by the data
     sizes = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
@@ -83,9 +65,6 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence, totals: dict[st
     ``totals`` maps an output name to ('sum' | 'min' | 'max', column). The order must be unique
     inside a key: aggregate equal order values first.
     """
-    if is_small(df):
-        w = over(list(keys), *[c(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[_MERGE[how](col).over(w).alias(n) for n, (how, col) in totals.items()])
     src = df.select("*", *[col.alias(f"_v_{name}") for name, (_, col) in totals.items()])
     placed = _spread(src, keys, order)
     here = over(["_pid", *keys], F.col("_idx")).rowsBetween(Window.unboundedPreceding, 0)
@@ -122,8 +101,6 @@ def tie_table(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str, Co
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles per key, one column per entry of ``probs``."""
     src = df.filter(F.col(value).isNotNull())
-    if is_small(df):
-        return src.groupBy(*keys).agg(*[F.percentile(value, F.lit(float(p))).alias(n) for n, p in probs.items()])
     ties = tie_table(src.select(*keys, value), keys, value)
     size = src.groupBy(*keys).agg(F.count("*").alias("_N"))
     t = attach(ties, size, keys)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import importlib
 from functools import partial
 
+from . import (  # noqa: F401  each registers its queries
+    cluster_queries,
+    connect_queries,
+    evaluate_queries,
+    graph_queries,
+    select_queries,
+    signal_queries,
+    source_queries,
+    stats_queries,
+)
 from .registry import QUERIES, full_sql, run
 
-for _m in ("signal", "connect", "graph", "select", "cluster", "evaluate", "stats", "source"):
-    try:
-        importlib.import_module(f".{_m}_queries", __package__)
-    except ModuleNotFoundError as e:
-        if f"{_m}_queries" not in str(e):
-            raise
-
 
 def callables():
     return {name: partial(_call, name) for name in QUERIES}

@@ -22,6 +22,8 @@ FS, WIN_LEN, WIN_STEP = 8.0, 8, 4
 # frequency bands that fit that rate, half open
 BANDS8 = {"low": (0.0, 2.0), "mid": (1.0, 4.0), "high": (3.0, 5.0)}
 
+CHANNELS = ("click", "error", "purchase", "signup", "view")
+
 _STORE: dict[tuple, DataFrame] = {}
 
 
@@ -46,16 +48,21 @@ class Tables:
     # ---- recordings ----
     @property
     def samples(self) -> DataFrame:
-        """subject_id, channel, t, value: rectangular recordings (every channel of a subject has n samples)."""
+        """subject_id, channel, t, value, n: every event of a subject, dealt to five channels in turn.
+
+        The last row of channels is completed with a channel's last value, so recordings are rectangular.
+        """
 
         def build():
-            e = self.table("events").select(
-                (F.col("user_id") % 20).alias("subject_id"), F.col("event_type").alias("channel"),
-                "ts", "event_id", (F.col("value") - 50).alias("value"))
-            numbered = positions(e, ["subject_id", "channel"], ["ts", "event_id"], "t")
-            size = (numbered.groupBy("subject_id", "channel").agg(F.count("*").alias("n"))
-                    .groupBy("subject_id").agg(F.min("n").alias("n")))
-            return numbered.join(size, "subject_id").filter("t < n").select("subject_id", "channel", "t", "value", "n")
+            e = self.table("events").select((F.col("user_id") % 20).alias("subject_id"), "ts", "event_id", (F.col("value") - 50).alias("value"))
+            size = e.groupBy("subject_id").agg(F.count("*").alias("k"))
+            placed = positions(e, ["subject_id"], ["ts", "event_id"], "p").join(size, "subject_id")
+            last = F.floor((F.col("k") - 1) / 5)
+            # a channel's last event stands for the missing one too
+            times = F.when((F.col("p") + 5 >= F.col("k")) & (F.floor(F.col("p") / 5) < last), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+            name = F.element_at(F.array(*[F.lit(x) for x in CHANNELS]), (F.col("p") % 5 + 1).cast("int"))
+            return placed.withColumn("later", F.explode(times)).select(
+                "subject_id", name.alias("channel"), (F.floor(F.col("p") / 5) + F.col("later")).alias("t"), "value", (last + 1).alias("n"))
 
         return self._stored("samples", build)
 
@@ -80,10 +87,10 @@ class Tables:
 
     @cached_property
     def markers(self) -> DataFrame:
-        """subject_id, sample, name: open and closed markers per user."""
-        e = self.table("events").filter(F.col("event_type").isin("click", "view")).select(
+        """subject_id, sample, name: every event of a user as an open or closed marker."""
+        e = self.table("events").select(
             F.col("user_id").alias("subject_id"), "ts", "event_id",
-            F.when(F.col("event_type") == "click", "eyes open").otherwise("eyes closed").alias("name"))
+            F.when(F.col("event_type").isin("click", "purchase"), "eyes open").otherwise("eyes closed").alias("name"))
         return positions(e, ["subject_id"], ["ts", "event_id"], "sample").select("subject_id", "sample", "name")
 
     # ---- graphs ----
@@ -161,13 +168,14 @@ class Tables:
 
 
 VIEW_SQL = {
+    "v_placed": """
+        SELECT user_id % 20 AS subject_id, value - 50 AS value, count(*) OVER (PARTITION BY user_id % 20) AS k,
+               row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS p FROM events""",
     "v_samples": """
-        SELECT e.*, n.n FROM (
-          SELECT user_id % 20 AS subject_id, event_type AS channel, value - 50 AS value,
-                 row_number() OVER (PARTITION BY user_id % 20, event_type ORDER BY ts, event_id) - 1 AS t FROM events) e
-        JOIN (SELECT subject_id, min(k) AS n FROM (
-                SELECT user_id % 20 AS subject_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY 1) n
-          ON e.subject_id = n.subject_id WHERE e.t < n.n""",
+        SELECT subject_id, ['click', 'error', 'purchase', 'signup', 'view'][p % 5 + 1] AS channel, p // 5 AS t, value, (k - 1) // 5 + 1 AS n FROM v_placed
+        UNION ALL
+        SELECT subject_id, ['click', 'error', 'purchase', 'signup', 'view'][p % 5 + 1], p // 5 + 1, value, (k - 1) // 5 + 1 FROM v_placed
+        WHERE p + 5 >= k AND p // 5 < (k - 1) // 5""",
     "v_windows": """
         SELECT s.subject_id, w.segment_id, s.channel, s.t - 4 * w.segment_id AS k, s.value,
                4 * w.segment_id AS start_sample, 4 * w.segment_id + 8 AS end_sample
@@ -176,8 +184,8 @@ VIEW_SQL = {
     "v_windex": "SELECT DISTINCT subject_id, segment_id, start_sample, end_sample FROM v_windows",
     "v_markers": """
         SELECT user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample,
-               CASE WHEN event_type = 'click' THEN 'eyes open' ELSE 'eyes closed' END AS name
-        FROM events WHERE event_type IN ('click', 'view')""",
+               CASE WHEN event_type IN ('click', 'purchase') THEN 'eyes open' ELSE 'eyes closed' END AS name
+        FROM events""",
     "v_nodes": """
         SELECT vec_id AS graph_id, vec_id % 25 AS subject_id, vec_id // 25 AS segment_id, vec_id % 25 % 3 AS label,
                k // 4 AS node, k % 4 AS feature, CAST(embedding[k + 1] AS DOUBLE) AS x
