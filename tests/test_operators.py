@@ -168,12 +168,28 @@ def test_spanning_tree_and_isolates(spark):
 
 def test_centrality_sums_to_one(spark):
     e = spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 2, 1.0), (0, 0, 2, 1.0)], "graph_id int, i int, j int, w double")
-    v = gr.node_theory(e).collect()
+    v = gr.node_theory(e, 3).collect()
     assert [r["eigenvector_centrality"] for r in v] == pytest.approx([1 / 3] * 3) and [r["weighted_clustering"] for r in v] == pytest.approx([1.0] * 3)
-    s = gr.eigen_summary(e).first()
+    s = gr.eigen_summary(e, 3).first()
     assert s["eig_1"] == pytest.approx(2.0) and s["eig_min"] == pytest.approx(-1.0)
 
 
+def test_graphs_with_isolated_nodes_and_without_edges(spark):
+    e = spark.createDataFrame([(0, 0, 1, 1.0)], "graph_id int, i int, j int, w double")
+    g = spark.createDataFrame([(0,), (1,)], "graph_id int")
+    s = {r["graph_id"]: r for r in gr.edge_summary(e, 4, g).collect()}
+    assert s[0]["edge_mean"] == pytest.approx(1 / 6) and s[0]["nonzero_ratio"] == pytest.approx(1 / 6) and s[0]["edge_min"] == 0 and s[0]["strength_mean"] == 0.5
+    assert s[1]["edge_mean"] == 0 and s[1]["edge_max"] == 0 and s[1]["degree_std"] == 0
+    v = {(r["graph_id"], r["node"]): r for r in gr.node_theory(e, 4, g).collect()}
+    assert len(v) == 8 and v[0, 0]["mean_abs_edge"] == pytest.approx(1 / 3) and v[0, 2]["strength"] == 0 and v[1, 0]["eigenvector_centrality"] == 0
+    x = {r["graph_id"]: r for r in gr.eigen_summary(e, 4, g).collect()}
+    assert x[0]["eig_2"] == pytest.approx(0) and x[0]["eig_min"] == pytest.approx(-1) and x[1]["eig_1"] == 0
+    p = {r["graph_id"]: r for r in gr.path_metrics(e, 4, graphs=g).collect()}
+    assert p[0]["efficiency"] == pytest.approx(1 / 6) and p[0]["path_length"] is None and p[1]["density"] == 0
+    n = gr.symmetric_normalize(e, nodes=g.crossJoin(spark.range(4).withColumnRenamed("id", "node")))
+    assert n.filter("i = j").count() == 8
+
+
 def test_labels_of_both_data_sets(spark):
     from waveloom.operators import projections as prj
 

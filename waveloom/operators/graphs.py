@@ -364,12 +364,37 @@ def graph_vector(nodes: DataFrame, edges: DataFrame, graph: Sequence[str] = G, z
     return f.join(e, list(graph)).select(*graph, F.concat(F.col("_n.x"), F.col("_e.w")).alias("vector"))
 
 
-def symmetric_normalize(edges: DataFrame, *, self_loops: bool = True, abs_degree: bool = False, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
-    """GRA15: w / sqrt(d_i d_j) with self loops of 1 (also returned), degrees at least 1e-8; rows (graph.., i, j, w) both ways."""
+def _every(graphs: DataFrame | None, edges: DataFrame, graph: Sequence[str]) -> DataFrame:
+    """One row per graph: those of ``graphs``, so that graphs without an edge count; else those that have edges."""
+    return (edges if graphs is None else graphs).select(*graph).distinct()
+
+
+def _packed(edges: DataFrame, graphs: DataFrame | None, graph: Sequence[str], w: str | None) -> DataFrame:
+    """One row per graph with its edges in one array ``_e`` (empty for a graph without edges)."""
+    e = F.struct("i", "j", F.col(w).alias("w")) if w else F.struct("i", "j")
+    g = edges.groupBy(*graph).agg(F.sort_array(F.collect_list(e)).alias("_e"))
+    return g if graphs is None else _every(graphs, edges, graph).join(g, list(graph), "left").withColumn("_e", F.coalesce("_e", F.array().cast(g.schema["_e"].dataType)))
+
+
+def _stack(i: pd.Series, j: pd.Series, v: pd.Series | None, n: int) -> np.ndarray:
+    """Symmetric matrices of all graphs of a batch, [graphs, n, n]."""
+    out = np.zeros((len(i), n, n))
+    which = np.repeat(np.arange(len(i)), [len(x) for x in i])
+    if len(which):
+        p, q = np.concatenate(i.to_list()).astype(int), np.concatenate(j.to_list()).astype(int)
+        out[which, p, q] = out[which, q, p] = 1.0 if v is None else np.concatenate(v.to_list()).astype(float)
+    return out
+
+
+def symmetric_normalize(edges: DataFrame, *, nodes: DataFrame | None = None, self_loops: bool = True, abs_degree: bool = False, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
+    """GRA15: w / sqrt(d_i d_j) with self loops of 1 (also returned), degrees at least 1e-8; rows (graph.., i, j, w) both ways.
+
+    ``nodes`` (graph.., node) gives loops to nodes without an edge too; without it only nodes with edges have one.
+    """
     both = mirror(edges.select(*graph, "i", "j", w))
     if self_loops:
-        loops = both.select(*graph, "i").distinct().select(*graph, "i", F.col("i").alias("j"), F.lit(1.0).alias(w))
-        both = both.unionByName(loops)
+        own = both.select(*graph, "i") if nodes is None else nodes.select(*graph, F.col("node").alias("i"))
+        both = both.unionByName(own.distinct().select(*graph, "i", F.col("i").alias("j"), F.lit(1.0).alias(w)))
     # row sums equal column sums, so each degree comes from a window over one graph's rows
     val = F.abs(w) if abs_degree else F.col(w)
     di = F.greatest(F.sum(val).over(over([*graph, "i"])), F.lit(EPS))
@@ -377,59 +402,66 @@ def symmetric_normalize(edges: DataFrame, *, self_loops: bool = True, abs_degree
     return both.withColumn("_w", F.col(w) / F.sqrt(di * dj)).drop(w).withColumnRenamed("_w", w)
 
 
-def node_theory(edges: DataFrame, graph: Sequence[str] = G, w: str = "w", iterations: int = 200, tol: float = 1e-6) -> DataFrame:
-    """GRA16: strength, abs / positive / negative strength, mean abs edge, weighted clustering, eigenvector centrality per node."""
+def node_theory(edges: DataFrame, n_nodes: int, graphs: DataFrame | None = None, graph: Sequence[str] = G, w: str = "w", iterations: int = 200, tol: float = 1e-6) -> DataFrame:
+    """GRA16: strength, abs / positive / negative strength, mean abs edge, weighted clustering, eigenvector centrality of
+    nodes 0 .. n_nodes - 1, those without an edge included; ``graphs`` adds graphs without edges.
 
-    def one(i, j, v):
-        ids = sorted(set(i.tolist()) | set(j.tolist()))
-        at = {n: k for k, n in enumerate(ids)}
-        n = len(ids)
-        a = np.zeros((n, n))
-        p, q = [at[x] for x in i], [at[x] for x in j]
-        a[p, q] = a[q, p] = v
-        m = np.abs(a)
-        top = m.max() if n else 0.0
-        clus = np.zeros(n)
-        if n >= 3 and top >= EPS:
-            s = np.where(m / top > EPS, m / top, 0.0)
-            deg = (s > 0).sum(axis=1)
-            tri = np.einsum("ij,jk,ki->i", np.cbrt(s), np.cbrt(s), np.cbrt(s))
-            clus = np.where(deg > 1, tri / np.maximum(deg * (deg - 1), 1), 0.0)
-        vec = np.ones(n) / np.sqrt(n)
-        for _ in range(iterations):
-            nxt = m @ vec
-            size = np.linalg.norm(nxt)
-            if size < EPS:
-                vec = np.zeros(n)
-                break
-            nxt /= size
-            done = np.max(np.abs(nxt - vec)) < tol
-            vec = nxt
-            if done:
-                break
-        tot = vec.sum()
-        vec = vec / tot if tot > EPS else vec
-        rows = np.stack([a.sum(1), m.sum(1), np.maximum(a, 0).sum(1), np.maximum(-a, 0).sum(1), m.sum(1) / max(n - 1, 1), clus, vec], axis=1)
-        return [[float(node), *r] for node, r in zip(ids, rows)]
+    All graphs of a batch are worked together. ``iterations`` is the reference's bound on power steps.
+    """
 
     @F.pandas_udf("array<array<double>>")
     def run(i: pd.Series, j: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([one(np.asarray(a), np.asarray(b), np.asarray(d, float)) for a, b, d in zip(i, j, v)])
+        a = _stack(i, j, v, n_nodes)
+        m = np.abs(a)
+        top = m.max(axis=(1, 2))
+        scaled = m / np.where(top > 0, top, 1.0)[:, None, None]
+        s = np.where((scaled > EPS) & (top >= EPS)[:, None, None], scaled, 0.0) if n_nodes >= 3 else np.zeros_like(m)
+        deg, root = (s > 0).sum(2), np.cbrt(s)
+        tri = np.einsum("gij,gji->gi", root @ root, root)
+        clus = np.where(deg > 1, tri / np.maximum(deg * (deg - 1), 1), 0.0)
+        vec = np.full((len(m), n_nodes), 1 / np.sqrt(n_nodes))
+        open_ = np.arange(len(m))
+        for _ in range(iterations):
+            nxt = np.einsum("gij,gj->gi", m[open_], vec[open_])
+            size = np.linalg.norm(nxt, axis=1)
+            alive = size >= EPS
+            nxt = np.where(alive[:, None], nxt / np.where(alive, size, 1.0)[:, None], 0.0)
+            done = ~alive | (np.abs(nxt - vec[open_]).max(1) < tol)
+            vec[open_] = nxt
+            open_ = open_[~done]
+            if not len(open_):
+                break
+        tot = vec.sum(1, keepdims=True)
+        vec = np.where(tot > EPS, vec / np.where(tot > EPS, tot, 1.0), vec)
+        out = np.stack([a.sum(2), m.sum(2), np.maximum(a, 0).sum(2), np.maximum(-a, 0).sum(2), m.sum(2) / max(n_nodes - 1, 1), clus, vec], axis=2)
+        return pd.Series([list(g) for g in out])
 
-    g = edges.groupBy(*graph).agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col(w).alias("w")))).alias("_e"))
-    r = g.select(*graph, F.explode_outer(run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w"))).alias("_r"))
+    r = _packed(edges, graphs, graph, w).select(*graph, F.posexplode(run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w"))).alias("node", "_r"))
     names = ["strength", "abs_strength", "pos_strength", "neg_strength", "mean_abs_edge", "weighted_clustering", "eigenvector_centrality"]
-    return r.select(*graph, F.element_at("_r", 1).cast("int").alias("node"), *[F.element_at("_r", k + 2).alias(n) for k, n in enumerate(names)])
+    return r.select(*graph, "node", *[F.element_at("_r", k + 1).alias(n) for k, n in enumerate(names)])
+
+
+def edge_summary(edges: DataFrame, n_nodes: int, graphs: DataFrame | None = None, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
+    """GRA17: edge mean, std, min, max, nonzero share over all pairs of nodes; node strength and degree statistics over all
+    nodes (population std). A pair without an edge counts as 0; ``graphs`` adds graphs without edges."""
+    pairs = n_nodes * (n_nodes - 1) // 2
+
+    def stats(total, square, n, prefix):
+        mean = total / n
+        return [mean.alias(f"{prefix}_mean"), F.sqrt(F.greatest(square / n - mean * mean, F.lit(0.0))).alias(f"{prefix}_std")]
 
+    def span(low, high, seen, n, prefix):
+        return [F.when(seen < n, F.least(low, F.lit(0.0))).otherwise(low).alias(f"{prefix}_min"), F.when(seen < n, F.greatest(high, F.lit(0.0))).otherwise(high).alias(f"{prefix}_max")]
 
-def edge_summary(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
-    """GRA17: edge mean, std, min, max, nonzero share; node strength and degree statistics (population std)."""
-    e = edges.groupBy(*graph).agg(F.avg(w).alias("edge_mean"), F.stddev_pop(w).alias("edge_std"), F.min(w).alias("edge_min"), F.max(w).alias("edge_max"),
-                                  F.avg(F.when(F.abs(w) > EPS, 1.0).otherwise(0.0)).alias("nonzero_ratio"))
-    s = mirror(edges.select(*graph, "i", "j", w)).groupBy(*graph, "i").agg(F.sum(w).alias("_s"), F.sum(F.when(F.abs(w) > EPS, 1).otherwise(0)).alias("_d"))
-    s = s.groupBy(*graph).agg(F.avg("_s").alias("strength_mean"), F.stddev_pop("_s").alias("strength_std"), F.min("_s").alias("strength_min"),
-                              F.max("_s").alias("strength_max"), F.avg("_d").alias("degree_mean"), F.stddev_pop("_d").alias("degree_std"))
-    return e.join(s, list(graph))
+    big = F.when(F.abs(w) > EPS, 1).otherwise(0)
+    e = edges.groupBy(*graph).agg(F.sum(w).alias("s"), F.sum(F.col(w) * F.col(w)).alias("q"), F.min(w).alias("lo"), F.max(w).alias("hi"), F.count("*").alias("k"), F.sum(big).alias("b"))
+    d = mirror(edges.select(*graph, "i", "j", w)).groupBy(*graph, "i").agg(F.sum(w).alias("v"), F.sum(big).alias("d"))
+    d = d.groupBy(*graph).agg(F.sum("v").alias("vs"), F.sum(F.col("v") * F.col("v")).alias("vq"), F.min("v").alias("vlo"), F.max("v").alias("vhi"), F.count("*").alias("vk"),
+                              F.sum("d").alias("ds"), F.sum(F.col("d") * F.col("d")).alias("dq"))
+    j = _every(graphs, edges, graph).join(e, list(graph), "left").join(d, list(graph), "left").fillna(0)
+    at = F.col
+    return j.select(*graph, *stats(at("s"), at("q"), pairs, "edge"), *span(at("lo"), at("hi"), at("k"), pairs, "edge"), (at("b") / pairs).alias("nonzero_ratio"),
+                    *stats(at("vs"), at("vq"), n_nodes, "strength"), *span(at("vlo"), at("vhi"), at("vk"), n_nodes, "strength"), *stats(at("ds"), at("dq"), n_nodes, "degree"))
 
 
 def feature_summary(nodes: DataFrame, graph: Sequence[str] = G) -> DataFrame:
@@ -437,61 +469,51 @@ def feature_summary(nodes: DataFrame, graph: Sequence[str] = G) -> DataFrame:
     return nodes.groupBy(*graph, "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
 
 
-def eigen_summary(edges: DataFrame, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
-    """GRA17: largest, second, mean, std and smallest eigenvalue of the adjacency."""
+def eigen_summary(edges: DataFrame, n_nodes: int, graphs: DataFrame | None = None, graph: Sequence[str] = G, w: str = "w") -> DataFrame:
+    """GRA17: largest, second, mean, std and smallest eigenvalue of the adjacency of all nodes."""
 
     @F.pandas_udf("array<double>")
     def run(i: pd.Series, j: pd.Series, v: pd.Series) -> pd.Series:
-        out = []
-        for a, b, d in zip(i, j, v):
-            ids = {n: k for k, n in enumerate(sorted({*a, *b}))}
-            m = np.zeros((len(ids), len(ids)))
-            p, q = [ids[x] for x in a], [ids[x] for x in b]
-            m[p, q] = m[q, p] = d
-            e = np.linalg.eigvalsh(m)
-            out.append([e[-1], e[-2] if len(e) > 1 else e[-1], e.mean(), e.std(), e.min()])
-        return pd.Series(out)
-
-    g = edges.groupBy(*graph).agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col(w).alias("w")))).alias("_e"))
-    r = g.select(*graph, run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w")).alias("_v"))
+        e = np.linalg.eigvalsh(_stack(i, j, v, n_nodes))
+        return pd.Series(list(np.stack([e[:, -1], e[:, -2] if n_nodes > 1 else e[:, -1], e.mean(1), e.std(1), e[:, 0]], axis=1)))
+
+    r = _packed(edges, graphs, graph, w).select(*graph, run(F.col("_e.i"), F.col("_e.j"), F.col("_e.w")).alias("_v"))
     return r.select(*graph, *[F.element_at("_v", k + 1).alias(n) for k, n in enumerate(["eig_1", "eig_2", "eig_mean", "eig_std", "eig_min"])])
 
 
 def summary_vector(nodes: DataFrame, edges: DataFrame, n_nodes: int, graph: Sequence[str] = G) -> DataFrame:
-    """GRA17: the whole summary as one array."""
+    """GRA17: the whole summary as one array, for every graph that has nodes."""
     f = feature_summary(nodes, graph).groupBy(*graph).agg(F.sort_array(F.collect_list(F.struct("feature", "mean", "std", "min", "max"))).alias("_f"))
-    es, ei = edge_summary(edges, n_nodes, graph), eigen_summary(edges, graph)
+    es, ei = edge_summary(edges, n_nodes, nodes, graph), eigen_summary(edges, n_nodes, nodes, graph)
     names = [k for k in es.columns if k not in graph] + [k for k in ei.columns if k not in graph]
     j = f.join(es, list(graph)).join(ei, list(graph))
     return j.select(*graph, F.concat("_f.mean", "_f.std", "_f.min", "_f.max", F.array(*names)).alias("summary"))
 
 
-def path_metrics(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G) -> DataFrame:
-    """GRA18: global efficiency, mean shortest path (unweighted; null when disconnected) and density of an edge set."""
+def path_metrics(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G, graphs: DataFrame | None = None) -> DataFrame:
+    """GRA18: global efficiency, mean shortest path (unweighted; null when disconnected) and density of an edge set.
+
+    ``graphs`` adds graphs without edges (efficiency and density 0). All graphs of a batch advance together.
+    """
 
     @F.pandas_udf("array<double>")
     def run(i: pd.Series, j: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(i, j):
-            adj = np.zeros((n_nodes, n_nodes), bool)
-            adj[a, b] = adj[b, a] = True
-            dist = np.full((n_nodes, n_nodes), np.inf)
-            np.fill_diagonal(dist, 0)
-            reach, step = np.eye(n_nodes, dtype=bool), 0
-            while True:
-                step += 1
-                new = (reach @ adj) & np.isinf(dist)
-                if not new.any():
-                    break
-                dist[new] = step
-                reach = new
-            off = dist[~np.eye(n_nodes, dtype=bool)]
-            mean = off.mean()
-            out.append([float((1 / off).mean()), None if np.isinf(mean) else float(mean), len(a) * 2 / (n_nodes * (n_nodes - 1))])
-        return pd.Series(out)
-
-    g = edges.groupBy(*graph).agg(F.collect_list(F.struct("i", "j")).alias("_e"))
-    r = g.select(*graph, run(F.col("_e.i"), F.col("_e.j")).alias("_v"))
+        adj = _stack(i, j, None, n_nodes) > 0
+        dist = np.where(np.eye(n_nodes, dtype=bool), 0.0, np.inf)[None].repeat(len(adj), 0)
+        reach, step = np.eye(n_nodes)[None].repeat(len(adj), 0), 0
+        while True:
+            step += 1
+            new = ((reach @ adj) > 0) & np.isinf(dist)
+            if not new.any():
+                break
+            dist[new] = step
+            reach = new.astype(float)
+        off = dist[:, ~np.eye(n_nodes, dtype=bool)]
+        mean, near = off.mean(1), (1 / off).mean(1)
+        dense = adj.sum((1, 2)) / max(n_nodes * (n_nodes - 1), 1)
+        return pd.Series([[float(e), None if np.isinf(m) else float(m), float(d)] for e, m, d in zip(near, mean, dense)])
+
+    r = _packed(edges, graphs, graph, None).select(*graph, run(F.col("_e.i"), F.col("_e.j")).alias("_v"))
     return r.select(*graph, F.element_at("_v", 1).alias("efficiency"), F.element_at("_v", 2).alias("path_length"), F.element_at("_v", 3).alias("density"))
 
 
@@ -503,12 +525,13 @@ def backbone(edges: DataFrame, *, subject: Sequence[str] = ("subject_id",), orde
     return mean.join(topo, [*subject, "i", "j"], "left_semi")
 
 
-def cross_region_count(edges: DataFrame, members: DataFrame, a, b, graph: Sequence[str] = G) -> DataFrame:
-    """GRA18: number of edges from region a to region b."""
+def cross_region_count(edges: DataFrame, members: DataFrame, a, b, graph: Sequence[str] = G, graphs: DataFrame | None = None) -> DataFrame:
+    """GRA18: number of edges from region a to region b; ``graphs`` adds graphs without edges."""
     ri, rj = F.broadcast(members.select(F.col("node").alias("i"), F.col("region").alias("_ri"))), F.broadcast(members.select(F.col("node").alias("j"), F.col("region").alias("_rj")))
     e = edges.join(ri, "i").join(rj, "j")
     hit = ((F.col("_ri") == a) & (F.col("_rj") == b)) | ((F.col("_ri") == b) & (F.col("_rj") == a))
-    return e.groupBy(*graph).agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_cross"))
+    n = e.groupBy(*graph).agg(F.sum(F.when(hit, 1).otherwise(0)).alias("n_cross"))
+    return _every(graphs, edges, graph).join(n, list(graph), "left").fillna(0, ["n_cross"])
 
 
 def edge_frequency(edges: DataFrame, graphs: DataFrame, label: str = "label", graph: str = "graph_id") -> DataFrame:
@@ -542,12 +565,14 @@ def rank_edges(class_stats: DataFrame, label: str = "label") -> DataFrame:
 
 # ---- stability, scores, labels ------------------------------------------------------------------
 
-def consecutive_stability(edges: DataFrame, *, subject: str = "subject_id", segment: str = "segment_id", w: str = "w", max_pairs: int | None = None) -> DataFrame:
+def consecutive_stability(edges: DataFrame, *, segments: DataFrame | None = None, subject: str = "subject_id", segment: str = "segment_id", w: str = "w",
+                          max_pairs: int | None = None) -> DataFrame:
     """GRA21: Jaccard of edge sets and correlation of weights between consecutive segments of a subject.
 
-    Neighbours meet by an equi join on the segment's place in its subject. ``max_pairs`` keeps the first pairs of a subject.
+    Neighbours meet by an equi join on the segment's place in its subject. ``segments`` (subject, segment) keeps segments
+    without an edge in their place: two empty neighbours have a Jaccard of 0. ``max_pairs`` keeps the first pairs of a subject.
     """
-    g = edges.groupBy(subject, segment).agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col(w).alias("w")))).alias("_e"))
+    g = _packed(edges, segments, [subject, segment], w)
     g = g.select(subject, segment, F.transform("_e", lambda e: F.struct(e["i"].alias("i"), e["j"].alias("j"))).alias("_s"), F.col("_e.w").alias("_w"))
     at = positions(g, [subject], [segment], "_n")
     nxt = at.select(subject, (F.col("_n") - 1).alias("_n"), F.col(segment).alias("next_segment"), F.col("_s").alias("_s2"), F.col("_w").alias("_w2"))
@@ -700,9 +725,8 @@ def edges_to_dense(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G, w:
     return m.select(*graph, F.transform(seq, lambda i: F.transform(seq, lambda j: F.coalesce(F.try_element_at("_m", (i * n_nodes + j).cast("int")), F.lit(0.0)))).alias("matrix"))
 
 
-def density(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G) -> DataFrame:
-    """GRA29: nonzero entries (both directions), density and sparsity."""
-    return edges.groupBy(*graph).agg((2 * F.count("*")).alias("nnz")).withColumn("density", F.col("nnz") / (n_nodes * n_nodes)).withColumn(
+def density(edges: DataFrame, n_nodes: int, graph: Sequence[str] = G, graphs: DataFrame | None = None) -> DataFrame:
+    """GRA29: nonzero entries (both directions), density and sparsity; ``graphs`` adds graphs without edges."""
+    n = edges.groupBy(*graph).agg((2 * F.count("*")).alias("nnz"))
+    return _every(graphs, edges, graph).join(n, list(graph), "left").fillna(0, ["nnz"]).withColumn("density", F.col("nnz") / (n_nodes * n_nodes)).withColumn(
         "sparsity", 1 - F.col("nnz") / (n_nodes * n_nodes))
-
-

@@ -237,13 +237,14 @@ def keep_clean_filter(graphs: DataFrame, m: DataFrame, *, default: bool | None =
     without a row (None drops them)."""
     from .projections import without_prefix
 
-    g = graphs.withColumn("_id", F.explode(F.array_distinct(F.array(F.col(S).cast("string"), without_prefix(F.col(S).cast("string"))))))
-    mm = m.select(F.col(S).cast("string").alias("_id"), SEG, F.col("keep_clean").alias("_keep"))
-    ids = [x for x in graphs.columns]
-    j = g.join(mm, ["_id", SEG], "left").withColumn("_exact", (F.col("_id") == F.col(S).cast("string")).cast("int"))
-    # one or two candidate rows per graph: the exact id wins
-    best = j.groupBy(*ids).agg(F.max_by("_keep", F.when(F.col("_keep").isNotNull(), F.col("_exact"))).alias("_keep"))
-    return best.filter(F.coalesce("_keep", F.lit(bool(default)))).drop("_keep")
+    own = F.col(S).cast("string")
+    mm = m.select(F.col(S).cast("string").alias("_id"), F.col(SEG).alias("_seg"), F.col("keep_clean").alias("_keep"))
+    j = graphs.withColumns({"_own": own, "_bare": without_prefix(own)})
+    for k, name in enumerate(("_own", "_bare")):  # the exact id wins
+        r = mm.select(F.col("_id").alias(name), F.col("_seg").alias(SEG), F.col("_keep").alias(f"_keep{k}"))
+        j = j.join(r, [name, SEG], "left")
+    keep = F.coalesce("_keep0", "_keep1", F.lit(bool(default)))
+    return j.filter(keep).select(*graphs.columns)
 
 
 def noise_clusters(m: DataFrame, *, cluster: str = "cluster", distance: str = "distance", min_size: int = 50, min_clean: float = 0.5, far_q: float = 0.95) -> DataFrame:

@@ -261,12 +261,12 @@ def _(t):
       sum(abs(w)) / 15 AS mean_abs_edge FROM v_both GROUP BY 1, 2)
     SELECT st.*, t / (k * (k - 1)) AS weighted_clustering FROM st JOIN tri USING (graph_id, node) JOIN k USING (graph_id, node)""")
 def _(t):
-    return gr.node_theory(edges(t))
+    return gr.node_theory(edges(t), 16)
 
 
 @query("gra16_eigenvector_centrality", "graph_id:i node:i eigenvector_centrality:d5")
 def _(t):
-    return gr.node_theory(edges(t))
+    return gr.node_theory(edges(t), 16)
 
 
 @query("gra17_edge_summary", "graph_id:i edge_mean:d edge_std:d edge_min:d edge_max:d nonzero_ratio:d strength_mean:d strength_std:d strength_min:d strength_max:d degree_mean:d degree_std:d", """
@@ -283,9 +283,95 @@ def _(t):
     return gr.feature_summary(t.nodes)
 
 
+# graphs of strong edges only: with nodes without an edge, and graphs without any
+STRONG = "0.6"
+_SE = f"(SELECT * FROM v_edges WHERE abs(w) >= {STRONG})"
+_SB = f"(SELECT * FROM v_both WHERE abs(w) >= {STRONG})"
+_FULL = f"""(SELECT g.graph_id, a.n AS i, b.n AS j, coalesce(e.w, 0) AS w FROM v_graphs g CROSS JOIN range(16) a(n) CROSS JOIN range(16) b(n)
+    LEFT JOIN {_SB} e ON e.graph_id = g.graph_id AND e.i = a.n AND e.j = b.n WHERE a.n <> b.n)"""
+
+
+def strong(t):
+    return gr.threshold_topology(edges(t), float(STRONG))
+
+
+def all_graphs(t):
+    return t.graphs.select("graph_id")
+
+
+@query("gra15_normalize_isolated", _E, f"""
+    WITH a AS (SELECT graph_id, i, j, w FROM {_SB} UNION ALL SELECT DISTINCT graph_id, node, node, 1.0 FROM v_nodes),
+    d AS (SELECT graph_id, i AS n, greatest(sum(abs(w)), 1e-8) AS d FROM a GROUP BY 1, 2)
+    SELECT a.graph_id, a.i, a.j, w / sqrt(p.d * q.d) AS w FROM a JOIN d p ON p.graph_id = a.graph_id AND p.n = a.i JOIN d q ON q.graph_id = a.graph_id AND q.n = a.j""")
+def _(t):
+    return gr.symmetric_normalize(strong(t), nodes=t.nodes.select("graph_id", "node"), abs_degree=True)
+
+
+@query("gra16_theory_isolated", "graph_id:i node:i strength:d abs_strength:d pos_strength:d neg_strength:d mean_abs_edge:d weighted_clustering:d", f"""
+    WITH m AS (SELECT graph_id, max(abs(w)) AS m FROM {_SE} GROUP BY 1),
+    s AS (SELECT graph_id, i, j, abs(w) / m AS s FROM {_SB} JOIN m USING (graph_id) WHERE abs(w) / m > 1e-8),
+    tri AS (SELECT a.graph_id, a.i AS node, 2 * sum(pow(a.s * b.s * c.s, 1.0 / 3)) AS t FROM s a JOIN s b ON a.graph_id = b.graph_id AND a.i = b.i AND a.j < b.j
+      JOIN s c ON c.graph_id = a.graph_id AND c.i = a.j AND c.j = b.j GROUP BY 1, 2),
+    k AS (SELECT graph_id, i AS node, count(*) AS k FROM s GROUP BY 1, 2),
+    st AS (SELECT graph_id, i AS node, sum(w) AS strength, sum(abs(w)) AS abs_strength, sum(greatest(w, 0)) AS pos_strength, sum(greatest(-w, 0)) AS neg_strength,
+      sum(abs(w)) / 15 AS mean_abs_edge FROM {_FULL} GROUP BY 1, 2)
+    SELECT st.*, coalesce(t / (k * (k - 1)), 0) AS weighted_clustering FROM st LEFT JOIN tri USING (graph_id, node) LEFT JOIN k USING (graph_id, node)""")
+def _(t):
+    return gr.node_theory(strong(t), 16, all_graphs(t))
+
+
+@query("gra17_edges_isolated", "graph_id:i edge_mean:d edge_std:d edge_min:d edge_max:d nonzero_ratio:d strength_mean:d strength_std:d strength_min:d strength_max:d degree_mean:d degree_std:d", f"""
+    WITH f AS {_FULL},
+    e AS (SELECT graph_id, avg(w) AS edge_mean, stddev_pop(w) AS edge_std, min(w) AS edge_min, max(w) AS edge_max, avg(CASE WHEN abs(w) > 1e-8 THEN 1.0 ELSE 0 END) AS nonzero_ratio FROM f GROUP BY 1),
+    s AS (SELECT graph_id, i, sum(w) AS s, count(*) FILTER (WHERE abs(w) > 1e-8) AS d FROM f GROUP BY 1, 2)
+    SELECT e.*, u.* EXCLUDE (graph_id) FROM e JOIN (SELECT graph_id, avg(s) AS strength_mean, stddev_pop(s) AS strength_std, min(s) AS strength_min, max(s) AS strength_max,
+      avg(d) AS degree_mean, stddev_pop(d) AS degree_std FROM s GROUP BY 1) u USING (graph_id)""")
+def _(t):
+    return gr.edge_summary(strong(t), 16, all_graphs(t))
+
+
+@query("gra17_eigen_isolated", "graph_id:i trace_share:d square_sum:d", f"""
+    SELECT graph_id, 0 AS trace_share, sum(w * w) / 16 AS square_sum FROM {_FULL} GROUP BY 1""")
+def _(t):
+    """The eigenvalues' mean is the trace and their mean square the squared entries, each over the number of nodes."""
+    e = gr.eigen_summary(strong(t), 16, all_graphs(t))
+    return e.select("graph_id", F.col("eig_mean").alias("trace_share"), (F.col("eig_std") ** 2 + F.col("eig_mean") ** 2).alias("square_sum"))
+
+
+@query("gra18_cross_isolated", "graph_id:i n_cross:i", f"""
+    SELECT g.graph_id, count(e.i) FILTER (WHERE e.i // 4 = 0 AND e.j // 4 = 3) AS n_cross FROM v_graphs g LEFT JOIN {_SE} e ON e.graph_id = g.graph_id GROUP BY 1""")
+def _(t):
+    m = t.nodes.select("node", F.floor(F.col("node") / 4).cast("int").alias("region")).distinct()
+    return gr.cross_region_count(strong(t), m, 0, 3, graphs=all_graphs(t))
+
+
+@query("gra18_paths_isolated", "graph_id:i density:d connected_or_null:i", f"""
+    SELECT g.graph_id, count(e.i) / 120 AS density, 1 AS connected_or_null FROM v_graphs g LEFT JOIN {_SE} e ON e.graph_id = g.graph_id GROUP BY 1""")
+def _(t):
+    """Density of every graph; a mean path is there only where the efficiency is above 0."""
+    p = gr.path_metrics(strong(t), 16, graphs=all_graphs(t))
+    return p.select("graph_id", "density", F.when(F.col("path_length").isNull() | (F.col("efficiency") > 0), 1).otherwise(0).alias("connected_or_null"))
+
+
+@query("gra21_stability_isolated", "subject_id:i segment_id:i next_segment:i jaccard:d", f"""
+    WITH g AS (SELECT subject_id, segment_id, i, j FROM {_SE}),
+    c AS (SELECT s.subject_id, s.segment_id, count(g.i) AS n FROM v_graphs s LEFT JOIN g ON g.subject_id = s.subject_id AND g.segment_id = s.segment_id GROUP BY 1, 2),
+    k AS (SELECT a.subject_id, a.segment_id, count(*) AS k FROM g a JOIN g b ON a.subject_id = b.subject_id AND b.segment_id = a.segment_id + 1 AND a.i = b.i AND a.j = b.j GROUP BY 1, 2)
+    SELECT a.subject_id, a.segment_id, b.segment_id AS next_segment, coalesce(k, 0) / greatest(a.n + b.n - coalesce(k, 0), 1) AS jaccard FROM c a JOIN c b
+      ON a.subject_id = b.subject_id AND b.segment_id = a.segment_id + 1 LEFT JOIN k ON k.subject_id = a.subject_id AND k.segment_id = a.segment_id""")
+def _(t):
+    return gr.consecutive_stability(gr.threshold_topology(t.edges, float(STRONG)), segments=t.graphs.select("subject_id", "segment_id"))
+
+
+@query("gra29_density_isolated", "graph_id:i nnz:i density:d sparsity:d", f"""
+    SELECT g.graph_id, 2 * count(e.i) AS nnz, 2 * count(e.i) / 256 AS density, 1 - 2 * count(e.i) / 256 AS sparsity FROM v_graphs g LEFT JOIN {_SE} e ON e.graph_id = g.graph_id GROUP BY 1""")
+def _(t):
+    return gr.density(strong(t), 16, graphs=all_graphs(t))
+
+
 @query("gra17_eigen_summary", "graph_id:i eig_1:d5 eig_2:d5 eig_mean:d5 eig_std:d5 eig_min:d5")
 def _(t):
-    return gr.eigen_summary(edges(t))
+    return gr.eigen_summary(edges(t), 16)
 
 
 def paths_sql(src, n=16):
