@@ -112,11 +112,20 @@ class Words:
     first word (n + 1 entries); ``hash``: 64-bit polynomial hash of each word's bytes.
     """
 
-    def __init__(self, blob: np.ndarray, offsets: np.ndarray):
+    def __init__(self, blob: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None):
+        """``kinds``: kind of each byte value if words also end where the kind changes; 0 is space, and
+        each byte of the highest kind is a word of its own."""
         n = len(blob)
-        inside = ~_SPACE[blob]
-        opens = inside.copy()
-        opens[1:] &= ~inside[:-1]
+        if kinds is None:
+            inside = ~_SPACE[blob]
+            opens = inside.copy()
+            opens[1:] &= ~inside[:-1]
+        else:
+            kind = kinds[blob]
+            inside = kind > 0
+            opens = inside & (kind == kinds.max())
+            opens[1:] |= inside[1:] & (kind[1:] != kind[:-1])
+            opens[:1] = inside[:1]
         heads = offsets[:-1][offsets[:-1] < offsets[1:]]
         opens[heads] = inside[heads]
         closes = np.empty(n, bool)
@@ -145,6 +154,60 @@ class Words:
         return mix(h[at]), at
 
 
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Join of flat[start[i] : start[i] + size[i]] over i."""
+    some = size > 0
+    if not some.all():
+        start, size = start[some], size[some]
+    if not len(size):
+        return flat[:0]
+    ends = np.cumsum(size)
+    step = np.ones(int(ends[-1]), np.int64)
+    step[0] = start[0]
+    step[ends[:-1]] = start[1:] - start[:-1] - size[:-1] + 1
+    return flat[np.cumsum(step)]
+
+
+class HashTable:
+    """Open-addressing table from 64-bit keys (not 0) to positions, for lookups of whole arrays."""
+
+    def __init__(self, bits: int):
+        self.bits, self.reach, self.size = bits, 1, 0
+        self.keys = np.zeros((1 << bits) + 4096, U64)
+        self.values = np.full((1 << bits) + 4096, -1, np.int32)
+
+    def _slot(self, keys):
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, -1 where it is not in the table."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there != 0))
+        for k in range(1, self.reach):
+            if not len(rest):
+                break
+            at = slot[rest] + k
+            there = self.keys[at]
+            found = there == keys[rest]
+            out[rest[found]] = self.values[at[found]]
+            rest = rest[~found & (there != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Enter distinct keys that are not in the table yet."""
+        slot, todo, step = self._slot(keys), np.arange(len(keys)), 0
+        self.size += len(keys)
+        while len(todo):
+            step += 1
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]], self.values[slot[free]] = keys[free], values[free]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] += 1
+        self.reach = max(self.reach, step)
+
+
 # ---------------------------------------------------------------- ordered chunks of a table
 
 def chunked(df: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> tuple[DataFrame, int]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .common import U64, Scratch, table, utf8
+from .common import U64, Scratch, gather, table, utf8
 
 MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIIII")  # magic, first nonterminal, rules, symbols, texts, rounds, reserved
@@ -19,31 +19,42 @@ _HEAD = struct.Struct("<4sIIIIII")  # magic, first nonterminal, rules, symbols,
 
 # ---------------------------------------------------------------- grammar
 
-def compress(ids: np.ndarray, last: np.ndarray, terminals: int, min_count: int = 16, shrink: int = 8):
+def compress(ids: np.ndarray, last: np.ndarray, terminals: int, min_count: int = 16, shrink: int = 32):
     """Repeatedly replace frequent id pairs by nonterminals.
 
     Each round counts all adjacent pairs, takes every pair at least as frequent as the round's
     threshold (the highest count, divided by ``shrink`` each round, down to ``min_count``), and replaces
     its occurrences from the most frequent pair down; where two chosen pairs overlap, the more
-    frequent one wins and the other is counted again in the next round. ``last`` marks the final id of
-    each text: no pair crosses it, so each text stays decodable by itself. Ends when no pair
-    occurs ``min_count`` times.
+    frequent one wins. Rounds at the lowest threshold count the pairs that hold a nonterminal of the round
+    before, as only those can have become frequent. ``last`` marks the final id of each text: no pair
+    crosses it, so each text stays decodable by itself. Ends when no such pair occurs ``min_count`` times.
 
     Returns symbols, last marks of the symbols, rules [n, 2], and the number of rules per round.
     """
     seq, last = ids.astype(np.uint32), last.copy()
-    rules, rounds, nxt, limit = [], [], terminals, None
+    rules, rounds, nxt, limit, newest = [], [], terminals, None, 0
     while len(seq) > 1:
-        key = (seq[:-1].astype(U64) << U64(32)) | seq[1:]
-        key[last[:-1]] = ~U64(0)
+        if limit == min_count:  # only pairs with a symbol of the round before can have become frequent
+            new = seq >= newest
+            look = np.flatnonzero((new[:-1] | new[1:]) & ~last[:-1])
+            key = (seq[look].astype(U64) << U64(32)) | seq[look + 1]
+        else:
+            look, key = None, (seq[:-1].astype(U64) << U64(32)) | seq[1:]
+        if not len(key):
+            break
         bits = max(10, int(len(key) * 2 - 1).bit_length())
         slot = ((key * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int32)
-        sums = np.bincount(slot, minlength=1 << bits)
-        often = np.flatnonzero(sums[slot] >= min_count)
-        often = often[~last[often]]
+        often = np.bincount(slot, minlength=1 << bits)[slot] >= min_count  # at most the pairs of a slot: none is missed
+        if look is None:
+            often &= ~last[:-1]
+            look = often = np.flatnonzero(often)
+        else:
+            often = np.flatnonzero(often)
+            look = look[often]
         if not len(often):
             break
-        ordered = np.sort(key[often])
+        key, slot = key[often], slot[often]
+        ordered = np.sort(key)
         heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         counts = np.diff(np.append(heads, len(ordered)))
         top = int(counts.max())
@@ -52,15 +63,22 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, min_count: int =
         limit = max(min_count, (top if limit is None else min(limit, top)) // shrink)
         chosen = counts >= limit
         pairs, counts = ordered[heads[chosen]], counts[chosen]
-        rank_of = np.argsort(-counts, kind="stable")
-        pairs = pairs[rank_of]
-        # place of each chosen pair in the slot table; of two pairs with one slot the more frequent is kept
+        # rank of each occurrence's pair: by a slot table, and by search where two chosen pairs share a slot
+        by_count = np.argsort(-counts, kind="stable")
+        rank_of = np.empty(len(pairs), np.int32)
+        rank_of[by_count] = np.arange(len(pairs), dtype=np.int32)
         place = np.full(1 << bits, -1, np.int32)
-        at = ((pairs * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
-        place[at[::-1]] = np.arange(len(pairs) - 1, -1, -1, dtype=np.int32)
-        rank = place[slot[often]]
-        hit = (rank >= 0) & (pairs[np.maximum(rank, 0)] == key[often])
-        pos, rank = often[hit], rank[hit]
+        place[((pairs * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)] = np.arange(len(pairs), dtype=np.int32)
+        spot = place[slot]
+        some = np.flatnonzero(spot >= 0)
+        spot, key, pos = spot[some], key[some], look[some]
+        hit = pairs[spot] == key
+        other = np.flatnonzero(~hit)
+        if len(other):
+            found = np.minimum(np.searchsorted(pairs, key[other]), len(pairs) - 1)
+            spot[other], hit[other] = found, pairs[found] == key[other]
+        pos, rank = pos[hit], rank_of[spot[hit]]
+        pairs = pairs[by_count]
         joined = np.diff(pos) == 1
         before = np.concatenate([[False], joined])
         after = np.concatenate([joined, [False]])
@@ -76,11 +94,13 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, min_count: int =
         if not take.any():
             if limit == min_count:
                 break
+            newest = nxt
             continue
         number = np.cumsum(good) - 1 + nxt
         fresh = pairs[good]
         rules.append(np.stack([fresh >> U64(32), fresh & U64(0xFFFFFFFF)], 1).astype(np.uint32))
         rounds.append(len(fresh))
+        newest = nxt
         nxt += len(fresh)
         where = pos[take]
         seq[where] = number[rank[take]]
@@ -91,20 +111,6 @@ def compress(ids: np.ndarray, last: np.ndarray, terminals: int, min_count: int =
     return seq, last, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.array(rounds, np.uint32)
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Join of flat[start[i] : start[i] + size[i]] over i."""
-    total = int(size.sum())
-    step = np.ones(total, np.int64)
-    if not total:
-        return flat[:0]
-    ends = np.cumsum(size)
-    some = size > 0
-    first = np.concatenate([[0], ends[:-1]])[some]
-    begin, length = start[some], size[some]
-    step[first] = begin - np.concatenate([[0], begin[:-1] + length[:-1] - 1])
-    return flat[np.cumsum(step)]
-
-
 class Block:
     """One encoded block: header, rules, rule counts per round, expansion lengths, first symbol of each text, symbols."""
 
@@ -154,7 +160,7 @@ class Block:
             for k in self.rounds.astype(int):
                 kids = self.rules[done: done + k].ravel().astype(np.int64)
                 lo = start[t + done]
-                out = _gather(flat, start[kids], size[kids])
+                out = gather(flat, start[kids], size[kids])
                 flat[lo: lo + len(out)] = out
                 done += k
             self._flat = flat, start, size
@@ -165,7 +171,7 @@ class Block:
         flat, start, size = self._expanded()
         hi = len(self.first) - 1 if hi is None else hi
         part = self.symbols[self.first[lo]: self.first[hi]].astype(np.int64)
-        return _gather(flat, start[part], size[part])
+        return gather(flat, start[part], size[part])
 
     def sizes(self) -> np.ndarray:
         """Number of ids of each text."""
@@ -191,33 +197,36 @@ def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int = 1,
         from pyspark import TaskContext
 
         coder, part = wordbpe.load(box.value), TaskContext.get().partitionId()
-        ids, sizes, ends, held, block = [], [], [], 0, 0
-        tail = np.array([end_id], coder.dtype).tobytes()
+        ids, sizes, keys, held, block = [], [], [], 0, 0
 
         def close():
-            nonlocal ids, sizes, ends, held, block
-            known = np.array([x is not None for x in ends])
-            seq = np.frombuffer(b"".join(ids), coder.dtype)
+            nonlocal ids, sizes, keys, held, block
+            ends, seq = pa.concat_arrays(keys), np.concatenate(ids)
             row = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_ids": [len(seq)],
-                "doc_ids": [np.array([x or 0 for x in ends], "<i8").tobytes()], "known": [np.packbits(known).tobytes()],
-                "data": [Block.encode(seq, np.array(sizes, np.int64), max(coder.size, end_id + 1), min_count=min_count)]})
-            ids, sizes, ends, held, block = [], [], [], 0, block + 1
+                "doc_ids": [ends.fill_null(0).to_numpy().astype("<i8").tobytes()], "known": [np.packbits(ends.is_valid().to_numpy(zero_copy_only=False)).tobytes()],
+                "data": [Block.encode(seq, np.concatenate(sizes), max(coder.size, end_id + 1), min_count=min_count)]})
+            ids, sizes, keys, held, block = [], [], [], 0, block + 1
             return row
 
         for batch in batches:
-            texts = utf8(batch.column(batch.schema.get_field_index(text_col))).to_pylist()
-            keys = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for key, one in zip(keys[lo: lo + 256], coder.encode(texts[lo: lo + 256]), strict=True):
-                    n = len(one) // coder.dtype.itemsize + 1
-                    ids += [one, tail]
-                    sizes.append(n)
-                    ends.append(key)
-                    held += n
+            texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
+            own = batch.column(batch.schema.get_field_index(id_col))
+            for lo in range(0, len(texts), 512):
+                flat, n = coder.encode_arrow(texts.slice(lo, 512), end_id)
+                done = 0
+                while done < len(n):  # whole texts up to the first with which the block is full
+                    run = np.cumsum(n[done:])
+                    m = min(len(run), int(np.searchsorted(run, block_ids - held)) + 1)
+                    begin = int(n[:done].sum())
+                    ids.append(flat[begin: begin + int(run[m - 1])])
+                    sizes.append(n[done: done + m])
+                    keys.append(own.slice(lo + done, m))
+                    held += int(run[m - 1])
+                    done += m
                     if held >= block_ids:
                         yield close()
-        if ends:
+        if keys:
             yield close()
 
     dealt = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)

@@ -27,7 +27,6 @@ def write_flat(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, id_co
         from pyspark import TaskContext
 
         coder, file = wordbpe.load(box.value), TaskContext.get().partitionId()
-        tail = np.array([end_id], coder.dtype).tobytes()
         buffer, block, place = bytearray(), 0, 0
 
         def row(data):
@@ -36,11 +35,9 @@ def write_flat(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, id_co
 
         for batch in batches:
             names = batch.schema.names
-            texts = utf8(batch.column(names.index(text_col))).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for one in coder.encode(texts[lo: lo + 256], literal=True):
-                    buffer += one
-                    buffer += tail
+            texts = utf8(batch.column(names.index(text_col)))
+            for lo in range(0, len(texts), 512):
+                buffer += coder.encode_arrow(texts.slice(lo, 512), end_id, literal=True)[0].tobytes()
                 while len(buffer) >= block_bytes:
                     yield row(bytes(buffer[:block_bytes]))
                     del buffer[:block_bytes]
