@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table, utf8
 
+_LETTER = regex.compile(r"\p{L}")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -33,6 +34,8 @@ def grams(text: str, longest: int = 3) -> np.ndarray:
 
 def ranked(g: np.ndarray, size: int) -> np.ndarray:
     """The most frequent ``size`` n-grams, most frequent first, ties to the smaller packed value."""
+    if not len(g):
+        return g
     g = np.sort(g)
     heads = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
     counts = np.diff(np.append(heads, len(g)))
@@ -123,7 +126,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, int, int]], size: int = 30
             texts = utf8(batch.column(cols.index(text_col))).to_pylist()
             pred, score = [], []
             for text in texts:
-                g = ranked(grams(text, longest), size) if names_ else []
+                g = ranked(grams(text, longest), size) if names_ and _LETTER.search(text) else []
                 if not len(g):
                     pred.append("und")
                     score.append(0.0)

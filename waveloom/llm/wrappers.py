@@ -196,8 +196,23 @@ def _merge(a: list, b: list, repeated: bool = False) -> list:
     return [a[0], often, None, a[3] + b[3], _align(a[4], b[4])]
 
 
+def _grouped(a: list, b: list) -> list:
+    """``a`` with the run of items that a repeated group of ``b`` would match once put in such a group."""
+    group = next((x for x in b if x[0] == "()"), None)
+    labels = [x[0] for x in a]
+    if group is None or "()" in labels or group[4][0][0] not in labels:
+        return a
+    inside = {x[0] for x in group[4]}
+    start = labels.index(group[4][0][0])
+    stop = start
+    while stop < len(a) and labels[stop] in inside:
+        stop += 1
+    return [*a[:start], ["()", 1, None, 0, a[start: stop]], *a[stop:]]
+
+
 def _align(a: list, b: list) -> list:
     """Align two item lists: common items merge (unequal texts become slots), the others become optional."""
+    a, b = _grouped(a, b), _grouped(b, a)
     la, lb = [x[0] for x in a], [x[0] for x in b]
     if la == lb:
         return [_merge(x, y) for x, y in zip(a, b, strict=True)]
