@@ -242,6 +242,12 @@ def test_tail_probabilities():
         assert tails.f_tail(x, 2, d) == pytest.approx((1 + 2 * x / d) ** (-d / 2), rel=1e-10)
     # all 20 arrangements of 3 and 3: the extreme one has probability 1/20 per side
     assert tails.rank_sum_exact(9.0, 3, 3) == pytest.approx(0.1) and tails.rank_sum_exact(0.0, 3, 3) == pytest.approx(0.1)
+    # against all arrangements of 3 among 7
+    from itertools import combinations
+
+    us = [sum(c) - 6 for c in combinations(range(1, 8), 3)]
+    for u in range(13):
+        assert tails.rank_sum_exact(u, 3, 4) == pytest.approx(min(1.0, 2 * sum(x <= min(u, 12 - u) for x in us) / len(us)))
 
 
 # ---- selection ----------------------------------------------------------------------------------
@@ -312,7 +318,7 @@ def test_block_pca_matches_numpy(spark):
 
 def test_block_kmeans_finds_groups_per_key(spark):
     v = vectors(spark)
-    out = B.unpack(B.kmeans(B.pack(v, ["subject_id"], ["segment_id"], block=64, extra=["y"]), ["subject_id"], 3, starts=4, rounds=6), ["subject_id"], ["cluster", "distance"]).toPandas()
+    out = B.unpack(B.kmeans(B.pack(v, ["subject_id"], ["segment_id"], block=64, extra=["y"]), ["subject_id"], 3, starts=4), ["subject_id"], ["cluster", "distance"]).toPandas()
     for _, g in out.groupby("subject_id"):
         assert len(g) == 300 and g.groupby("cluster")["y"].agg(lambda s: s.value_counts(normalize=True).max()).min() > 0.95
 
@@ -369,6 +375,12 @@ def test_store_skips_stored_subjects(spark, tmp_path):
     store.write_store(p, {"windows": w, "features": f.withColumn("value", F.col("value") + 100)})
     got = {r["subject_id"]: r["value"] for r in store.read_features(spark, p, ["p"]).collect()}
     assert got == {0: 0.0, 1: 1.0, 2: 102.0, 3: 103.0}
+    # a job that died after the features: the subject has rows but no windows, and is written again
+    f.filter("subject_id = 0").withColumn("subject_id", F.lit(9)).write.mode("append").partitionBy("family").parquet(f"{p}/features")
+    late = f.filter("subject_id = 0").withColumns({"subject_id": F.lit(9), "value": F.lit(7.0)})
+    store.write_store(p, {"windows": late.select("subject_id", "segment_id").distinct(), "features": late})
+    got = sorted((r["subject_id"], r["value"]) for r in store.read_features(spark, p, ["p"]).collect())
+    assert got == [(0, 0.0), (1, 1.0), (2, 102.0), (3, 103.0), (9, 7.0)]
     e = spark.createDataFrame([(0, "pearson", "alpha")], "subject_id int, metric string, band string")
     assert store.choose_bands(e, "pearson", [0], ["alpha"]).count() == 1
     with pytest.raises(KeyError):

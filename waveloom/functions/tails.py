@@ -72,10 +72,10 @@ def f_tail(x: float, d1: float, d2: float) -> float:
 
 
 def rank_sum_exact(u: float, n1: int, n2: int) -> float:
-    """Two-sided exact p of a rank-sum statistic without ties, from the counts of all arrangements."""
-    u = max(u, n1 * n2 - u)
+    """Two-sided exact p of a rank-sum statistic without ties: arrangements in the shorter tail over all arrangements."""
+    tail = int(math.floor(min(u, n1 * n2 - u)))  # by symmetry as many lie at or below it as at or above its mirror
     small, large = sorted((n1, n2))
-    size = n1 * n2 + 1
+    size = tail + 1
     counts = [np.zeros(size) for _ in range(small + 1)]
     counts[0][0] = 1.0
     for add in range(1, small + large + 1):
@@ -83,8 +83,7 @@ def rank_sum_exact(u: float, n1: int, n2: int) -> float:
             shift = add - k
             if shift <= large and shift < size:
                 counts[k][shift:] += counts[k - 1][:size - shift]
-    c = counts[small]
-    return float(min(1.0, 2 * c[int(math.ceil(u)):].sum() / c.sum()))
+    return float(min(1.0, 2 * counts[small].sum() / math.comb(n1 + n2, n1)))
 
 
 def _column(fn):

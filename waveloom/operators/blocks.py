@@ -120,11 +120,12 @@ def project(blocks: DataFrame, models: DataFrame, keys: Sequence[str], dims: int
     return _join(blocks, models, keys).withColumn("m", _per_block(fn, "array<array<double>>")("m", "model")).drop("model")
 
 
-def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20, rounds: int = 10, seed: int = 42) -> DataFrame:
+def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20, tol: float = 1e-4, most: int = 300, seed: int = 42) -> DataFrame:
     """Lloyd's algorithm for every key at once: adds ``cluster``, ``distance`` to the blocks (arrays by row).
 
     ``starts`` sets of k rows with the smallest keyed hash begin in parallel; the set of least inertia wins. A round is one pass
-    over the blocks and one sum of small arrays; the centroids are written down between rounds.
+    over the blocks and one sum of small arrays; the centroids are written down between rounds. Rounds go on until no
+    centroid of any key moves by more than ``tol`` (Euclidean); more than ``most`` rounds raise.
     """
     blocks = land(blocks)
     rows = blocks.select(*keys, F.explode(F.arrays_zip("ids", "m")).alias("z")).select(*keys, F.to_json("z.ids").alias("_id"), F.col("z.m").alias("x"))
@@ -137,7 +138,8 @@ def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20,
 
     def nearest(m, p):
         c = p.reshape(starts, k, m.shape[1])
-        d2 = ((m[:, None, None, :] - c[None]) ** 2).sum(-1)
+        flat = c.reshape(starts * k, -1)
+        d2 = np.maximum((m * m).sum(1)[:, None] + (flat * flat).sum(1) - 2 * m @ flat.T, 0.0).reshape(len(m), starts, k)
         return d2.argmin(2), d2.min(2)
 
     def step(m, p):
@@ -169,14 +171,22 @@ def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20,
         return pd.Series(res)
 
     f = _per_block(step)
-    for r in range(rounds + 1):
+    diff = F.zip_with("model", "next", lambda p, q: F.abs(p - q))
+    settled = False
+    for _ in range(most):
         sums = sum_arrays(_join(blocks, cent, keys).select(*keys, f("m", "model").alias("sums")), keys, "sums")
-        both = _join(cent, sums, keys)
-        cent = land(both.select(*keys, (update if r < rounds else best)("model", "sums").alias("model")))
+        if settled:
+            break
+        moved = land(_join(cent, sums, keys).select(*keys, "model", update("model", "sums").alias("next")))
+        settled = (moved.agg(F.max(F.array_max(diff))).first()[0] or 0.0) <= tol
+        cent = moved.select(*keys, F.col("next").alias("model"))
+    else:
+        raise RuntimeError(f"k-means did not settle in {most} rounds")
+    cent = land(_join(cent, sums, keys).select(*keys, best("model", "sums").alias("model")))
 
     def final(m, p):
         c = p.reshape(k, m.shape[1])
-        d2 = ((m[:, None, :] - c[None]) ** 2).sum(-1)
+        d2 = np.maximum((m * m).sum(1)[:, None] + (c * c).sum(1) - 2 * m @ c.T, 0.0)
         return np.stack([d2.argmin(1), np.sqrt(d2.min(1))], axis=1).tolist()
 
     out = _join(blocks, cent, keys).withColumn("_a", _per_block(final, "array<array<double>>")("m", "model")).drop("model")

@@ -191,7 +191,7 @@ def validity(df: DataFrame, ids: Sequence[str], dim: int, cluster: str = "cluste
     """CLU04: silhouette, Calinski-Harabasz and Davies-Bouldin of given clusters in one row."""
     cen = mean_vectors(df, [cluster], dim, x)
     all_ = df.agg(F.array(*[F.avg(F.get(x, k)) for k in range(dim)]).alias("_g"), F.count("*").alias("_all"))
-    d = df.join(F.broadcast(cen), cluster).withColumn("_d", _dist(x, "centroid"))
+    d = df.join(cen, cluster).withColumn("_d", _dist(x, "centroid"))
     per = d.groupBy(cluster).agg(F.sum(F.col("_d") * F.col("_d")).alias("_w"), F.avg("_d").alias("_s"), F.first("centroid").alias("_c"), F.count("*").alias("_n"))
     one = attach(per, all_, []).withColumn("_b", F.col("_n") * F.pow(_dist("_c", "_g"), F.lit(2)))
     g = one.agg(F.sum("_w").alias("_wth"), F.sum("_b").alias("_btw"), F.count("*").alias("_k"), F.max("_all").alias("_all"), F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("k"), F.col("_s").alias("s"), F.col("_c").alias("c")))).alias("_l"))
@@ -407,7 +407,7 @@ def scatter_ratio(df: DataFrame, dim: int, label: str = "label", x: str = "x") -
     cen = mean_vectors(df, [label], dim, x)
     all_ = df.agg(F.array(*[F.avg(F.get(x, k)) for k in range(dim)]).alias("_g"))
     b = attach(cen, all_, []).agg(F.sum(F.col("n") * F.pow(_dist("centroid", "_g"), F.lit(2))).alias("between"))
-    w = df.join(F.broadcast(cen), label).agg(F.sum(F.pow(_dist(x, "centroid"), F.lit(2))).alias("within"))
+    w = df.join(cen, label).agg(F.sum(F.pow(_dist(x, "centroid"), F.lit(2))).alias("within"))
     return attach(b, w, []).withColumn("ratio", F.try_divide("between", "within"))
 
 

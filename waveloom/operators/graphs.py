@@ -30,8 +30,8 @@ def undirected_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def fixed_topology(edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """GRA01: edges on a fixed list of channel pairs (complete when there is no list). The list is a montage constant."""
-    return edges if pairs is None else edges.join(F.broadcast(undirected_pairs(pairs)), ["i", "j"], "left_semi").select(edges.columns)
+    """GRA01: edges on a fixed list of channel pairs (complete when there is no list)."""
+    return edges if pairs is None else edges.join(undirected_pairs(pairs), ["i", "j"], "left_semi").select(edges.columns)
 
 
 def with_self_loops(edges: DataFrame, graphs: DataFrame, n_nodes, graph: Sequence[str] = G, w: str = "w", value: float = 1.0) -> DataFrame:

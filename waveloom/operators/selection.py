@@ -97,11 +97,11 @@ def anomaly_labels(windows: DataFrame, features: Sequence[str], *, trees: int =
     return scored.join(cut, S).withColumn("iforest_is_clean", F.col("severity") <= F.col("threshold"))
 
 
-def window_state(windows: DataFrame, spectral: str = "spectral", *, dims: int = 5, k: int = 6, starts: int = 20, rounds: int = 10, seed: int = 42) -> DataFrame:
+def window_state(windows: DataFrame, spectral: str = "spectral", *, dims: int = 5, k: int = 6, starts: int = 20, seed: int = 42) -> DataFrame:
     """QC11: per subject, standardized spectral vectors to ``dims`` components to k clusters; all subjects at once."""
     b = B.pack(windows.select(S, SEG, F.col(spectral).alias("x")), [S], [SEG])
     pb = B.project(b, B.pca_models(b, [S], dims), [S], dims)
-    out = B.unpack(B.kmeans(pb, [S], k, starts=starts, rounds=rounds, seed=seed), [S], ["m", "cluster", "distance"])
+    out = B.unpack(B.kmeans(pb, [S], k, starts=starts, seed=seed), [S], ["m", "cluster", "distance"])
     return windows.join(out.withColumnRenamed("m", "spectral_pca"), [S, SEG])
 
 
@@ -365,7 +365,7 @@ def label_aligned(m: DataFrame, k: int = 10, *, seed: int = 42, epoch: int = 0,
     n = m.groupBy(S, cluster).agg(F.count("*").alias("_ns"))
     h = key_hash(seed, F.lit(epoch), S, SEG)
     r = pick_first(m, [S, cluster], h, F.col(SEG), k=k)
-    r = r.join(F.broadcast(table), [cluster, label], "left").join(n, [S, cluster])
+    r = r.join(table, [cluster, label], "left").join(n, [S, cluster])
     k_rand = min(max(int(round(k * random_share)), 0), k)
     lead = pick_first(r, [S], F.desc(F.coalesce("p", F.lit(0.0))), F.col("entropy_norm"), F.desc("_ns"), F.col(cluster), h, F.col(SEG), k=k - k_rand).drop("p", "entropy_norm", "_ns") if k > k_rand else None
     if lead is None:
@@ -424,7 +424,7 @@ def pseudo_bags(m: DataFrame, *, n_bags: int, k: int = 10, subjects_per_bag: int
         pools = pools.filter((F.col("_segs") >= min_segments) & (F.col("_subs") >= min_subjects))
     pools = pools.withColumn("_pool", F.row_number().over(over([], *g)) - 1).withColumn("_pools", F.count("*").over(over([])))
     bag = m.sparkSession.range(n_bags).withColumnRenamed("id", "bag")
-    b = bag.join(F.broadcast(pools), F.pmod(F.col("bag"), F.col("_pools")) == F.col("_pool")).drop("_pool", "_pools")
+    b = bag.join(pools, F.pmod(F.col("bag"), F.col("_pools")) == F.col("_pool")).drop("_pool", "_pools")
     per = F.least(F.greatest(F.ceil(F.lit(k) / F.least("_subs", F.lit(subjects_per_bag))), F.lit(1)), F.lit(max_per_subject))
     b = b.withColumn("_take", per).withColumn("_who", _distinct_draws(F.lit(subjects_per_bag), F.col("_subs"), F.lit(seed), F.lit(epoch), "bag"))
     b = b.select("*", F.posexplode("_who").alias("_w", "_sp"))
@@ -439,7 +439,7 @@ def pseudo_bags(m: DataFrame, *, n_bags: int, k: int = 10, subjects_per_bag: int
     seg = positions(m.select(*g, S, SEG), [*g, S], [SEG], "_gp")
     main = b.join(seg, [*g, S, "_gp"]).select("bag", *g, "slot", S, SEG)
     # slots that the chosen subjects could not fill come from the whole pool
-    fill = bag.join(F.broadcast(pools), F.pmod(F.col("bag"), F.col("_pools")) == F.col("_pool")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
+    fill = bag.join(pools, F.pmod(F.col("bag"), F.col("_pools")) == F.col("_pool")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint"))))
     fill = fill.join(main.select("bag", "slot"), ["bag", "slot"], "left_anti").withColumn("_gp", random_below("_segs", F.lit(seed), F.lit(epoch), F.lit("f"), "bag", "slot"))
     pool = positions(m.select(*g, S, SEG), g, [S, SEG], "_gp")
     return main.unionByName(fill.join(pool, [*g, "_gp"]).select("bag", *g, "slot", S, SEG))

@@ -144,9 +144,14 @@ def kruskal(ties: DataFrame, keys: Sequence[str], classes: Sequence, value: str
     return g.withColumn("p_val", F.when(empty, None).when(flat, 1.0).otherwise(tails.p_chi2(F.col("h_stat"), F.lit(len(classes) - 1)))).select(*keys, F.col("_N").alias("n"), "h_stat", "p_val")
 
 
-def mann_whitney(ties: DataFrame, keys: Sequence[str], pairs: Sequence[tuple], value: str = "value") -> DataFrame:
-    """STA11: U and two-sided p for class pairs: exact for at most 8 untied values in one class, else the normal approximation
-    with tie and continuity correction; null for an empty class, (0, 1) when all values are equal."""
+def mann_whitney(ties: DataFrame, keys: Sequence[str], pairs: Sequence[tuple], value: str = "value", method: str = "asymptotic") -> DataFrame:
+    """STA11: U and two-sided p for class pairs; null for an empty class, (0, 1) when all values are equal.
+
+    ``method`` is the caller's choice for all keys: 'asymptotic' is the normal approximation with tie and continuity
+    correction, 'exact' counts arrangements (its work grows with n1 n2; ties raise, as the count does not hold for them).
+    """
+    if method not in ("asymptotic", "exact"):
+        raise ValueError(f"unknown method {method!r}")
     rows = F.array(*[F.struct(F.lit(a).alias("class_a"), F.lit(b).alias("class_b"), F.col(f"n{a}").alias("x"), F.col(f"n{b}").alias("y"),
                               (F.col(f"cum_n{b}") - F.col(f"n{b}")).alias("below")) for a, b in pairs])
     t = ties.select(*keys, value, F.explode(rows).alias("e")).select(*keys, value, "e.*").filter("x + y > 0")
@@ -160,11 +165,9 @@ def mann_whitney(ties: DataFrame, keys: Sequence[str], pairs: Sequence[tuple], v
     sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_t"), n * (n - 1))))
     z = F.try_divide(top - n1 * n2 / 2 - 0.5, sd)
     near = F.least(F.lit(1.0), F.when(z > 0, tails.p_normal(z)).otherwise(1.0))
-    exact = (F.least("n1", "n2") <= 8) & (F.col("_t") == 0)
-    # the exact count runs only where it applies; elsewhere its inputs are null
-    ep = tails.p_rank_sum(F.when(exact, F.col("u")), F.when(exact, n1), F.when(exact, n2))
+    exact = F.when(F.col("_t") > 0, F.raise_error(F.lit("the exact count needs untied values"))).otherwise(tails.p_rank_sum(F.col("u"), n1, n2))
     empty, flat = (F.col("n1") == 0) | (F.col("n2") == 0), F.abs(F.col("_hi") - F.col("_lo")) <= 1e-8 + 1e-5 * F.abs("_lo")
-    g = g.withColumn("z_stat", z).withColumn("p_val", F.when(empty, None).when(flat, 1.0).otherwise(F.coalesce(ep, near)))
+    g = g.withColumn("z_stat", z).withColumn("p_val", F.when(empty, None).when(flat, 1.0).otherwise(near if method == "asymptotic" else exact))
     return g.withColumn("u_stat", F.when(empty, None).when(flat, 0.0).otherwise(F.col("u"))).drop("u", "_t", "_lo", "_hi")
 
 

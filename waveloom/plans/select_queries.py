@@ -103,7 +103,7 @@ def _(t):
 
     p = ft.band_power(ft.welch_psd(t.windows, FS), BANDS8)
     v = p.groupBy("subject_id", "segment_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("channel", "relative"))), lambda s: s["relative"])).alias("spectral"))
-    return sel.window_state(v, starts=4, rounds=5)
+    return sel.window_state(v)
 
 
 @query("qc12_random", SR, pick(f"{H0}, segment_id", 10))

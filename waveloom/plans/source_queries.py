@@ -34,7 +34,7 @@ def _(t):
 @query("src01_recording_files", "subject_id:s n:i", "SELECT 'sub-' || c_nationkey AS subject_id, 1 AS n FROM customer GROUP BY 1")
 def _(t):
     root = scratch(t, "files")
-    t.table("customer").select(F.concat(F.lit("sub-"), "c_nationkey").alias("subject"), "c_custkey").coalesce(1).write.partitionBy("subject").option("maxRecordsPerFile", 0).parquet(root)
+    t.table("customer").select(F.concat(F.lit("sub-"), "c_nationkey").alias("subject"), "c_custkey").repartition("subject").write.partitionBy("subject").parquet(root)
     f = records.list_files(t.spark, root, "*.parquet")
     return f.groupBy("subject_id").agg(F.count("*").alias("n"))
 
@@ -64,8 +64,9 @@ def _(t):
     path = scratch(t, "annotations")
     s1 = F.element_at(F.array(F.lit("Normal"), F.lit("AD"), F.lit("other")), (F.col("p_size") % 3 + 1).cast("int"))
     s2 = F.element_at(F.array(F.lit("mci"), F.lit("SMI"), F.lit("none"), F.lit("x")), (F.col("p_partkey") % 4 + 1).cast("int"))
-    # one index document per brand, as a data set has one index
-    t.table("part").groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("serial"), F.array(s1, s2).alias("symptom"))).alias("data")).select("data").write.json(path)
+    # index documents of a few parts each, as a large data set has many
+    group = F.floor(F.col("p_partkey") / 50)
+    t.table("part").groupBy(group.alias("g")).agg(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("serial"), F.array(s1, s2).alias("symptom"))).alias("data")).select("data").write.json(path)
     return records.symptom_labels(t.spark.read.schema("data array<struct<serial:string,symptom:array<string>>>").json(path).select(F.explode("data").alias("d")).select("d.serial", "d.symptom"))
 
 
@@ -153,6 +154,13 @@ def _(t):
     return _merged(t)
 
 
+@query("src09_merge_new_only", "subject_id:s segment_id:i distance:d9", "SELECT split || '_' || subject_id AS subject_id, segment_id, CASE WHEN split = 'train' THEN distance ELSE -distance END AS distance FROM v_manifest WHERE subject_id % 4 <> 0")
+def _(t):
+    m = t.manifest.withColumn("subject_id", F.concat_ws("_", "split", "subject_id"))
+    have = t.manifest.filter("subject_id % 4 = 0").withColumn("subject_id", F.concat_ws("_", "split", "subject_id"))
+    return store.merge_stores(m, m.withColumn("distance", -F.col("distance")), existing=have)
+
+
 @query("src09_merge_report", "source:s split:s requested:i copied:i skipped_existing:i", """
     SELECT CASE WHEN split = 'train' THEN 'train_store' ELSE 'other_store' END AS source, split, count(*) AS requested, count(*) FILTER (WHERE subject_id % 7 <> 0) AS copied, count(*) FILTER (WHERE subject_id % 7 = 0) AS skipped_existing
     FROM (SELECT DISTINCT split, subject_id FROM v_manifest) GROUP BY 1, 2""")

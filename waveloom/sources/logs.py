@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import running
+from ..operators.landing import land
+from ..operators.ordered import positions, running
 
 # line patterns of a run log (fixed values)
 SEED = r"Seed random\s*=\s*(\d+)"
@@ -20,9 +21,14 @@ METRICS = {
 
 
 def read_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """SRC10: (file, line_no, line). A log is one small file, read whole so that line numbers are certain."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    return t.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """SRC10: (file, line_no, line), files of any size read by lines.
+
+    A line's number is its place by the offset of the file part it was read from and its order there.
+    """
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, lineSep="\n")
+    t = t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.col("value").alias("line"))
+    placed = positions(land(t.withColumn("_row", F.monotonically_increasing_id())), ["file"], ["_part", "_row"], "line_no")
+    return placed.select("file", F.col("line_no").cast("int").alias("line_no"), "line")
 
 
 def carry_forward(lines: DataFrame, group: Sequence[str], order: Sequence[str], cols: Sequence[str]) -> DataFrame:

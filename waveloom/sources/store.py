@@ -19,18 +19,40 @@ def write_store(path: str, tables: dict[str, DataFrame], *, overwrite: bool = Fa
     sorted by subject inside files, so subject filters skip row groups. A subject counts as stored once its windows are, and
     windows are written last: a job that dies between tables repeats the subject on the next run after clearing its rows.
     """
+    spark = next(iter(tables.values())).sparkSession
+    done = None if overwrite else stored_subjects(spark, f"{path}/windows", subject)
     for name in [*(n for n in tables if n != "windows"), *(n for n in tables if n == "windows")]:
         df = tables[name]
         target = f"{path}/{name}"
-        done = None if overwrite else stored_subjects(df.sparkSession, f"{path}/{name}", subject)
-        if done is not None:
-            df = df.join(done, subject, "left_anti")
+        own = done if "windows" in tables else None if overwrite else stored_subjects(spark, target, subject)
+        if name != "windows" and "windows" in tables and not overwrite:
+            _clear_orphans(spark, target, done, TABLES[name], subject)
+        if own is not None:
+            df = df.join(own, subject, "left_anti")
         parts = TABLES[name]
         w = df.repartition(*parts, subject).sortWithinPartitions(*parts, subject) if parts else df.repartition(subject).sortWithinPartitions(subject)
         writer = w.write.mode("overwrite" if overwrite else "append")
         (writer.partitionBy(*parts) if parts else writer).parquet(target)
 
 
+def _clear_orphans(spark: SparkSession, target: str, done: DataFrame | None, parts: Sequence[str], subject: str) -> None:
+    """Drop rows of subjects that have no windows: an earlier job ended before it wrote those. The kept rows are written
+    beside the table first and then take its place."""
+    if stored_subjects(spark, target, subject) is None:
+        return
+    have = spark.read.parquet(target)
+    keep = have.limit(0) if done is None else have.join(done, subject, "left_semi")
+    gone = have if done is None else have.join(done, subject, "left_anti")
+    if gone.isEmpty():
+        return
+    writer = keep.write.mode("overwrite")
+    (writer.partitionBy(*parts) if parts else writer).parquet(f"{target}.kept")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path(target), True)
+    fs.rename(path(f"{target}.kept"), path(target))
+
+
 def stored_subjects(spark: SparkSession, target: str, subject: str = "subject_id") -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
@@ -90,8 +112,9 @@ def inventory(features: DataFrame | None = None, connectivity: DataFrame | None
     return out
 
 
-def merge_stores(train_store: DataFrame, other_store: DataFrame, *, val: Sequence[str] = ("val_", "validation_"), test: Sequence[str] = ("test_",), subject: str = "subject_id") -> DataFrame:
-    """SRC09: train subjects from the first store, val and test subjects from the second."""
+def merge_stores(train_store: DataFrame, other_store: DataFrame, *, existing: DataFrame | None = None, val: Sequence[str] = ("val_", "validation_"), test: Sequence[str] = ("test_",),
+                 subject: str = "subject_id") -> DataFrame:
+    """SRC09: train subjects from the first store, val and test subjects from the second; subjects of ``existing`` are skipped."""
     def starts(prefixes):
         cond = F.lit(False)
         for p in prefixes:
@@ -100,7 +123,8 @@ def merge_stores(train_store: DataFrame, other_store: DataFrame, *, val: Sequenc
 
     a = train_store.filter(F.col(subject).startswith("train_")).withColumn("source", F.lit("train_store"))
     b = other_store.filter(starts([*val, *test])).withColumn("source", F.lit("other_store"))
-    return a.unionByName(b)
+    both = a.unionByName(b)
+    return both if existing is None else both.join(existing.select(subject).distinct(), subject, "left_anti").select(both.columns)
 
 
 def merge_report(merged: DataFrame, existing: DataFrame | None = None, subject: str = "subject_id") -> DataFrame:
