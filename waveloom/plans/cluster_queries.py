@@ -210,6 +210,13 @@ def _(t):
     return cl.explained_variance(t.vectors, 10, ["vec_id"])
 
 
+@query("clu15_spectrum", "share_sum:d square_sum:d", f"""
+    SELECT 1 AS share_sum, sum(pow(r, 2)) / pow({_DIM}, 2) AS square_sum FROM (SELECT a.k, b.k AS l, corr(a.x, b.x) AS r FROM v_vec a JOIN v_vec b ON a.vec_id = b.vec_id GROUP BY 1, 2)""")
+def _(t):
+    """The squared shares add up to the squared entries of the correlation matrix over the squared dimension."""
+    return cl.explained_variance(t.vectors, _DIM, ["vec_id"]).agg(F.sum("share").alias("share_sum"), F.sum(F.col("share") ** 2).alias("square_sum"))
+
+
 @query("clu15_scores_2d", "vec_id:i pc1:d4 pc2:d4")
 def _(t):
     return cl.scores_2d(t.vectors, ["vec_id"])

@@ -109,7 +109,12 @@ def _(t):
     return con.mutual_information(t.windows)
 
 
-@query("con08_wavelet_coherence", _EDGE)
+@query("con08_wavelet_coherence", _EDGE, f"""
+    WITH d AS (SELECT {WK}, channel, m, sum(value * cos(2 * pi() * m * k / 8)) AS re, -sum(value * sin(2 * pi() * m * k / 8)) AS im FROM v_windows, range(1, 4) q(m) GROUP BY ALL),
+    s AS (SELECT s, m, exp(-pow(sc * 2 * pi() * m - 6, 2)) AS p FROM (SELECT s, 0.25 / (4 * pi() / (6 + sqrt(38))) * pow(2, s / 12.0) AS sc FROM range(25) q(s)), range(1, 4) r(m)),
+    x AS (SELECT {WK}, a.channel AS i, b.channel AS j, s, sum(p * (a.re * b.re + a.im * b.im)) AS cr, sum(p * (a.im * b.re - a.re * b.im)) AS ci,
+      sum(p * (a.re * a.re + a.im * a.im)) AS pa, sum(p * (b.re * b.re + b.im * b.im)) AS pb FROM d a JOIN d b USING ({WK}, m) JOIN s USING (m) WHERE a.channel < b.channel GROUP BY ALL)
+    SELECT {WK}, i, j, avg(CASE WHEN pa * pb > 0 THEN sqrt(cr * cr + ci * ci) / sqrt(pa * pb) ELSE 0 END) AS value FROM x GROUP BY ALL""")
 def _(t):
     return con.wavelet_coherence(t.windows, FS)
 

@@ -269,6 +269,16 @@ def _(t):
     return gr.node_theory(edges(t), 16)
 
 
+@query("gra16_centrality_residual", "graph_id:i total:d residual:d3", "SELECT graph_id, 1 AS total, 0 AS residual FROM v_graphs")
+def _(t):
+    """A node's centrality times the largest eigenvalue equals the weighted sum of its neighbours' centralities."""
+    v = gr.node_theory(edges(t), 16).select("graph_id", F.col("node").alias("j"), F.col("eigenvector_centrality").alias("v"))
+    s = con.mirror(edges(t)).join(v, ["graph_id", "j"]).groupBy("graph_id", "i").agg(F.sum(F.abs("w") * F.col("v")).alias("s"))
+    j = s.join(v.withColumnRenamed("j", "i"), ["graph_id", "i"])
+    top = j.groupBy("graph_id").agg((F.sum("s") / F.sum("v")).alias("top"), F.sum("v").alias("total"))
+    return j.join(top, "graph_id").groupBy("graph_id").agg(F.max("total").alias("total"), F.max(F.abs(F.col("s") / F.col("top") - F.col("v"))).alias("residual"))
+
+
 @query("gra17_edge_summary", "graph_id:i edge_mean:d edge_std:d edge_min:d edge_max:d nonzero_ratio:d strength_mean:d strength_std:d strength_min:d strength_max:d degree_mean:d degree_std:d", """
     WITH e AS (SELECT graph_id, avg(w) AS edge_mean, stddev_pop(w) AS edge_std, min(w) AS edge_min, max(w) AS edge_max, avg(CASE WHEN abs(w) > 1e-8 THEN 1.0 ELSE 0 END) AS nonzero_ratio FROM v_edges GROUP BY 1),
     s AS (SELECT graph_id, i, sum(w) AS s, count(*) FILTER (WHERE abs(w) > 1e-8) AS d FROM v_both GROUP BY 1, 2)

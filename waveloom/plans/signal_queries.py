@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.fixed import DB4_LOWPASS
 from ..operators import features as ft
 from ..operators import projections as prj
 from ..operators import quality as qc
@@ -405,7 +406,11 @@ def _(t):
     return _macros(t)[1]
 
 
-@query("win13_spectrogram", "subject_id:i segment_id:i channel:s part:i f:i frame:i value:d")
+@query("win13_spectrogram", "subject_id:i segment_id:i channel:s part:i f:i frame:i value:d", f"""
+    SELECT {WCH}, part, f, fr AS frame, CASE part WHEN 0 THEN re ELSE im END AS value FROM (
+      SELECT {WCH}, fr, f, sum(value * (0.5 - 0.5 * cos(2 * pi() * m / 6)) * cos(2 * pi() * f * m / 6)) AS re, -sum(value * (0.5 - 0.5 * cos(2 * pi() * m / 6)) * sin(2 * pi() * f * m / 6)) AS im
+      FROM (SELECT fr, m, 3 * fr + m - 3 AS q FROM range(3) a(fr), range(6) b(m)) z
+      JOIN v_windows v ON v.k = CASE WHEN q < 0 THEN -q WHEN q > 7 THEN 14 - q ELSE q END, range(4) c(f) GROUP BY {WCH}, fr, f), range(2) p(part)""")
 def _(t):
     return rec.spectrogram(t.windows, 0.5, "as_real")
 
@@ -510,7 +515,27 @@ def _(t):
     return ft.entropies(ft.welch_psd(t.windows, FS))
 
 
-@query("sig07_wavelet_energy", "subject_id:i segment_id:i channel:s band:i energy:d3")
+def _wavelet_level(n, level, out):
+    """One step of the transform over rows (k, v) of a block of n samples: low pass v and high pass d at every second place."""
+    at = f"(2 * o + 1 + j - 7 + {2 * n}) % {2 * n}"
+    return f"""l{level} AS (SELECT {WCH}, o AS k, sum(lo * v) AS v, sum(hi * v) AS d FROM (SELECT o, lo, hi, CASE WHEN {at} < {n} THEN {at} ELSE {2 * n - 1} - {at} END AS src
+      FROM range({out}) q(o), taps) z JOIN l{level - 1} p ON p.k = src GROUP BY {WCH}, o)"""
+
+
+def _wavelet_sql():
+    n = len(DB4_LOWPASS)
+    taps = ", ".join(f"({j}, {DB4_LOWPASS[n - 1 - j]!r}, {DB4_LOWPASS[j] * (1 if j % 2 == 0 else -1)!r})" for j in range(n))
+    levels, size = [], 8
+    for level in range(1, 6):
+        out = (size + 7) // 2
+        levels.append(_wavelet_level(size, level, out))
+        size = out
+    bands = " UNION ALL ".join([f"SELECT {WCH}, 0 AS band, sum(v * v) AS energy FROM l5 GROUP BY {WCH}",
+                                *[f"SELECT {WCH}, {6 - lv} AS band, sum(d * d) AS energy FROM l{lv} GROUP BY {WCH}" for lv in range(1, 6)]])
+    return f"WITH taps(j, lo, hi) AS (VALUES {taps}), l0 AS (SELECT {WCH}, k, value AS v FROM v_windows), {', '.join(levels)} {bands}"
+
+
+@query("sig07_wavelet_energy", "subject_id:i segment_id:i channel:s band:i energy:d3", _wavelet_sql())
 def _(t):
     return ft.wavelet_energy(t.windows).select("subject_id", "segment_id", "channel", F.posexplode_outer("energy").alias("band", "energy"))
 
@@ -583,7 +608,14 @@ def _(t):
     return rec.notch_recording(t.samples, FS, 2.0, block=32, short="keep")
 
 
-@query("sig13_resample", "subject_id:i segment_id:i channel:s k:i value:d")
+@query("sig13_resample", "subject_id:i segment_id:i channel:s k:i value:d", f"""
+    WITH raw AS (SELECT k, (CASE WHEN k = 0 THEN 1 ELSE sin(pi() * k / 3) / (pi() * k / 3) END) * (
+        SELECT sum(pow(6.25 * (1 - pow(k / 30.0, 2)), j) / pow(CAST(factorial(CAST(j AS INTEGER)) AS DOUBLE), 2)) FROM range(30) q(j)) AS h FROM range(-30, 31) r(k)),
+    h AS (SELECT k, 3 * h / (SELECT sum(h) FROM raw) AS h FROM raw),
+    e AS (SELECT {WCH}, max(value) FILTER (WHERE k = 0) AS a, max(value) FILTER (WHERE k = 7) AS b FROM v_windows GROUP BY ALL),
+    y AS (SELECT {WCH}, j, sum((value - a - (b - a) * v.k / 7) * h.h) + any_value(a + (b - a) * 2 * j / 21) AS value
+      FROM v_windows v JOIN e USING ({WCH}), range(11) q(j) JOIN h ON h.k = 2 * j - 3 * v.k GROUP BY {WCH}, j)
+    SELECT {WCH}, j AS k, value FROM y UNION ALL SELECT {WCH}, 11, value FROM y WHERE j = 10""")
 def _(t):
     return rec.resample_windows(t.windows, FS, 12.0).select("subject_id", "segment_id", "channel", F.posexplode_outer("x").alias("k", "value"))
 
@@ -632,6 +664,20 @@ def _(t):
     return qc.drop_bad_windows(_flags(t), min_valid=2, max_windows=12, seed=9)[1]
 
 
+@query("qc03_good_windows", "subject_id:i segment_id:i", f"""
+    WITH f AS ({_FLAG}), c AS (SELECT subject_id, count(*) FILTER (WHERE NOT bad_segment_flag) AS g FROM f GROUP BY 1)
+    SELECT subject_id, segment_id FROM f JOIN c USING (subject_id) WHERE NOT bad_segment_flag AND g >= 2""")
+def _(t):
+    return qc.drop_bad_windows(_flags(t), min_valid=2, seed=9)[0]
+
+
+@query("qc03_good_summary", "subject_id:i n_windows:i n_good:i n_bad:i bad_fraction:d subject_kept:b n_kept:i", f"""
+    SELECT subject_id, n AS n_windows, g AS n_good, n - g AS n_bad, (n - g) / n AS bad_fraction, g >= 2 AS subject_kept, CASE WHEN g >= 2 THEN g ELSE 0 END AS n_kept
+    FROM (SELECT subject_id, count(*) AS n, count(*) FILTER (WHERE NOT bad_segment_flag) AS g FROM ({_FLAG}) GROUP BY 1)""")
+def _(t):
+    return qc.drop_bad_windows(_flags(t), min_valid=2, seed=9)[1]
+
+
 @query("qc04_prepared_windows", "subject_id:i segment_id:i channel:s k:i value:d")
 def _(t):
     p = rec.prepare(t.samples, FS, band=(0.5, 3.0), reference="average", window_sec=1.0, overlap=0.5, normalize="per_channel", block=64, short="keep")

@@ -31,6 +31,14 @@ def _(t):
     return records.choose_recordings(t.recordings, ids, 10).withColumn("n_channels", F.size("channels"))
 
 
+@query("src01_all_recordings", "subject_id:i n_channels:i n_samples:i label_id:i", """
+    SELECT subject_id, count(DISTINCT channel) AS n_channels, min(n) AS n_samples, subject_id % 3 AS label_id FROM v_samples
+    WHERE subject_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1""")
+def _(t):
+    ids = t.table("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("subject_id"))
+    return records.choose_recordings(t.recordings, ids).withColumn("n_channels", F.size("channels"))
+
+
 @query("src01_recording_files", "subject_id:s n:i", "SELECT 'sub-' || c_nationkey AS subject_id, 1 AS n FROM customer GROUP BY 1")
 def _(t):
     root = scratch(t, "files")

@@ -167,12 +167,12 @@ def _(t):
 @query("sta13_bootstrap_width", "subject_id:i i:i j:i ci_width:d stable:b", """
     WITH g AS (SELECT subject_id, segment_id, row_number() OVER (PARTITION BY subject_id ORDER BY segment_id) - 1 AS p, count(*) OVER (PARTITION BY subject_id) AS t FROM v_graphs),
     d AS (SELECT subject_id, b, t, CAST(floor(CAST('0x' || substr(md5(concat_ws('|', 0, subject_id, b, d)), 1, 13) AS BIGINT) / 4503599627370496.0 * t) AS BIGINT) AS p
-      FROM (SELECT subject_id, t, unnest(range(t)) AS d FROM (SELECT DISTINCT subject_id, t FROM g)), range(50) r(b)),
+      FROM (SELECT subject_id, t, unnest(range(t)) AS d FROM (SELECT DISTINCT subject_id, t FROM g)), range(200) r(b)),
     m AS (SELECT d.subject_id, b, i, j, sum(w) / min(t) AS m FROM d JOIN g USING (subject_id, p, t) JOIN v_edges e ON e.subject_id = d.subject_id AND e.segment_id = g.segment_id GROUP BY 1, 2, 3, 4),
     c AS (SELECT subject_id, i, j, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) AS ci_width FROM m GROUP BY 1, 2, 3)
     SELECT *, ci_width <= quantile_cont(ci_width, 0.3) OVER (PARTITION BY subject_id) AS stable FROM c""")
 def _(t):
-    return st.stable_edges(st.bootstrap_widths(t.edges, draws=50))
+    return st.stable_edges(st.bootstrap_widths(t.edges, draws=200))
 
 
 @query("sta14_subject_standardize", "graph_id:i channel:i feature:i value:d", """
