@@ -120,35 +120,48 @@ def project(blocks: DataFrame, models: DataFrame, keys: Sequence[str], dims: int
     return _join(blocks, models, keys).withColumn("m", _per_block(fn, "array<array<double>>")("m", "model")).drop("model")
 
 
-def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20, tol: float = 1e-4, most: int = 300, seed: int = 42) -> DataFrame:
-    """Lloyd's algorithm for every key at once: adds ``cluster``, ``distance`` to the blocks (arrays by row).
+def scale(blocks: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Replace the vectors of blocks by (x - mean) / population std of the model."""
+
+    def fn(m, p):
+        d = m.shape[1]
+        return ((m - p[:d]) / p[d:2 * d]).tolist()
+
+    return _join(blocks, models, keys).withColumn("m", _per_block(fn, "array<array<double>>")("m", "model")).drop("model")
+
+
+def _squares(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres, from products."""
+    return np.maximum((m * m).sum(1)[:, None] + (c * c).sum(1) - 2 * m @ c.T, 0.0)
+
+
+def kmeans_models(blocks: DataFrame, keys: Sequence[str], k: int | str, *, starts: int = 20, tol: float = 4e-3, most: int = 300, seed: int | str = 42) -> DataFrame:
+    """(keys.., model, inertia): Lloyd's algorithm for every key at once; ``k`` and ``seed`` may name key columns.
 
     ``starts`` sets of k rows with the smallest keyed hash begin in parallel; the set of least inertia wins. A round is one pass
     over the blocks and one sum of small arrays; the centroids are written down between rounds. Rounds go on until no
-    centroid of any key moves by more than ``tol`` (Euclidean); more than ``most`` rounds raise.
+    coordinate of a centroid of any key moves by more than ``tol``; more than ``most`` rounds raise.
     """
-    blocks = land(blocks)
+    size = F.col(k) if isinstance(k, str) else F.lit(k)
+    salt = F.col(seed) if isinstance(seed, str) else F.lit(seed)
+    largest = blocks.agg(F.max(k)).first()[0] or 1 if isinstance(k, str) else k
     rows = blocks.select(*keys, F.explode(F.arrays_zip("ids", "m")).alias("z")).select(*keys, F.to_json("z.ids").alias("_id"), F.col("z.m").alias("x"))
-    first = pick_first(rows, list(keys), random_hex(F.lit(seed), "_id"), k=k * starts, rank="_r")
+    first = pick_first(rows, list(keys), random_hex(salt, "_id"), k=largest * starts, rank="_r")
     got = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_r", "x"))).alias("_s"))
 
     # start s takes the drawn rows s, s + starts, ...; with few rows they repeat
-    pick = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(starts * k - 1)), lambda p: F.get("_s.x", F.pmod(F.floor(p / k) + F.pmod(p, F.lit(k)) * starts, F.size("_s")).cast("int"))))
+    pick = F.flatten(F.transform(F.sequence(F.lit(0), size * starts - 1), lambda p: F.get("_s.x", F.pmod(F.floor(p / size) + F.pmod(p, size) * starts, F.size("_s")).cast("int"))))
     cent = land(got.select(*keys, pick.alias("model")))
 
-    def nearest(m, p):
-        c = p.reshape(starts, k, m.shape[1])
-        flat = c.reshape(starts * k, -1)
-        d2 = np.maximum((m * m).sum(1)[:, None] + (flat * flat).sum(1) - 2 * m @ flat.T, 0.0).reshape(len(m), starts, k)
-        return d2.argmin(2), d2.min(2)
-
     def step(m, p):
-        a, best = nearest(m, p)
         d = m.shape[1]
-        out = np.zeros((starts, k, d + 1))
+        c = p.reshape(starts, -1, d)
+        d2 = _squares(m, c.reshape(-1, d)).reshape(len(m), starts, -1)
+        a, best = d2.argmin(2), d2.min(2)
+        out = np.zeros((starts, c.shape[1], d + 1))
         for s in range(starts):
             np.add.at(out[s, :, :d], a[:, s], m)
-            out[s, :, d] = np.bincount(a[:, s], minlength=k)
+            out[s, :, d] = np.bincount(a[:, s], minlength=c.shape[1])
         return np.concatenate([out.ravel(), best.sum(0)])
 
     @F.pandas_udf("array<double>")
@@ -156,18 +169,18 @@ def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20,
         res = []
         for o, t in zip(old, sums):
             o, t = np.asarray(o, float), np.asarray(t, float)
-            d = len(o) // (starts * k)
-            body = t[:starts * k * (d + 1)].reshape(starts, k, d + 1)
-            n = body[:, :, d:]
-            res.append(np.where(n > 0, body[:, :, :d] / np.maximum(n, 1), o.reshape(starts, k, d)).ravel())
+            groups = len(t) - starts - len(o)  # one count per centroid besides its coordinates
+            body = t[:-starts].reshape(groups, -1)
+            n = body[:, -1:]
+            res.append(np.where(n > 0, body[:, :-1] / np.maximum(n, 1), o.reshape(groups, -1)).ravel())
         return pd.Series(res)
 
     @F.pandas_udf("array<double>")
     def best(old: pd.Series, sums: pd.Series) -> pd.Series:
         res = []
         for o, t in zip(old, sums):
-            o, t = np.asarray(o, float).reshape(starts, -1), np.asarray(t, float)
-            res.append(o[int(np.argmin(t[-starts:]))])
+            t = np.asarray(t, float)[-starts:]
+            res.append(np.append(np.asarray(o, float).reshape(starts, -1)[int(np.argmin(t))], t.min()))
         return pd.Series(res)
 
     f = _per_block(step)
@@ -182,15 +195,28 @@ def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20,
         cent = moved.select(*keys, F.col("next").alias("model"))
     else:
         raise RuntimeError(f"k-means did not settle in {most} rounds")
-    cent = land(_join(cent, sums, keys).select(*keys, best("model", "sums").alias("model")))
+    done = _join(cent, sums, keys).select(*keys, best("model", "sums").alias("_m"))
+    return land(done.select(*keys, F.slice("_m", F.lit(1), F.size("_m") - 1).alias("model"), F.element_at("_m", -1).alias("inertia")))
+
 
-    def final(m, p):
-        c = p.reshape(k, m.shape[1])
-        d2 = np.maximum((m * m).sum(1)[:, None] + (c * c).sum(1) - 2 * m @ c.T, 0.0)
-        return np.stack([d2.argmin(1), np.sqrt(d2.min(1))], axis=1).tolist()
+def distances(blocks: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``distances`` to the blocks: by row, the distance to every centre of the key's model."""
+    fn = lambda m, p: np.sqrt(_squares(m, p.reshape(-1, m.shape[1]))).tolist()
+    return _join(blocks, models.select(*keys, "model"), keys).withColumn("distances", _per_block(fn, "array<array<double>>")("m", "model")).drop("model")
 
-    out = _join(blocks, cent, keys).withColumn("_a", _per_block(final, "array<array<double>>")("m", "model")).drop("model")
-    return out.withColumn("cluster", F.transform("_a", lambda v: v[0].cast("long"))).withColumn("distance", F.transform("_a", lambda v: v[1])).drop("_a")
+
+def assign(blocks: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``cluster`` and ``distance`` to the blocks (arrays by row): the nearest centre, the first of equally near ones."""
+    d = distances(blocks, models, keys)
+    low = F.transform("distances", F.array_min)
+    near = F.transform("distances", lambda v: F.array_position(v, F.array_min(v)) - 1)
+    return d.withColumns({"cluster": near, "distance": low}).drop("distances")
+
+
+def kmeans(blocks: DataFrame, keys: Sequence[str], k: int, *, starts: int = 20, tol: float = 4e-3, most: int = 300, seed: int = 42) -> DataFrame:
+    """``kmeans_models`` and ``assign`` on the same blocks."""
+    blocks = land(blocks)
+    return assign(blocks, kmeans_models(blocks, keys, k, starts=starts, tol=tol, most=most, seed=seed), keys)
 
 
 # ---- isolation forest ---------------------------------------------------------------------------

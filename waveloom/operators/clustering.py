@@ -7,13 +7,11 @@ return sums or the nearest few per row; no pair is ever a row.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,61 +38,89 @@ def _dist(a, b):
 
 # ---- fit and apply ------------------------------------------------------------------------------
 
-def cluster_pipeline(k: int, dims: int | None, seed: int = 42, max_iter: int = 20) -> Pipeline:
-    stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)]
-    col = "scaled"
-    if dims:
-        stages.append(PCA(k=dims, inputCol="scaled", outputCol="reduced"))
-        col = "reduced"
-    stages.append(KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=col, predictionCol="cluster"))
-    return Pipeline(stages=stages)
+@dataclass(frozen=True)
+class Clusterer:
+    """Scaler with optional components (one row), and centres (one row), fitted on training rows."""
 
+    base: DataFrame
+    dims: int | None
+    centres: DataFrame
 
-def fit_clusterer(train: DataFrame, k: int = 6, dims: int | None = 8, seed: int = 42, x: str = "x"):
-    """CLU01: scaler, optional PCA and k-means fitted on training rows only."""
-    return cluster_pipeline(k, dims, seed).fit(train.withColumn("features", array_to_vector(x)))
+    def place(self, df: DataFrame, ids: Sequence[str], x: str) -> DataFrame:
+        """Blocks of the rows in the space of the centres."""
+        b = B.pack(_clean(df, x).select(*ids, x), [], ids, x)
+        return B.scale(b, self.base, []) if self.dims is None else B.project(b, self.base, [], self.dims)
 
 
-def apply_clusterer(model, df: DataFrame, x: str = "x") -> DataFrame:
+def _clean(df: DataFrame, x: str) -> DataFrame:
+    """NaN, infinities and missing components count as 0."""
+    return df.withColumn(x, F.transform(x, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)))
+
+
+def fit_clusterer(train: DataFrame, k: int = 6, dims: int | None = 8, seed: int = 42, x: str = "x", ids: Sequence[str] = ("vec_id",), starts: int = 10) -> Clusterer:
+    """CLU01: scaler (population std), optional components (signs fixed) and k-means, fitted on training rows only.
+
+    NaN and infinities count as 0; k is limited to the rows, ``dims`` to rows and features; without ``dims`` the
+    scaled features are clustered. The best of ``starts`` starts is kept, each run until it settles.
+    """
+    b = land(B.pack(_clean(train, x).select(*ids, x), [], ids, x))
+    n, d = b.agg(F.sum(F.size("m")), F.max(F.size(F.get("m", 0)))).first()
+    if not n:
+        raise ValueError("no training rows")
+    eff = min(dims, n, d) if dims else None
+    base = B.pca_models(b, [], eff or 1)
+    z = land(B.project(b, base, [], eff) if eff else B.scale(b, base, []))
+    return Clusterer(base, eff, B.kmeans_models(z, [], min(k, n), starts=starts, seed=seed))
+
+
+def apply_clusterer(model: Clusterer, df: DataFrame, x: str = "x", ids: Sequence[str] = ("vec_id",)) -> DataFrame:
     """CLU01: cluster id, distance to its centre, and the first two coordinates."""
-    km = model.stages[-1]
-    col = km.getFeaturesCol()
-    t = model.transform(df.withColumn("features", array_to_vector(x))).withColumn("_z", vector_to_array(col))
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in ctr]) for ctr in km.clusterCenters()])  # k x dims constants
-    own = F.get(centers, F.col("cluster"))
-    return t.withColumn("distance", _dist("_z", own)).withColumn("pca1", F.get("_z", 0)).withColumn("pca2", F.get("_z", 1)).select(*df.columns, "cluster", "distance", "pca1", "pca2")
+    out = B.unpack(B.assign(model.place(df, ids, x), model.centres, []), [], ["m", "cluster", "distance"])
+    out = out.withColumn("pca1", F.get("m", 0)).withColumn("pca2", F.get("m", 1)).drop("m")
+    return df.join(out, list(ids)).select(*df.columns, "cluster", "distance", "pca1", "pca2")
 
 
-def cluster_manifest(vectors: DataFrame, k: int = 6, dims: int | None = 8, seed: int = 42, split: str = "split") -> DataFrame:
+def cluster_manifest(vectors: DataFrame, k: int = 6, dims: int | None = 8, seed: int = 42, split: str = "split", ids: Sequence[str] = ("vec_id",)) -> DataFrame:
     """CLU02: fit on train, apply to every split."""
-    model = fit_clusterer(vectors.filter(F.col(split) == "train"), k, dims, seed)
-    return apply_clusterer(model, vectors)
+    model = fit_clusterer(vectors.filter(F.col(split) == "train"), k, dims, seed, ids=ids)
+    return apply_clusterer(model, vectors, ids=ids)
 
 
-def grid_search(train: DataFrame, dims: Sequence[int], ks: Sequence[int], seeds: Sequence[int], ids: Sequence[str], x: str = "x") -> DataFrame:
-    """CLU03: for each (dims, k): silhouette, Calinski-Harabasz, Davies-Bouldin, inertia, agreement over seeds, smallest and
-    largest cluster share. One Spark job set per fit; the loop is over settings, not data."""
+def grid_search(train: DataFrame, dims: Sequence[int], ks: Sequence[int], seeds: Sequence[int], ids: Sequence[str], x: str = "x", starts: int = 10) -> DataFrame:
+    """CLU03: for each (dims, k): silhouette, Calinski-Harabasz, Davies-Bouldin, inertia, smallest and largest cluster share of
+    the first seed, and the mean agreement of all pairs of seeds.
+
+    One scaler and one set of components at the largest dimension serve all settings (smaller ones are their first columns); all
+    settings and seeds are fitted together, one pass per round.
+    """
+    b = land(B.pack(_clean(train, x).select(*ids, x), [], ids, x))
+    z = B.project(b, B.pca_models(b, [], max(dims)), [], max(dims))
+    for name, values in (("dims", dims), ("k", ks), ("seed", seeds)):
+        z = z.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
+    keys = ["dims", "k", "seed"]
+    z = land(z.withColumn("m", F.transform("m", lambda v: F.slice(v, F.lit(1), F.col("dims")))))
+    models = B.kmeans_models(z, keys, "k", starts=starts, seed="seed")
+    t = land(B.unpack(B.assign(z, models, keys), keys, ["m", "cluster"]).withColumnRenamed("m", "x"))
     out = None
     for d in dims:
         for k in ks:
-            runs = []
-            for s in seeds:
-                model = fit_clusterer(train, k, d, s, x)
-                t = model.transform(train.withColumn("features", array_to_vector(x))).select(*ids, "cluster", vector_to_array("reduced").alias("x"))
-                runs.append((model, t))
-            t = land(runs[0][1])
-            v = validity(t, ids, d)
-            share = t.groupBy("cluster").agg(F.count("*").alias("n"))
+            own = t.filter((F.col("dims") == d) & (F.col("k") == k))
+            one = own.filter(F.col("seed") == seeds[0]).select(*ids, "cluster", "x")
+            share = one.groupBy("cluster").agg(F.count("*").alias("n"))
             tot = share.agg(F.sum("n").alias("_t"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-            row = attach(v, tot, []).select(
-                F.lit(d).alias("dims"), F.lit(k).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin",
-                F.lit(float(runs[0][0].stages[-1].summary.trainingCost)).alias("inertia"), (F.col("_lo") / F.col("_t")).alias("min_share"), (F.col("_hi") / F.col("_t")).alias("max_share"))
-            if len(runs) > 1:
+            cost = models.filter((F.col("dims") == d) & (F.col("k") == k) & (F.col("seed") == seeds[0])).select("inertia")
+            row = attach(attach(validity(one, ids, d), tot, []), cost, []).select(
+                F.lit(d).alias("dims"), F.lit(k).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin", "inertia",
+                (F.col("_lo") / F.col("_t")).alias("min_share"), (F.col("_hi") / F.col("_t")).alias("max_share"))
+            pairs = [(a, c2) for i, a in enumerate(seeds) for c2 in seeds[i + 1:]]
+            if pairs:
+                labels = own.select(*ids, "seed", "cluster")
                 ari = None
-                for other in runs[1:]:
-                    j = t.select(*ids, F.col("cluster").alias("a")).join(other[1].select(*ids, F.col("cluster").alias("b")), list(ids))
-                    a = adjusted_rand(j, "a", "b")
-                    ari = a if ari is None else ari.unionByName(a)
+                for a, c2 in pairs:
+                    j = labels.filter(F.col("seed") == a).select(*ids, F.col("cluster").alias("a")).join(
+                        labels.filter(F.col("seed") == c2).select(*ids, F.col("cluster").alias("b")), list(ids))
+                    r = adjusted_rand(j, "a", "b")
+                    ari = r if ari is None else ari.unionByName(r)
                 row = attach(row, ari.agg(F.avg("ari").alias("ari_mean")), [])
             out = row if out is None else out.unionByName(row)
     return out
@@ -111,14 +137,11 @@ def prototype_vectors(nodes: DataFrame, members: DataFrame) -> DataFrame:
     return flat.join(reg, "graph_id").select("graph_id", S, F.concat(F.col("_a.x"), F.col("_b.mean")).alias("x"))
 
 
-def prototypes(model, df: DataFrame, temperature: float = 1.0, x: str = "x") -> DataFrame:
+def prototypes(model: Clusterer, df: DataFrame, temperature: float = 1.0, x: str = "x", ids: Sequence[str] = ("graph_id",)) -> DataFrame:
     """CLU08: distances to every prototype, hard id, softmax(-d / T), ln(1 + d)."""
-    km = model.stages[-1]
-    t = model.transform(df.withColumn("features", array_to_vector(x))).withColumn("_z", vector_to_array(km.getFeaturesCol()))
-    centers = F.array(*[F.array(*[F.lit(float(v)) for v in ctr]) for ctr in km.clusterCenters()])
-    d = F.transform(centers, lambda ctr: F.sqrt(F.aggregate(F.zip_with(F.col("_z"), ctr, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)))
-    t = t.withColumn("distances", d).withColumn("prototype", (F.array_position("distances", F.array_min("distances")) - 1).cast("int"))
-    return t.withColumn("soft", softmax(F.transform("distances", lambda v: -v / temperature))).withColumn("log_distances", F.transform("distances", F.log1p)).drop("features", "scaled", "reduced", "_z", "cluster")
+    d = B.unpack(B.distances(model.place(df, ids, x), model.centres, []), [], ["distances"])
+    t = df.join(d, list(ids)).withColumn("prototype", (F.array_position("distances", F.array_min("distances")) - 1).cast("int"))
+    return t.withColumn("soft", softmax(F.transform("distances", lambda v: -v / temperature))).withColumn("log_distances", F.transform("distances", F.log1p))
 
 
 def prototype_usage(assigned: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import clustering as cl
 from ..operators import graphs as gr
 from ..operators import selection as sel
@@ -28,6 +29,19 @@ def _(t):
     return cl.cluster_manifest(_split(t))
 
 
+@query("clu02_assignment_check", "n:i wrong:i far:i", "SELECT count(*) AS n, 0 AS wrong, 0 AS far FROM embeddings")
+def _(t):
+    """Every row is in the cluster of its nearest centre, at that distance, by a second computation from the coordinates."""
+    v = _split(t)
+    model = cl.fit_clusterer(v.filter("split = 'train'"))
+    z = B.unpack(B.distances(model.place(v, ["vec_id"], "x"), model.centres, []), [], ["m", "distances"])
+    c = model.centres.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.slice("model", i * 8 + 1, 8))).alias("cluster", "centre"))
+    own = cl.apply_clusterer(model, v).select("vec_id", "cluster", "distance").join(z, "vec_id").join(c, "cluster")
+    d = F.sqrt(F.aggregate(F.zip_with("m", "centre", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, e: s + e))
+    return own.agg(F.count("*").alias("n"), F.sum(F.when(F.array_min("distances") < F.col("distance") - 1e-9, 1).otherwise(0)).alias("wrong"),
+                   F.sum(F.when(F.abs(d - F.col("distance")) > 1e-6, 1).otherwise(0)).alias("far"))
+
+
 @query("clu03_grid_search", "dims:i k:i silhouette:d4 calinski_harabasz:d4 davies_bouldin:d4 inertia:d2 min_share:d4 max_share:d4 ari_mean:d4")
 def _(t):
     return cl.grid_search(t.vectors.select("vec_id", "x"), [3], [4, 6], [15, 42], ["vec_id"])
@@ -126,7 +140,7 @@ def _(t):
 def _protos(t):
     m = t.nodes.select("node", F.floor(F.col("node") / 4).cast("int").alias("region")).distinct()
     v = cl.prototype_vectors(t.nodes, m)
-    return cl.prototypes(cl.fit_clusterer(v.filter("subject_id % 5 > 1"), 8, 16), v)
+    return cl.prototypes(cl.fit_clusterer(v.filter("subject_id % 5 > 1"), 8, 16, ids=["graph_id"]), v)
 
 
 @query("clu08_prototypes", "graph_id:i prototype:i soft_0:d4 d_0:d4")
