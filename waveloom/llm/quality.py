@@ -52,7 +52,7 @@ def indicators(blob: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _runs(batch, text_col: str):
     blob, offsets = utf8_bytes(utf8(batch.column(batch.schema.get_field_index(text_col))))
-    for lo, hi in slices(offsets, 1 << 20):
+    for lo, hi in slices(offsets, 1 << 18):
         yield lo, hi, *indicators(blob[offsets[lo]: offsets[hi]], offsets[lo: hi + 1] - offsets[lo])
 
 
@@ -102,7 +102,7 @@ def _sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(at[0]), 1e-6), float(at[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """Learn from all texts in ``docs`` that have a label 0 or 1; returns the model.
 
     Log-count ratios come from all labelled texts (summed per task before the shuffle; the result has
