@@ -28,6 +28,7 @@ def main() -> None:
     from waveloom.plans import catalog
     from waveloom.plans.views import Tables
 
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH")]))  # for the workers
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("waveloom-bench")
