@@ -159,3 +159,17 @@ def test_leak_query_equals_its_sql(spark, table_dir):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{table_dir}/{name}.parquet/*.parquet')")
     want = sorted(con.execute(templates.oracle()).fetchall())
     assert sorted(tuple(r) for r in templates.query(spark, table_dir).collect()) == want and len(want) >= 1
+
+
+def test_stars_of_a_large_bucket():
+    rng = np.random.default_rng(6)
+    centres = rng.integers(1, 256, (5, jaccard.SKETCH), dtype=np.uint8)
+    who = rng.integers(0, 5, 700)
+    sketch = centres[who].copy()
+    for row in sketch:
+        row[rng.integers(0, jaccard.SKETCH, 5)] = 0  # empty bins
+    ids = rng.permutation(10_000)[:700].astype(np.int64)
+    x, y = jaccard._stars_by_rows(ids, sketch, 0.6)
+    got = dict(zip(x.tolist(), y.tolist()))
+    first = [ids[who == c].min() for c in range(5)]
+    assert all(got.get(int(i), int(i)) == first[c] for i, c in zip(ids, who))

@@ -120,6 +120,15 @@ def _groups(batches, key: int, limit: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _few_groups(tables, key: int, limit: int):
+    """The same whole groups in tables of at most ``limit`` rows, or one group where that alone is larger."""
+    for t in tables:
+        k = t.column(key).to_numpy()
+        cuts = np.concatenate([np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])), [len(k)]])
+        for lo, hi in slices(cuts, limit):
+            yield t.slice(cuts[lo], cuts[hi] - cuts[lo])
+
+
 def _pairs_of(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs inside each of many small groups of consecutive rows."""
     rows = np.repeat(sizes, sizes)
@@ -170,6 +179,10 @@ def _compare_buckets(rows: DataFrame, close: float, limit: int) -> DataFrame:
             if not use.any():
                 continue
             sketch = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            for s, m in zip(heads[use & (sizes > 512)], sizes[use & (sizes > 512)], strict=True):
+                x, y = _stars_by_rows(ids[s: s + m], sketch[s: s + m], close)
+                yield pa.RecordBatch.from_pydict({"a": x, "b": y, "kind": np.zeros(len(x), np.int32)})
+            use &= sizes <= 512
             heads, sizes = heads[use], sizes[use]
             at = 0
             while at < len(heads):  # runs of groups with a bounded number of pairs
@@ -188,6 +201,23 @@ def _compare_buckets(rows: DataFrame, close: float, limit: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, "a long, b long, kind int").distinct()
 
 
+def _stars_by_rows(ids: np.ndarray, sketch: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of one bucket, by blocks of rows against all later rows; pairs are joined at once and never kept."""
+    order = np.argsort(ids, kind="stable")
+    ids, sketch = ids[order], sketch[order]
+    label = np.arange(len(ids))
+    for lo in range(0, len(ids), 32):
+        a, b = sketch[lo: lo + 32, None, :], sketch[None, lo:, :]
+        some = (a != 0) | (b != 0)
+        alike = ((a == b) & some).sum(2) >= close * np.maximum(some.sum(2), 1)
+        for k, row in enumerate(alike):
+            met = np.unique(label[lo:][row | (np.arange(len(row)) == k)])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
+    out = ids != ids[label]
+    return ids[out], ids[label][out]
+
+
 def _stars_in(node, ids, a, b):
     """Star edges inside each bucket: every set in a pair with the smallest set of its component there."""
     order = np.lexsort((ids, node))
@@ -228,7 +258,7 @@ def _verify(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """
 
     def work(batches):
-        for t in _groups(batches, 0, 64):
+        for t in _few_groups(_groups(batches, 0, 64), 0, 1500):
             job, side, ids = (t.column(k).to_numpy() for k in (0, 1, 2))
             hi_, lo_ = t.column(3).to_numpy(), t.column(4).to_numpy()
             blob, offsets = utf8_bytes(utf8(t.column(5).cast(pa.large_string())))
@@ -293,7 +323,7 @@ def _linked(h: np.ndarray, cuts: np.ndarray, k: np.ndarray, threshold: float) ->
 # ---------------------------------------------------------------- join
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, shingle: int = 5, recall: float = 0.995, rate: float = 1.6, depth: int = 3,
-                    bucket: int = 512, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    bucket: int = 4096, tile: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id, n_copies, n_links.
 
     Sets are the distinct ``shingle``-word sequences of a text (words: runs other than ASCII white
