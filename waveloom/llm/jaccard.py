@@ -165,17 +165,18 @@ def _stars(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
 
 def _compare_buckets(rows: DataFrame, close: float, limit: int) -> DataFrame:
     """(a, b, kind): star edges of sets that look alike inside a bucket (kind 0), and rows of buckets over
-    ``limit`` (kind 1: a set, b bucket) for the next split."""
+    ``limit`` (kind 1: a set, b bucket) for the next split.
+
+    Buckets are counted first, so sets alone in a bucket are never gathered, and those of a bucket over the limit
+    pass by in whatever tasks they are.
+    """
 
     def work(batches):
         for t in _groups(batches, 0, 20_000):
             node, ids = t.column(0).to_numpy(), t.column(1).to_numpy()
             heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
             sizes = np.diff(np.append(heads, len(node)))
-            large = np.repeat(sizes > limit, sizes)
-            if large.any():
-                yield pa.RecordBatch.from_pydict({"a": ids[large], "b": node[large], "kind": np.ones(int(large.sum()), np.int32)})
-            use = (sizes > 1) & (sizes <= limit)
+            use = sizes > 1
             if not use.any():
                 continue
             sketch = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH)
@@ -198,7 +199,12 @@ def _compare_buckets(rows: DataFrame, close: float, limit: int) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"a": x, "b": y, "kind": np.zeros(len(x), np.int32)})
                 at += n
 
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(work, "a long, b long, kind int").distinct()
+    # a merge join at every size; its hot keys are split by adaptive execution
+    counts = rows.groupBy("node").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = rows.join(counts.hint("merge"), "node")
+    near = shared.filter(F.col("m") <= limit).select("node", "id", "sketch").repartition("node").sortWithinPartitions("node")
+    large = shared.filter(F.col("m") > limit).select(F.col("id").alias("a"), F.col("node").alias("b"), F.lit(1).alias("kind"))
+    return near.mapInArrow(work, "a long, b long, kind int").distinct().unionByName(large)
 
 
 def _stars_by_rows(ids: np.ndarray, sketch: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray]:
