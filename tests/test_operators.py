@@ -385,3 +385,26 @@ def test_store_skips_stored_subjects(spark, tmp_path):
     assert store.choose_bands(e, "pearson", [0], ["alpha"]).count() == 1
     with pytest.raises(KeyError):
         store.choose_bands(e, "pearson", ["theta"], ["alpha"])
+
+
+def test_registered_settings_are_the_references(monkeypatch):
+    from types import SimpleNamespace
+
+    from waveloom.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(cl, "grid_search", lambda train, dims, ks, seeds, ids, **kw: seen.append((len(dims), len(ks), len(seeds), kw)))
+    vectors = SimpleNamespace(select=lambda *a: None)
+    catalog.QUERIES["clu03_grid_search"][0](SimpleNamespace(vectors=vectors))
+    assert seen == [(5, 6, 3, {"starts": 20})]
+
+
+def test_forest_runs_and_probe_convergence(spark):
+    rows = [(s, k, s % 3, "train" if s < 9 else "val" if s < 12 else "test", [float(s % 3) + 0.1 * k, float(k % 2)]) for s in range(15) for k in range(6) if s % 3 or s >= 9 or k < 2]
+    v = spark.createDataFrame(rows, "subject_id long, vec_id long, label long, split string, x array<double>")
+    windows, subjects, rates = cl.forest_runs(v.filter("split = 'train'"), v.filter("split <> 'train'"), 3, (15, 42), trees=8)
+    got = {(r["seed"], r["split"]): (r["n_samples"], r["accuracy"]) for r in rates.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {(s, p): n for s in (15, 42) for p, n in (("val", 3), ("test", 3), ("val_segment", 18), ("test_segment", 18))}
+    assert windows.count() == 72 and subjects.count() == 12 and got[(15, "test")][1] == 1.0
+    with pytest.raises(RuntimeError):
+        cl.linear_probe(v, v, max_iter=2, converge=True)

@@ -23,6 +23,7 @@ from . import evaluation as ev
 from . import kernels as K
 from .landing import land
 from .ordered import attach, quantiles
+from .selection import stratified_folds
 
 S, SEG = "subject_id", "segment_id"
 
@@ -487,10 +488,12 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return df.join(F.broadcast(attach(n, t, []).select(label, (F.col("_all") / (F.col("_cls") * F.col("_n"))).alias("weight"))), label)
 
 
-def linear_probe(train: DataFrame, test: DataFrame, label: str = "label", x: str = "x", balanced: bool = False, max_iter: int = 100) -> DataFrame:
-    """CLU16: logistic regression on embeddings; test rows with pred_label and prob."""
+def linear_probe(train: DataFrame, test: DataFrame, label: str = "label", x: str = "x", balanced: bool = False, max_iter: int = 100, converge: bool = False) -> DataFrame:
+    """CLU16: logistic regression on embeddings; test rows with pred_label and prob. With ``converge`` a fit that ``max_iter`` cuts off raises."""
     tr = (balanced_weights(train, label) if balanced else train.withColumn("weight", F.lit(1.0))).withColumn("features", array_to_vector(x)).withColumn("_y", F.col(label).cast("double"))
     model = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=max_iter, regParam=1e-3, standardization=True).fit(tr)
+    if converge and model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the probe did not converge in {max_iter} iterations")
     t = model.transform(test.withColumn("features", array_to_vector(x)))
     return t.select(*test.columns, F.col("prediction").cast("long").alias("pred_label"), vector_to_array("probability").alias("prob"))
 
@@ -499,12 +502,27 @@ def probe_metrics(pred: DataFrame, label: str = "label") -> DataFrame:
     return ev.summary_rates(ev.confusion(pred, true=label))
 
 
-def forest_classifier(train: DataFrame, test: DataFrame, n_classes: int, *, trees: int = 50, depth: int = 8, seed: int = 42, label: str = "label", x: str = "x") -> tuple[DataFrame, DataFrame]:
-    """CLU17: random forest on window vectors; window predictions and their soft vote per subject."""
+def forest_classifier(train: DataFrame, test: DataFrame, n_classes: int, *, trees: int = 300, depth: int = 30, seed: int = 42, label: str = "label", x: str = "x", keys: Sequence[str] = (S,)) -> tuple[DataFrame, DataFrame]:
+    """CLU17: random forest on window vectors, classes weighted alike; window predictions and their soft vote per ``keys``.
+
+    Spark grows trees to depth 30 at most. Weights are those of the training rows, not of each tree's draw.
+    """
     f = lambda d: d.withColumn("features", array_to_vector(x))
-    model = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(f(train).withColumn("_y", F.col(label).cast("double")))
+    model = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(
+        f(balanced_weights(train, label)).withColumn("_y", F.col(label).cast("double")))
     t = model.transform(f(test)).select(*test.columns, F.col(label).alias("true_label"), F.col("prediction").cast("long").alias("pred_label"), vector_to_array("probability").alias("prob"))
-    return t, ev.soft_vote(t, n_classes, [S])
+    return t, ev.soft_vote(t, n_classes, list(keys))
+
+
+def forest_runs(train: DataFrame, held: DataFrame, n_classes: int, seeds: Sequence[int] = (15, 42, 100), *, label: str = "label", **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CLU17: one forest per seed. Window predictions and subject votes of the rows ``held`` out (with ``split``), and rates
+    per seed and split: of windows as ``val_segment``, of subjects as ``val``."""
+    keys, windows, subjects = ["seed", "split", S], None, None
+    for seed in seeds:
+        w, v = (land(x) for x in forest_classifier(train, held.withColumn("seed", F.lit(int(seed))), n_classes, seed=seed, label=label, keys=keys, **kw))
+        windows, subjects = (w, v) if windows is None else (windows.unionByName(w), subjects.unionByName(v))
+    named = windows.select("seed", F.concat("split", F.lit("_segment")).alias("split"), "true_label", "pred_label").unionByName(subjects.select("seed", "split", "true_label", "pred_label"))
+    return windows, subjects, ev.summary_rates(ev.confusion(named, keys=keys[:2]), keys[:2])
 
 
 COMBINED_WEIGHTS = [
@@ -521,8 +539,31 @@ def combined_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("combined_score", s)
 
 
-def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int, max_iter: int = 30) -> DataFrame:
+def feature_metrics(vectors: DataFrame, dim: int, n_folds: int = 5, max_iter: int = 8000) -> DataFrame:
+    """CLU18: the ten metrics of ``combined_score`` of one set of vectors (vec_id, subject_id, label, x), as one row.
+
+    The probe reads subject centroids, fold by fold, to convergence; its std over folds is that of the population.
+    """
+    cen = land(mean_vectors(vectors, [S, "label"], dim, name="x"))
+    folds = land(stratified_folds(cen.select(S, "label"), n_folds).select("fold", S, (F.col("role") == "test").alias("_test")))
+    pred = None
+    for fold in range(n_folds):
+        r = land(cen.join(folds.filter(F.col("fold") == fold), S))
+        p = linear_probe(r.filter("not _test"), r.filter("_test"), balanced=True, max_iter=max_iter, converge=True).select("fold", F.col("label").alias("true_label"), "pred_label")
+        pred = p if pred is None else pred.unionByName(p)
+    out = ev.summary_rates(ev.confusion(pred, keys=["fold"]), ["fold"]).agg(
+        F.avg("macro_f1").alias("probe_macro_f1_mean"), F.stddev_pop("macro_f1").alias("probe_macro_f1_std"),
+        F.avg("balanced_accuracy").alias("probe_bal_acc_mean"), F.stddev_pop("balanced_accuracy").alias("probe_bal_acc_std"))
+    out = attach(out, knn_purity(vectors).select("knn_class_purity_mean", "knn_subject_purity_mean"), [])
+    for name, v in (("segment", vectors), ("subject", cen)):
+        out = attach(out, nearest_class(v, dim).agg(F.avg(F.col("matches").cast("int")).alias(f"{name}_centroid_match_rate")), [])
+        out = attach(out, scatter_ratio(v, dim).select(F.col("ratio").alias(f"bw_scatter_ratio_{name}s")), [])
+    return out
+
+
+def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int, max_iter: int = 8000) -> DataFrame:
     """CLU19: per fold and representation, subject-level rates of a balanced linear probe, with the stability of the graphs.
+    A probe that does not converge raises.
 
     ``vectors`` maps a representation (node flat, node mean, edge, combined) to rows (subject_id, label, x)."""
     out = None
@@ -530,7 +571,7 @@ def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability
         role = folds.filter(F.col("fold") == fold).select(S, "role")
         for name, v in vectors.items():
             r = land(v.join(role, S))
-            p = linear_probe(r.filter("role = 'train'"), r.filter("role = 'test'"), balanced=True, max_iter=max_iter)
+            p = linear_probe(r.filter("role = 'train'"), r.filter("role = 'test'"), balanced=True, max_iter=max_iter, converge=True)
             voted = ev.soft_vote(p.withColumnRenamed("label", "true_label"), 3, [S])
             m = ev.summary_rates(ev.confusion(voted)).select(F.lit(fold).alias("fold"), F.lit(name).alias("representation"), "accuracy", "macro_f1", "n_samples")
             out = m if out is None else out.unionByName(m)

@@ -12,6 +12,7 @@ from .evaluate_queries import rates_sql
 from .registry import query
 
 _DIM = 64
+_FOLDS = 8  # the smallest class of the supplied graphs has 8 subjects
 
 
 def _split(t):
@@ -44,7 +45,7 @@ def _(t):
 
 @query("clu03_grid_search", "dims:i k:i silhouette:d4 calinski_harabasz:d4 davies_bouldin:d4 inertia:d2 min_share:d4 max_share:d4 ari_mean:d4")
 def _(t):
-    return cl.grid_search(t.vectors.select("vec_id", "x"), [3], [4, 6], [15, 42], ["vec_id"])
+    return cl.grid_search(t.vectors.select("vec_id", "x"), [3, 5, 8, 10, 15], [4, 5, 6, 8, 10, 12], [15, 42, 100], ["vec_id"], starts=20)
 
 
 # given clusters: the row's number modulo 4 plus its label's parity, so that the numbers have a closed SQL form
@@ -248,16 +249,24 @@ def _(t):
     return cl.probe_metrics(t.vectors.select((F.col("vec_id") % 3).alias("label"), (F.col("label") % 3).alias("pred_label")))
 
 
-@query("clu17_forest_segments", "vec_id:i true_label:i pred_label:i")
+def _forests(t):
+    v = _split(t).withColumn("label", F.col("subject_id") % 3)
+    return cl.forest_runs(v.filter("split = 'train'"), v.filter("split <> 'train'"), 3)
+
+
+@query("clu17_forest_segments", "seed:i split:s vec_id:i true_label:i pred_label:i")
+def _(t):
+    return _forests(t)[0]
+
+
+@query("clu17_forest_subjects", "seed:i split:s subject_id:i true_label:i pred_label:i num_instances:i")
 def _(t):
-    v = t.vectors.withColumn("label", F.col("subject_id") % 3)
-    return cl.forest_classifier(v.filter("subject_id % 5 > 0"), v.filter("subject_id % 5 = 0"), 3, trees=20, depth=5)[0]
+    return _forests(t)[1]
 
 
-@query("clu17_forest_subjects", "subject_id:i true_label:i pred_label:i num_instances:i")
+@query("clu17_forest_metrics", "seed:i split:s accuracy:d balanced_accuracy:d macro_f1:d n_samples:i")
 def _(t):
-    v = t.vectors.withColumn("label", F.col("subject_id") % 3)
-    return cl.forest_classifier(v.filter("subject_id % 5 > 0"), v.filter("subject_id % 5 = 0"), 3, trees=20, depth=5)[1]
+    return _forests(t)[2]
 
 
 @query("clu18_combined_score", "fold:i combined_score:d", f"""
@@ -269,15 +278,20 @@ def _(t):
     return cl.combined_score(m.select("fold", F.col("macro_f1").alias("probe_macro_f1_mean"), F.col("balanced_accuracy").alias("probe_bal_acc_mean"), F.col("accuracy").alias("probe_macro_f1_std")))
 
 
+@query("clu18_ten_metrics", " ".join(f"{name}:d4" for name, _ in cl.COMBINED_WEIGHTS) + " combined_score:d4")
+def _(t):
+    return cl.combined_score(cl.feature_metrics(t.vectors.withColumn("label", F.col("subject_id") % 3), _DIM))
+
+
 @query("clu19_worthiness_report", "fold:i representation:s accuracy:d4 macro_f1:d4 n_samples:i corr_mean:d4")
 def _(t):
     e = t.edges.groupBy("graph_id", "subject_id", "label").agg(F.sort_array(F.collect_list(F.struct("i", "j", "w"))).alias("_e")).select("graph_id", "subject_id", "label", F.col("_e.w").alias("x"))
     flat = t.graphs.select("graph_id", "subject_id", "label", F.flatten("nodes").alias("x"))
     mean = t.nodes.groupBy("graph_id", "subject_id", "label", "feature").agg(F.avg("x").alias("m")).groupBy("graph_id", "subject_id", "label").agg(F.sort_array(F.collect_list(F.struct("feature", "m"))).alias("_m")).select("graph_id", "subject_id", "label", F.col("_m.m").alias("x"))
     both = flat.join(e.select("graph_id", F.col("x").alias("_w")), "graph_id").select("graph_id", "subject_id", "label", F.concat("x", "_w").alias("x"))
-    folds = sel.stratified_folds(t.graphs.select("subject_id", "label").distinct(), 2)
+    folds = sel.stratified_folds(t.graphs.select("subject_id", "label").distinct(), _FOLDS)
     st = gr.stability_report(gr.consecutive_stability(t.edges))
-    return cl.worthiness_report({"node_flat": flat, "node_mean": mean, "edge": e, "combined": both}, folds, st, 2)
+    return cl.worthiness_report({"node_flat": flat, "node_mean": mean, "edge": e, "combined": both}, folds, st, _FOLDS)
 
 
 @query("clu20_segment_vectors", "graph_id:i pos:i v:d5")
