@@ -191,6 +191,20 @@ def test_pages_of_a_host_share_its_wrapper(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_article_parts_beside_each_other_are_kept(spark):
+    words = lambda k, n, x: " ".join(f"{x}{k}{j}" for j in range(n))
+    hosts = {
+        "a": "<div class=wrap><div class=lead><p>{0}</p></div><div class=body><p>{1}</p></div><div class=fix>same</div></div>",
+        "b": "<div><section class=a>{0}</section><section class=b>{1}</section></div><nav>{0}</nav>",
+        "c": "<article class=lead>{0}</article><div class=fix>same</div><article class=body><p>{1}</p></article>",
+        "d": "<main><h1>{0}</h1><article><p>{1}</p></article></main>",
+    }
+    rows = [(f"{h}{k}", f"http://{h}.x/{k}", page(t.format(words(k, 8, "u"), words(k, 12, "v")))) for h, t in hosts.items() for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    whole = lambda h, k: f"{words(k, 8, 'u')}\n{words(k, 12, 'v')}" + ("\nsame" if h == "a" else "")
+    assert got == {f"{h}{k}": whole(h, k) for h in hosts for k in range(4)}
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, table_dir, docs):

@@ -260,54 +260,61 @@ def _volume(w: list, slots_only: bool) -> int:
     return sum(_volume(k, slots_only) for k in w[4])
 
 
-def content_path(w: list) -> list[str]:
-    """Labels from the root to the element that holds the article.
+def content_paths(w: list) -> list[list[str]]:
+    """Labels from the root to each element that holds article text.
 
-    An article or main element with most of such elements' slot text; else the deepest element that keeps
-    more than half of the slot text of the one above. Where no text differs between pages, all text counts.
+    All article and main elements with slot text, outside each other: the inner ones if they hold all slot text of
+    the outer, else the outer. Without any, the deepest element that holds all slot text that is not marked
+    off, so that no sibling with such text is left behind. Where no text differs between pages, all text counts.
     """
     slots = _volume(w, True) > 0
-    marked: list = []
 
     def find(x, path):
-        if x[0].endswith("!"):
-            return
+        """Volume and path of the marked elements of a subtree."""
+        if x[0].endswith("!") or x[0] == "#":
+            return []
         path = path if x[0] in ("()", "") else [*path, x[0]]
-        if x[0].split(".")[0] in ("article", "main") and _volume(x, slots):
-            marked.append((_volume(x, slots), len(path), path))
-        for k in x[4]:
-            if k[0] != "#":
-                find(k, path)
+        inner = [m for k in x[4] for m in find(k, path)]
+        own = _volume(x, slots) if x[0].split(".")[0] in ("article", "main") else 0
+        return [(own, path)] if own > sum(v for v, _ in inner) else inner
 
-    find(w, [])
+    marked = [p for _, p in find(w, [])]
     if marked:
-        return max(marked, key=lambda m: (m[0], m[1], m[2]))[2]
+        return [p for k, p in enumerate(marked) if p not in marked[:k]]
     path, at = [], w
     while True:
-        total = _volume(at, slots)
-        kids = [k for k in at[4] if k[0] != "#" and _volume(k, slots) * 2 > total]
-        if not kids or kids[0][0].split(".")[0] in ("p", "span", "b", "i", "em", "strong", "a", "font", "li", "td", "tr"):
-            return path
+        kids = [k for k in at[4] if _volume(k, slots)]
+        if len(kids) != 1 or kids[0][0].split(".")[0] in ("#", "p", "span", "b", "i", "em", "strong", "a", "font", "li", "td", "tr"):
+            return [path]
         at = kids[0]
         if at[0] != "()":
             path = [*path, at[0]]
 
 
-def _holders(root: Node, path: list[str]) -> list[Node]:
-    """Elements on the path, in page order."""
-    now = [root]
-    for label in path:
-        now = [k for n in now for k in n.kids if not isinstance(k, str) and k.label == label and not k.off]
-    return now
+def content_path(w: list) -> list[str]:
+    """The first of ``content_paths``."""
+    return content_paths(w)[0]
+
+
+def _holders(root: Node, paths: list[list[str]]) -> list[Node]:
+    """Elements on any of the paths, outside each other, in page order."""
+    out, todo = [], [(root, paths)]
+    while todo:
+        n, left = todo.pop()
+        if [] in left:
+            out.append(n)
+            continue
+        todo.extend((k, on) for k in reversed(n.kids) if not isinstance(k, str) and not k.off and (on := [p[1:] for p in left if p[0] == k.label]))
+    return out
 
 
-def main_text(html: str, path: list[str] | None) -> str:
-    """The article of a page by its host's path; a page without that element is its own wrapper."""
+def main_text(html: str, paths: list | None) -> str:
+    """The article of a page by its host's path or paths; a page without such elements is its own wrapper."""
     root = parse(html)
-    found = _holders(root, path) if path else []
-    out = [b for n in found for b in blocks(n)]
+    paths = [paths] if paths and isinstance(paths[0], str) else paths
+    out = [b for n in _holders(root, paths) for b in blocks(n)] if paths and paths != [[]] else []
     if not out:
-        out = [b for n in _holders(root, content_path(wrapper(root))) for b in blocks(n)]
+        out = [b for n in _holders(root, content_paths(wrapper(root))) for b in blocks(n)]
     return "\n".join(out)
 
 
@@ -363,7 +370,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def rule(batches):
         for batch in batches:
-            paths = [json.dumps(content_path(json.loads(w))) for w in batch.column(1).to_pylist()]
+            paths = [json.dumps(content_paths(json.loads(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"host": batch.column(0), "path": pa.array(paths, pa.string())})
 
     rules, _ = scratch.land(infer(pages, url_col, html_col).mapInArrow(rule, "host string, path string"))  # broadcast by the planner if small
