@@ -205,6 +205,18 @@ def test_article_parts_beside_each_other_are_kept(spark):
     assert got == {f"{h}{k}": whole(h, k) for h in hosts for k in range(4)}
 
 
+def test_names_that_only_contain_a_word_stay_on(spark):
+    off = ["sidebar", "left-sidebar", "sidebar_2", "share-box", "ads-container", "site-header", "comments"]
+    on = ["has-sidebar", "content-with-sidebar", "with-sidebar", "no-ads", "article-header", "post-share", "social-science", "never-shared", "content"]
+    assert [n for n in off + on if wrappers._named_off(n)] == off
+    hosts = {"a": "<div class='content with-sidebar'><p>{0}</p><div class=sidebar>{1}</div></div>", "b": "<div class=popup><p>{0}</p><div class=ad>{1}</div></div>",
+             "c": "<div id=main><p>{0}</p></div><div class=ads>{1}</div>"}
+    rows = [(f"{h}{k}", f"http://{h}.x/{k}", page(t.format(f"long text {k} " * 9, f"ad {k}")).replace("<body class=x>", "<body class='has-sidebar no-ads sidebar'>")) for h, t in hosts.items() for k in range(3)]
+    rows.append(("d", "http://d.x", "<body class=sidebar><div class=widget>alone on its host</div>"))
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {f"{h}{k}": (f"long text {k} " * 9).strip() for h in hosts for k in range(3)} | {"d": "alone on its host"}
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, table_dir, docs):

@@ -29,6 +29,13 @@ NAMES = set("ad ads adv advert advertisement advertising banner breadcrumb bread
             "masthead menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted related share sharing sidebar social "
             "sponsor sponsored subscribe toolbar widget".split())
 
+# words before a name that say it is about the absence of the part, a page that has it, or the article's own
+NOT_BEFORE = set("has have with without no not never hide is article post entry story".split())
+# words after a name that say where or in what form the part stands
+AFTER = set("area bar block body bottom box button buttons col column container content group inner item items left link links list main outer panel primary "
+            "right row secondary section slot text top unit widget wrap wrapper".split())
+KEEP = set("html body main article".split())  # never switched off by a name
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
@@ -39,20 +46,30 @@ _SPACE = re.compile(r"\s+")
 class Node:
     __slots__ = ("tag", "label", "off", "kids")
 
-    def __init__(self, tag: str, label: str, off: bool):
+    def __init__(self, tag: str, label: str, off: int):
         self.tag, self.label, self.off, self.kids = tag, label, off, []
 
 
+def _named_off(name: str) -> bool:
+    """Whether a class or id name is that of a part beside the article: "sidebar", "left-sidebar", "sidebar_2", "share-box",
+    but not "has-sidebar", "no-ads", "article-header" or "social-science"."""
+    parts = [p for p in re.split(r"[^a-z]+", name) if p]
+    while len(parts) > 1 and parts[-1] in AFTER:
+        parts.pop()
+    return bool(parts) and parts[-1] in NAMES and not any(p in NOT_BEFORE for p in parts[:-1])
+
+
 def _element(tag: str, attrs: str) -> Node:
-    marks, off = [], tag in ASIDE
+    """``off`` is 2 for parts that are off by element or role, 1 for those by name only."""
+    marks, off = [], 2 if tag in ASIDE else 0
     if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs):
         for name, *values in _ATTR.findall(attrs):
             words = "".join(values).lower().split()
             if name.lower() == "role":
-                off = off or any(w in ROLES for w in words)
+                off = 2 if any(w in ROLES for w in words) else off
                 continue
-            parts = {p for w in words for p in re.split(r"[^a-z]+", w)}
-            off = off or bool(parts & NAMES)
+            if not off and tag not in KEEP and any(map(_named_off, words)):
+                off = 1
             if name.lower() == "class":
                 marks = sorted(re.sub(r"\d+", "#", w) for w in words)
     return Node(tag, ".".join([tag, *marks]), off)
@@ -60,7 +77,7 @@ def _element(tag: str, attrs: str) -> Node:
 
 def parse(html: str) -> Node:
     """The page as a tree of elements and texts (strings, character references decoded). Any input gives a tree."""
-    root = Node("", "", False)
+    root = Node("", "", 0)
     stack, at, low = [root], 0, None
 
     def text(s):
@@ -149,7 +166,8 @@ def blocks(node: Node) -> list[str]:
 # ---------------------------------------------------------------- wrappers
 # A wrapper is [label, often, text, chars, kids]. often: 1 once, 2 optional (?), 3 repeated (+), 4 both (*).
 # Text nodes have the label "#": text is the crc of a text equal on all pages so far, None for a slot.
-# "()" is a repeated group without an element of its own.
+# "()" is a repeated group without an element of its own. A label ends with "!" if the element is off by its name, with "!!"
+# if it is off anyway.
 
 def wrapper(node: Node) -> list:
     """The wrapper of one page, or of one element of it."""
@@ -161,7 +179,7 @@ def wrapper(node: Node) -> list:
                 kids.append(["#", 1, zlib.crc32(s.encode("utf-8", "surrogatepass")), len(s), []])
         else:
             kids.append(wrapper(k))
-    return [node.label + ("!" if node.off else ""), 1, None, 0, _fold(kids)]
+    return [node.label + "!" * node.off, 1, None, 0, _fold(kids)]
 
 
 def _fold(kids: list) -> list:
@@ -291,6 +309,43 @@ def content_paths(w: list) -> list[list[str]]:
             path = [*path, at[0]]
 
 
+def switched_on(w: list) -> list[list[str]]:
+    """Marked labels from the root to elements that are off by name only and yet hold most of the slot text; ``w`` changes with them."""
+    def volume(x, slots):
+        if x[0].endswith("!!"):
+            return 0
+        return (x[3] if x[2] is None or not slots else 0) if x[0] == "#" else sum(volume(k, slots) for k in x[4])
+
+    slots = volume(w, True) > 0
+    total, out, todo = volume(w, slots), [], [(w, [])]
+    while todo:
+        x, path = todo.pop()
+        if x[0] == "#" or volume(x, slots) * 2 <= total:
+            continue
+        path = path if x[0] in ("()", "") else [*path, x[0]]
+        if x[0].endswith("!"):
+            out.append(path)
+            x[0] = x[0][:-1]
+        todo.extend((k, path) for k in x[4])
+    return out
+
+
+def rule(w: list) -> dict:
+    """What a host's wrapper says of its pages: elements to switch on, and the paths of its article."""
+    return {"on": switched_on(w), "paths": content_paths(w)}
+
+
+def _switch(root: Node, on: list[list[str]]) -> None:
+    found = []
+    for path in on:
+        now = [root]
+        for label in path:
+            now = [k for n in now for k in n.kids if not isinstance(k, str) and k.label + "!" * k.off == label]
+        found += now
+    for n in found:
+        n.off = 0
+
+
 def content_path(w: list) -> list[str]:
     """The first of ``content_paths``."""
     return content_paths(w)[0]
@@ -308,13 +363,19 @@ def _holders(root: Node, paths: list[list[str]]) -> list[Node]:
     return out
 
 
-def main_text(html: str, paths: list | None) -> str:
-    """The article of a page by its host's path or paths; a page without such elements is its own wrapper."""
+def main_text(html: str, of_host: dict | list | None) -> str:
+    """The article of a page by its host's rule, or by one path; a page without such elements is its own wrapper."""
     root = parse(html)
-    paths = [paths] if paths and isinstance(paths[0], str) else paths
-    out = [b for n in _holders(root, paths) for b in blocks(n)] if paths and paths != [[]] else []
+    if isinstance(of_host, list):
+        of_host = {"on": [], "paths": [of_host]}
+    out = []
+    if of_host and of_host["paths"] != [[]]:
+        _switch(root, of_host["on"])
+        out = [b for n in _holders(root, of_host["paths"]) for b in blocks(n)]
     if not out:
-        out = [b for n in _holders(root, content_paths(wrapper(root))) for b in blocks(n)]
+        own = rule(wrapper(root))
+        _switch(root, own["on"])
+        out = [b for n in _holders(root, own["paths"]) for b in blocks(n)]
     return "\n".join(out)
 
 
@@ -368,12 +429,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     scratch = Scratch(pages.sparkSession)
 
-    def rule(batches):
+    def find(batches):
         for batch in batches:
-            paths = [json.dumps(content_paths(json.loads(w))) for w in batch.column(1).to_pylist()]
+            paths = [json.dumps(rule(json.loads(w))) for w in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"host": batch.column(0), "path": pa.array(paths, pa.string())})
 
-    rules, _ = scratch.land(infer(pages, url_col, html_col).mapInArrow(rule, "host string, path string"))  # broadcast by the planner if small
+    rules, _ = scratch.land(infer(pages, url_col, html_col).mapInArrow(find, "host string, path string"))  # broadcast by the planner if small
 
     def work(batches):
         for batch in batches:
