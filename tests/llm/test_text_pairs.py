@@ -146,6 +146,17 @@ def test_leaks(spark, nothing):
     assert templates.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_with_few_slots_that_differ(spark):
+    plain = "we count 12 red apples in every one of the large baskets and again 12 red apples in the small ones near the door"
+    asked = "Today Anna has 3 apples and Anna gives 5 kg to Bob while Bob keeps 7 pears and 9 plums for later use"
+    cases = [plain.replace("again 12", "again 13"), asked.replace("Anna", "Carl").replace("Bob", "Dora").replace(" 3 ", " 4 ").replace(" 5 ", " 4 "),
+             "Today Carl has 3 apples and Emil gives 4 kg to Dora while Finn keeps 8 pears and 10 plums for later use"]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, plain), (2, asked)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in templates.find_leaks(docs, items).collect()}
+    assert got == {(0, 1): 1, (1, 2): 6}
+
+
 def test_leak_windows_need_a_power_of_two(docs):
     with pytest.raises(ValueError):
         templates.windows(docs.select(F.split("text", " ").alias("tok")), [], 6)

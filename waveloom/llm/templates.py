@@ -59,14 +59,14 @@ def windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+               item_col: str = "item_id", item_text: str = "text", min_consistent: float = 0.8) -> DataFrame:
     """doc_id, item_id, coverage, n_slots, n_changed: one row per text and benchmark item that it holds.
 
     A text holds an item if, at one alignment that shares a template window, at least ``min_coverage`` of the
-    item's tokens have equal templates and the slots are consistent: a value of the item always
-    stands for one value of the text and the other way round, for names, numbers and units alike. So the
-    item itself and the item with other numbers or names are found, a text that merely has the
-    same shape is not. Of several alignments the best is reported. n_changed counts slots whose value differs.
+    item's tokens have equal templates and the slots are consistent: at least ``min_consistent`` of them hold the value
+    that the text has most often for the item's value, for names, numbers and units alike. Where the equal tokens
+    alone reach ``min_coverage``, slots are not judged. So the item itself, also with a slot altered, and the
+    item with other numbers or names are found, a text that merely has the same shape is not. Of several alignments the best is reported. n_changed counts slots whose value differs.
 
     Null or empty texts and items give no rows. Items of fewer than ``window`` tokens and windows with more
     placeholders than words are not searched. Rows with a null id are not judged. Repeated rows and
@@ -91,10 +91,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_cover
     agree = F.filter(pairs, lambda p: _template(p["b"]).eqNullSafe(_template(p["d"])))
     both = both.select("doc_id", "item_id", F.size("b").alias("n"), agree.alias("agree"))
     slots = F.filter("agree", lambda p: p["b"] < _FIRST_WORD)
-    both = both.select("doc_id", "item_id", (F.size("agree") / F.col("n")).alias("coverage"), slots.alias("slots"))
-    kinds = F.size(F.array_distinct("slots"))
-    one = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: p[side])))
-    found = both.filter((F.col("coverage") >= min_coverage) & (kinds == one("b")) & (kinds == one("d"))).select(
+    both = both.select("doc_id", "item_id", (F.size("agree") / F.col("n")).alias("coverage"),
+                       (F.size(F.filter("agree", lambda p: p["b"] == p["d"])) / F.col("n")).alias("literal"), slots.alias("slots"))
+    both, _ = scratch.land(both.filter(F.col("coverage") >= min_coverage))  # the few to be judged; each slot list is read many times
+    kinds = F.array_distinct("slots")
+    one = lambda side: F.array_distinct(F.transform("slots", lambda p: p[side]))
+    strict = (F.size(kinds) == F.size(one("b"))) & (F.size(kinds) == F.size(one("d")))
+    # slots that hold the text's most frequent value for the item's value
+    times = lambda q: F.size(F.filter("slots", lambda p: p == q))
+    follow = F.aggregate(one("b"), F.lit(0), lambda n, x: n + F.array_max(F.transform(F.filter(kinds, lambda q: q["b"] == x), times)))
+    found = both.filter((F.col("literal") >= min_coverage) | strict | (follow >= F.size("slots") * min_consistent)).select(
         "doc_id", "item_id", "coverage", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["b"] != p["d"])).alias("n_changed"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("n_changed")).alias("same"), "n_slots")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.coverage").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"), (-F.col("x.same")).cast("long").alias("n_changed"))
