@@ -100,7 +100,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_cover
     # slots that hold the text's most frequent value for the item's value
     times = lambda q: F.size(F.filter("slots", lambda p: p == q))
     follow = F.aggregate(one("b"), F.lit(0), lambda n, x: n + F.array_max(F.transform(F.filter(kinds, lambda q: q["b"] == x), times)))
-    found = both.filter((F.col("literal") >= min_coverage) | strict | (follow >= F.size("slots") * min_consistent)).select(
+    most = F.size("slots") - (F.size(kinds) - F.size(one("b")))  # never less than follow, and cheap
+    found = both.filter((F.col("literal") >= min_coverage) | strict | ((most >= F.size("slots") * min_consistent) & (follow >= F.size("slots") * min_consistent))).select(
         "doc_id", "item_id", "coverage", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["b"] != p["d"])).alias("n_changed"))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("n_changed")).alias("same"), "n_slots")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.coverage").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"), (-F.col("x.same")).cast("long").alias("n_changed"))
