@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, quality, repair, separators, substring, templates, vectors, wrappers
+from . import jaccard, language, pieces, quality, repair, secrets, separators, substring, templates, vectors, wrappers
 
 QUERIES = {
     "op1_template_leaks": templates.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language": language.query,
     "op6_page_wrappers": wrappers.query,
     "op7_substring_dedup": substring.query,
+    "op13_credential_links": secrets.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_template_leaks": templates.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_template_leaks": templates.oracle(), "op13_credential_links": secrets.oracle()}
