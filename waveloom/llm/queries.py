@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, pieces, quality, repair, secrets, separators, substring, templates, vectors, wrappers
+from . import alignment, jaccard, language, pieces, quality, repair, secrets, separators, substring, templates, vectors, whitening, wrappers
 
 QUERIES = {
     "op1_template_leaks": templates.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op10_language": language.query,
     "op6_page_wrappers": wrappers.query,
     "op7_substring_dedup": substring.query,
+    "op11_whitening": whitening.query,
+    "op12_token_alignment": alignment.query,
     "op13_credential_links": secrets.query,
 }
 
