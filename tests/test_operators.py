@@ -353,6 +353,80 @@ def test_all_pair_products_match_brute_force(spark):
     a = np.array([d[k][(lab == lab[k])].sum() / ((lab == lab[k]).sum() - 1) for k in range(150)])
     b = np.array([min(d[k][lab == c].mean() for c in set(lab) if c != lab[k]) for k in range(150)])
     assert sil == pytest.approx(((b - a) / np.maximum(a, b)).mean())
+    some = cl.silhouette(v, ["vec_id"], block=40, sample=100).first()[0]
+    assert some == cl.silhouette(v.repartition(5), ["vec_id"], block=17, sample=100).first()[0] or some == pytest.approx(cl.silhouette(v, ["vec_id"], block=17, sample=100).first()[0])
+    assert abs(some - sil) < 0.05
+
+
+def grouped(spark, n, groups, seed=3):
+    """Vectors in tight groups, a tenth of them equal to one vector."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(groups, 6))[np.arange(n) % groups] * 50 + rng.normal(size=(n, 6)), 3)
+    x[: n // 10] = x[0]
+    return x, spark.createDataFrame([(k, k % 7, k % groups % 3, v.tolist()) for k, v in enumerate(x)], "vec_id long, subject_id long, label long, x array<double>")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("other", [False, True])
+def test_pruned_neighbours_equal_all_pairs(spark, metric, other):
+    x, v = grouped(spark, 600, 12)
+    u = x / np.linalg.norm(x, axis=1)[:, None] if metric == "cosine" else x
+    d = -(u @ u.T) if metric == "cosine" else np.sqrt(np.maximum((u**2).sum(1)[:, None] + (u**2).sum(1) - 2 * u @ u.T, 0))
+    s = np.arange(600) % 7
+    d[(s[:, None] == s) if other else np.eye(600, dtype=bool)] = np.inf
+    visits = []
+    rows = cl.nearest(v, 5, block=32, metric=metric, other_subject=other, visits=visits).toPandas()
+    assert len(rows) == 600 * 5 and (rows.groupby("id").size() == 5).all()
+    far = np.round(np.sort(d, 1)[:, :5], 6)
+    got = np.sort(d[rows["id"], rows["o"]].reshape(-1, 1), 1)
+    rows["d"] = got
+    for k, part in rows.groupby("id"):
+        assert np.allclose(np.sort(part["d"]), far[k], atol=1e-5)
+    assert visits[0][0] < 0.6 * visits[0][1]
+
+
+def test_neighbours_of_equal_rows_go_to_smaller_ids(spark):
+    v = spark.createDataFrame([(k, 0, 0, [1.0, 2.0]) for k in range(50)], "vec_id long, subject_id long, label long, x array<double>")
+    rows = cl.nearest(v, 3, block=8).toPandas()
+    for k, part in rows.groupby("id"):
+        assert sorted(part["o"]) == [j for j in range(4) if j != k][:3]
+    assert cl.nearest(v.limit(1), 3).count() == 0 and cl.nearest(v.limit(0), 3).count() == 0
+
+
+def test_visits_grow_below_the_square(spark):
+    share = []
+    for n in (400, 1600):
+        visits = []
+        cl.nearest(grouped(spark, n, n // 40)[1].filter(F.col("vec_id") >= n // 10), 3, block=20, visits=visits).count()
+        share.append(visits[0][0] / visits[0][1])
+    assert share[1] < 0.6 * share[0]
+
+
+def test_grid_search_equals_single_models(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(5, 6))[np.arange(150) % 5] * 4 + rng.normal(size=(150, 6))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, x array<double>").repartition(3)
+    rows = cl.grid_search(v, [2, 4], [3, 5], [1, 2], ["vec_id"], starts=4).toPandas()
+    assert rows[["dims", "k"]].to_numpy().tolist() == [[2, 3], [2, 5], [4, 3], [4, 5]] and rows["ari_mean"].between(-1, 1).all()
+    z = (x - x.mean(0)) / x.std(0)
+    val, vec = np.linalg.eigh(z.T @ z / 150)
+    assert np.allclose(rows["explained_variance"], [np.sort(val)[::-1][:d].sum() / val.sum() for d in (2, 2, 4, 4)])
+    # the indices of one seed, from its labels by the operators for given clusters
+    b = B.pack(v, [], ["vec_id"])
+    p = B.project(b, B.pca_models(b, [], 4), [], 4)
+    t = B.unpack(p, [], ["m"]).withColumnRenamed("m", "x").toPandas()
+    one = cl.grid_search(v, [4], [5], [1], ["vec_id"], starts=4).toPandas().iloc[0]
+    y = np.array(t["x"].tolist())
+    pick = [cl.grids.fit_models(p, [(4, 5)], [y[k: k + 5]]) for k in (0, 20, 60, 90)]
+    assert min(float(c[0]) for _, c in pick) >= one["inertia_mean"] - 1e-6 or one["inertia_mean"] <= min(float(c[0]) for _, c in pick) * 1.2
+    models = cl.grids.Models([(4, 5)], pick[0][0])
+    near = next(iter(models.labels(y)))[2]
+    g = spark.createDataFrame([(int(i), int(n), r.tolist()) for i, n, r in zip(t["vec_id"], near, y)], "vec_id long, cluster int, x array<double>")
+    want = cl.validity(g, ["vec_id"], 4).first()
+    _, ((ch, db),), _ = cl.grids._spread(p, models, [])
+    assert (ch, db) == (pytest.approx(want["calinski_harabasz"]), pytest.approx(want["davies_bouldin"]))
+    assert cl.grids.silhouettes(g, models, ["vec_id"], block=40)[0] == pytest.approx(want["silhouette"])
+    assert cl.grid_search(v.limit(2), [2], [3], [1], ["vec_id"]).count() == 0
 
 
 def test_fold_alignment_undoes_a_rotation(spark):
@@ -375,18 +449,75 @@ def test_store_skips_stored_subjects(spark, tmp_path):
     store.write_store(p, {"windows": w, "features": f.withColumn("value", F.col("value") + 100)})
     got = {r["subject_id"]: r["value"] for r in store.read_features(spark, p, ["p"]).collect()}
     assert got == {0: 0.0, 1: 1.0, 2: 102.0, 3: 103.0}
-    # a job that died after the features: the subject has rows but no windows, and is written again
-    f.filter("subject_id = 0").withColumn("subject_id", F.lit(9)).write.mode("append").partitionBy("family").parquet(f"{p}/features")
-    late = f.filter("subject_id = 0").withColumns({"subject_id": F.lit(9), "value": F.lit(7.0)})
-    store.write_store(p, {"windows": late.select("subject_id", "segment_id").distinct(), "features": late})
-    got = sorted((r["subject_id"], r["value"]) for r in store.read_features(spark, p, ["p"]).collect())
-    assert got == [(0, 0.0), (1, 1.0), (2, 102.0), (3, 103.0), (9, 7.0)]
     e = spark.createDataFrame([(0, "pearson", "alpha")], "subject_id int, metric string, band string")
     assert store.choose_bands(e, "pearson", [0], ["alpha"]).count() == 1
     with pytest.raises(KeyError):
         store.choose_bands(e, "pearson", ["theta"], ["alpha"])
 
 
+def test_store_survives_a_job_that_dies_at_any_step(spark, tmp_path, monkeypatch):
+    """Every file system call and every table write in turn is the last one; after it, and after a repeat, all subjects are whole."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    schema = "subject_id int, segment_id int, family string, value double"
+    rows = lambda *s: spark.createDataFrame([(k, g, f, 1.0 * k) for k in s for g in range(3) for f in ("p", "q")], schema).coalesce(1)
+    wins = lambda *s: spark.createDataFrame([(k, g) for k in s for g in range(3)], "subject_id int, segment_id int").coalesce(1)
+    steps = []
+
+    class Died(Exception):
+        pass
+
+    def dying(fn, before):
+        def call(*a, **kw):
+            if len(steps) == fatal and before:
+                raise Died
+            out = fn(*a, **kw)
+            steps.append(fn.__name__)
+            if len(steps) == fatal + 1 and not before:
+                raise Died
+            return out
+        return call
+
+    ended = 0
+    for before in (True, False):
+        for fatal in range(5):
+            p = str(tmp_path / f"{before}{fatal}")
+            store.write_store(p, {"windows": wins(1), "features": rows(1)})
+            steps.clear()
+            with monkeypatch.context() as m:
+                m.setattr(DataFrameWriter, "parquet", dying(DataFrameWriter.parquet, before))
+                m.setattr(store, "_commit", dying(store._commit, before))
+                m.setattr(store, "_sweep", dying(store._sweep, before))
+                try:
+                    store.write_store(p, {"windows": wins(1, 2), "features": rows(1, 2)})
+                except Died:
+                    ended += 1
+            seen = {(r["subject_id"], r["n"]) for r in store.read_features(spark, p, ["p", "q"]).groupBy("subject_id").agg(F.count("*").alias("n")).collect()}
+            assert seen in ({(1, 6)}, {(1, 6), (2, 6)})
+            assert {r[0] for r in store.stored_subjects(spark, p).collect()} == {s for s, _ in seen}
+            store.write_store(p, {"windows": wins(1, 2), "features": rows(1, 2)})
+            assert store.read_features(spark, p, ["p", "q"]).count() == 12 and store.read_table(spark, p, "windows").count() == 6
+            live = {f for v in store.manifest(spark, p)[1].values() for f in v}
+            assert {f"{d.parent.name}/{d.name}" for n in ("windows", "features") for d in (tmp_path / f"{before}{fatal}" / n).iterdir()} == live
+    assert ended >= 9
+    version, live = store.manifest(spark, p)
+    with pytest.raises(RuntimeError):
+        store._commit(spark, p, version, live)
+    store.write_store(p, {"features": rows(7)}, overwrite=True)
+    assert [r[0] for r in store.read_features(spark, p, ["p"]).select("subject_id").distinct().collect()] == [7] and store.read_table(spark, p, "windows").count() == 6
+
+
+def test_stored_subject_is_spread_over_files(spark, tmp_path):
+    w = spark.range(20_000).select(F.when(F.col("id") % 10 < 7, 1).otherwise(F.col("id") % 5).alias("subject_id"), F.col("id").alias("segment_id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write_store(str(tmp_path / "s"), {"windows": w})
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    n = store.read_table(spark, str(tmp_path / "s"), "windows").filter("subject_id = 1").groupBy(F.input_file_name()).count().collect()
+    assert len(n) >= 4 and max(r["count"] for r in n) < 5000
+
+
 def test_registered_settings_are_the_references(monkeypatch):
     from types import SimpleNamespace
 

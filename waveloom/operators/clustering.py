@@ -6,23 +6,26 @@ return sums or the nearest few per row; no pair is ever a row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..functions.exprs import a_dot, a_sum, a_unit, c, pick_first, softmax
+from ..functions.exprs import a_dot, a_sum, a_unit, argmax_first, c, fixed_map, pick_first, random_hex, softmax
 from . import blocks as B
 from . import evaluation as ev
+from . import forests, grids
 from . import kernels as K
+from .grids import grid_search  # noqa: F401  CLU03
 from .landing import land
-from .ordered import attach, quantiles
+from .ordered import attach, positions, quantiles
 from .selection import stratified_folds
 
 S, SEG = "subject_id", "segment_id"
@@ -87,46 +90,6 @@ def cluster_manifest(vectors: DataFrame, k: int = 6, dims: int | None = 8, seed:
     return apply_clusterer(model, vectors, ids=ids)
 
 
-def grid_search(train: DataFrame, dims: Sequence[int], ks: Sequence[int], seeds: Sequence[int], ids: Sequence[str], x: str = "x", starts: int = 10) -> DataFrame:
-    """CLU03: for each (dims, k): silhouette, Calinski-Harabasz, Davies-Bouldin, inertia, smallest and largest cluster share of
-    the first seed, and the mean agreement of all pairs of seeds.
-
-    One scaler and one set of components at the largest dimension serve all settings (smaller ones are their first columns); all
-    settings and seeds are fitted together, one pass per round.
-    """
-    b = land(B.pack(_clean(train, x).select(*ids, x), [], ids, x))
-    z = B.project(b, B.pca_models(b, [], max(dims)), [], max(dims))
-    for name, values in (("dims", dims), ("k", ks), ("seed", seeds)):
-        z = z.withColumn(name, F.explode(F.array(*[F.lit(int(v)) for v in values])))
-    keys = ["dims", "k", "seed"]
-    z = land(z.withColumn("m", F.transform("m", lambda v: F.slice(v, F.lit(1), F.col("dims")))))
-    models = B.kmeans_models(z, keys, "k", starts=starts, seed="seed")
-    t = land(B.unpack(B.assign(z, models, keys), keys, ["m", "cluster"]).withColumnRenamed("m", "x"))
-    out = None
-    for d in dims:
-        for k in ks:
-            own = t.filter((F.col("dims") == d) & (F.col("k") == k))
-            one = own.filter(F.col("seed") == seeds[0]).select(*ids, "cluster", "x")
-            share = one.groupBy("cluster").agg(F.count("*").alias("n"))
-            tot = share.agg(F.sum("n").alias("_t"), F.min("n").alias("_lo"), F.max("n").alias("_hi"))
-            cost = models.filter((F.col("dims") == d) & (F.col("k") == k) & (F.col("seed") == seeds[0])).select("inertia")
-            row = attach(attach(validity(one, ids, d), tot, []), cost, []).select(
-                F.lit(d).alias("dims"), F.lit(k).alias("k"), "silhouette", "calinski_harabasz", "davies_bouldin", "inertia",
-                (F.col("_lo") / F.col("_t")).alias("min_share"), (F.col("_hi") / F.col("_t")).alias("max_share"))
-            pairs = [(a, c2) for i, a in enumerate(seeds) for c2 in seeds[i + 1:]]
-            if pairs:
-                labels = own.select(*ids, "seed", "cluster")
-                ari = None
-                for a, c2 in pairs:
-                    j = labels.filter(F.col("seed") == a).select(*ids, F.col("cluster").alias("a")).join(
-                        labels.filter(F.col("seed") == c2).select(*ids, F.col("cluster").alias("b")), list(ids))
-                    r = adjusted_rand(j, "a", "b")
-                    ari = r if ari is None else ari.unionByName(r)
-                row = attach(row, ari.agg(F.avg("ari").alias("ari_mean")), [])
-            out = row if out is None else out.unionByName(row)
-    return out
-
-
 def prototype_vectors(nodes: DataFrame, members: DataFrame) -> DataFrame:
     """CLU08: node features z-scored within a segment, then flat values and region means as one vector per graph."""
     from .graphs import region_features
@@ -170,49 +133,82 @@ def _dense_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d, 0))
 
 
-def silhouette(df: DataFrame, ids: Sequence[str], cluster: str = "cluster", x: str = "x", block: int = 2048) -> DataFrame:
-    """Mean silhouette with Euclidean distances, exact: sums of distances to each cluster per row from block products."""
-    bl = _blocks(df, ids, [cluster], x, block)
-    k = attach(bl, df.agg((F.max(cluster) + 1).cast("int").alias("_k")), [])
+def _numbered(df: DataFrame, by: str, ids: Sequence[str], x: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks (by, b, ids, m, n_b) of rows that share ``by``, numbered from 0 there; and (by, n_b)."""
+    b = B.pack(df, [by], ids, x, block)
+    count = b.groupBy(by).agg((F.max("b") + 1).alias("n_b"))
+    return b, count
 
-    @F.pandas_udf("array<double>")
-    def sums(m: pd.Series, o: pd.Series, oc: pd.Series, kk: pd.Series) -> pd.Series:
+
+def silhouette(df: DataFrame, ids: Sequence[str], cluster: str = "cluster", x: str = "x", block: int = 2048, sample: int | None = None, seed: int = 42) -> DataFrame:
+    """Mean silhouette with Euclidean distances.
+
+    Exact form: a row's mean distance to a cluster lies between its distance d to the cluster's mean and sqrt(d^2 + v), v the cluster's mean
+    squared distance to that mean. So sums of distances are taken to the row's own cluster and to those clusters only whose lower bound
+    does not exceed the least upper bound of the other clusters; blocks hold rows of one cluster, and a block meets the blocks of a cluster
+    if one of its rows needs that cluster. Own clusters stay quadratic in their size. With ``sample``, the silhouette of that many rows with the
+    smallest keyed hash, among themselves: a bounded documented sample, the same rows in every run.
+    """
+    if sample is not None:
+        df = pick_first(df, [], random_hex(F.lit(int(seed)), F.to_json(F.struct(*ids))), k=sample)
+    df = df.select(*ids, F.col(cluster).cast("long").alias("c"), F.col(x).alias("x"))
+    bl, count = _numbered(df, "c", ids, "x", block)
+    bl = land(bl.select("c", "b", "m"))
+    # one row per cluster: number of blocks, rows, mean, mean squared distance to the mean
+    mom = B.moments(bl, ["c"]).join(count, "c").orderBy("c").collect()
+    if not mom:
+        return df.agg(F.avg(F.lit(None).cast("double")).alias("silhouette"))
+    parts = [B._split(np.asarray(r["moments"], float)) for r in mom]
+    names, n, mean = np.array([r["c"] for r in mom]), np.array([p[0] for p in parts]), np.stack([p[1] for p in parts])
+    spread = np.array([max(np.trace(p[2]) - (p[1] ** 2).sum(), 0.0) for p in parts])
+    blocks_of = {r["c"]: r["n_b"] for r in mom}
+    box = df.sparkSession.sparkContext.broadcast((names, n, mean, spread))
+
+    @F.pandas_udf("array<long>")
+    def needed(c_: pd.Series, m: pd.Series) -> pd.Series:
+        names, n, mean, spread = box.value
         out = []
-        for a, b, cl, n in zip(m, o, oc, kk):
-            d = _dense_dist(K.matrix(a), K.matrix(b))
-            hot = np.eye(int(n))[np.asarray(cl, int)]
-            out.append((d @ hot).ravel())
+        for own, a in zip(c_, m):
+            d = _dense_dist(K.matrix(a), mean)
+            me = int(np.searchsorted(names, own))
+            high = np.sqrt(d**2 + spread)
+            high[:, me] = np.inf
+            use = (d <= high.min(1)[:, None] * (1 + 1e-9) + 1e-9).any(0)
+            use[me] = True
+            out.append(names[use].tolist())
         return pd.Series(out)
 
-    pairs = _block_pairs(bl, ["m", cluster], both=True)
-    s = attach(pairs, df.agg((F.max(cluster) + 1).cast("int").alias("_k")), []).select("b", sums("l_m", "r_m", f"r_{cluster}", "_k").alias("sums"))
-    tot = B.sum_arrays(s, ["b"], "sums")
-    size = F.map_from_entries(F.collect_list(F.struct(F.col(cluster).cast("long").alias("c"), F.col("_n"))))
-    sizes = df.groupBy(cluster).agg(F.count("*").alias("_n")).agg(size.alias("_sizes"))
-
     @F.pandas_udf("array<double>")
-    def value(s_: pd.Series, cl: pd.Series, kk: pd.Series, n_: pd.Series) -> pd.Series:
+    def sums(m: pd.Series, o: pd.Series) -> pd.Series:
+        return pd.Series([_dense_dist(K.matrix(a), K.matrix(b)).sum(1) for a, b in zip(m, o)])
+
+    wide = F.element_at(fixed_map({int(k): int(v) for k, v in blocks_of.items()}), F.col("to"))
+    left = bl.withColumn("to", F.explode(needed("c", "m"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), wide.cast("long") - 1)))
+    p = left.join(bl.select(F.col("c").alias("to"), F.col("b").alias("o"), F.col("m").alias("r_m")), ["to", "o"]).select("c", "b", "to", sums("m", "r_m").alias("sums"))
+    tot = B.sum_arrays(p, ["c", "b", "to"], "sums").groupBy("c", "b").agg(F.collect_list(F.struct("to", "sums")).alias("all"))
+
+    @F.pandas_udf("double")
+    def value(c_: pd.Series, every: pd.Series) -> pd.Series:
+        names, n, _, _ = box.value
         out = []
-        for sums_, own, n, sz in zip(s_, cl, kk, n_):
-            own, n = np.asarray(own, int), int(n)
-            count = np.zeros(n)
-            for key, v in (sz.items() if isinstance(sz, dict) else sz):
-                count[int(key)] = v
-            t = np.asarray(sums_, float).reshape(len(own), n)
-            rows = np.arange(len(own))
-            a = t[rows, own] / np.maximum(count[own] - 1, 1)
-            mean = np.where(count > 0, t / np.maximum(count, 1), np.inf)
-            mean[rows, own] = np.inf
-            b = mean.min(1)
-            out.append(np.where(count[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0))
+        for own, some in zip(c_, every):
+            a, b = None, np.full(len(some[0]["sums"]), np.inf)
+            for e in some:
+                s, size = np.asarray(e["sums"], float), n[int(np.searchsorted(names, e["to"]))]
+                if e["to"] == own:
+                    a, alone = s / max(size - 1, 1), size < 2
+                else:
+                    b = np.minimum(b, s / size)
+            out.append(0.0 if alone or not np.isfinite(b).all() else float(((b - a) / np.maximum(np.maximum(a, b), 1e-300)).sum()))
         return pd.Series(out)
 
-    j = attach(k.select("b", cluster, "_k").join(tot, "b"), sizes, [])
-    return j.select(F.explode_outer(value("sums", cluster, "_k", "_sizes")).alias("_v")).agg(F.avg("_v").alias("silhouette"))
+    return tot.select(value("c", "all").alias("v")).agg((F.sum("v") / float(n.sum())).alias("silhouette"))
 
 
-def validity(df: DataFrame, ids: Sequence[str], dim: int, cluster: str = "cluster", x: str = "x") -> DataFrame:
-    """CLU04: silhouette, Calinski-Harabasz and Davies-Bouldin of given clusters in one row."""
+def validity(df: DataFrame, ids: Sequence[str], dim: int, cluster: str = "cluster", x: str = "x", sample: int | None = None, seed: int = 42) -> DataFrame:
+    """CLU04: silhouette, Calinski-Harabasz and Davies-Bouldin of given clusters in one row; with ``sample``, of a seeded sample of that many rows."""
+    if sample is not None:
+        df = land(pick_first(df, [], random_hex(F.lit(int(seed)), F.to_json(F.struct(*ids))), k=sample))
     cen = mean_vectors(df, [cluster], dim, x)
     all_ = df.agg(F.array(*[F.avg(F.get(x, k)) for k in range(dim)]).alias("_g"), F.count("*").alias("_all"))
     d = df.join(cen, cluster).withColumn("_d", _dist(x, "centroid"))
@@ -346,7 +342,6 @@ def pair_distances(df: DataFrame, ids: Sequence[str] = ("vec_id",), *, label: st
 def sampled_pair_distances(df: DataFrame, n_pairs: int, seed: int = 42, *, id_col: str = "vec_id", label: str = "label", x: str = "x") -> DataFrame:
     """CLU09, sampled form: a seeded draw of ``n_pairs`` pairs of places in the numbered table."""
     from ..functions.exprs import random_below
-    from .ordered import positions
 
     at = positions(df.select(id_col, S, label, x), [], [id_col], "_p")
     n = df.agg(F.count("*").alias("_all"))
@@ -360,29 +355,106 @@ def sampled_pair_distances(df: DataFrame, n_pairs: int, seed: int = 42, *, id_co
     return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n_pairs"), F.avg(_dist("x1", "x2")).alias("mean"), F.stddev_pop(_dist("x1", "x2")).alias("std"))
 
 
-def nearest(df: DataFrame, k: int, id_col: str = "vec_id", *, label: str = "label", x: str = "x", block: int = 2048, metric: str = "euclidean", other_subject: bool = False) -> DataFrame:
-    """The k nearest rows of every row: (id, subject, label, rank, other, other subject, other label). Each block pair keeps k per row."""
+def _shells(df: DataFrame, id_col: str, extra: Sequence[str], x: str, block: int, seed: int) -> tuple[DataFrame, np.ndarray]:
+    """Blocks (cell, b, low, high, m, columns as arrays) of rows near each other, and the cells' centres.
+
+    Centres are the 4 sqrt(n / block) rows with the smallest keyed hash; a row belongs to the nearest one. The rows of a cell are cut into blocks in
+    the order of their distance to the centre, so a block is a shell between the distances low and high.
+    """
+    n = df.count()
+    cells = max(1, math.ceil(4 * math.sqrt(n / block))) if n > block else 1
+    picked = pick_first(df, [], random_hex(F.lit(seed), F.col(id_col)), k=cells).select(x).collect()  # sqrt(n / block) vectors
+    centre = np.array([r[0] for r in picked], float)
+    box = df.sparkSession.sparkContext.broadcast(centre)
+
+    @F.pandas_udf("struct<cell:long,far:double>")
+    def place(v: pd.Series) -> pd.DataFrame:
+        d = _dense_dist(K.matrix(v), box.value)
+        at = d.argmin(1)
+        return pd.DataFrame({"cell": at, "far": d[np.arange(len(d)), at]})
+
+    placed = df.select(id_col, *extra, F.col(x).alias("x"), place(x).alias("p")).select("*", "p.cell", "p.far").drop("p")
+    b = positions(placed, ["cell"], ["far", id_col], "_at").withColumn("b", F.floor(F.col("_at") / block))
+    row = F.sort_array(F.collect_list(F.struct(F.col(id_col).cast("long").alias(id_col), *[F.col(e).cast("long").alias(e) for e in extra], "x")))
+    g = b.groupBy("cell", "b").agg(F.min("far").alias("low"), F.max("far").alias("high"), row.alias("_r"))
+    return land(g.select("cell", "b", "low", "high", F.col("_r.x").alias("m"), *[F.col(f"_r.{e}").alias(e) for e in (id_col, *extra)])), centre
+
+
+def _top_of(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest entries of each row, smallest first, the first of equal ones first."""
+    if d.shape[1] > 4 * k:
+        cut = np.partition(d, k - 1, axis=1)[:, k - 1]
+        out = np.full((len(d), k), -1)
+        for r in range(len(d)):
+            some = np.flatnonzero(d[r] <= cut[r])
+            out[r] = some[np.argsort(d[r, some], kind="stable")[:k]]
+        return out
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def nearest(df: DataFrame, k: int, id_col: str = "vec_id", *, label: str = "label", x: str = "x", block: int = 2048, metric: str = "euclidean", other_subject: bool = False, seed: int = 42,
+            visits: list | None = None) -> DataFrame:
+    """The k nearest rows of every row: (id, subject, label, rank, other, other subject, other label), exact; ties to the smaller id.
+
+    Rows are packed into shells around cell centres. A block's own rows give each row a first bound on its k-th distance. By the triangle
+    inequality a row within that bound of a row q lies in a shell whose distances to the centre are within the bound of q's distance to it; so a block meets
+    only the shells that one of its rows could need. These pairs are found by joining intervals with the table of shells, before
+    any vector moves; each visit returns k per row at most. Rows in tight groups visit few blocks; rows without groups, or many equal
+    rows, visit nearly all, which is the square of the number of rows. ``visits`` receives (block pairs visited, all block pairs).
+    """
     u = df if metric == "euclidean" else df.withColumn(x, a_unit(x))
+    if u.isEmpty():
+        return df.sparkSession.createDataFrame([], "id bigint, s bigint, y bigint, o bigint, t bigint, z bigint, d double, rank int")
+    bl, centre = _shells(u, id_col, [S, label], x, block, seed)
+    box = df.sparkSession.sparkContext.broadcast(centre)
+
+    def compare(a, i1, s1, b, i2, s2):
+        p, q = K.matrix(a), K.matrix(b)
+        d = _dense_dist(p, q) if metric == "euclidean" else -(p @ q.T)
+        d[(s1[:, None] == s2[None]) if other_subject else (i1[:, None] == i2[None])] = np.inf
+        return p, d
+
+    def slack(p):
+        return 1e-6 * (1 + np.linalg.norm(p, axis=1))
+
+    @F.pandas_udf("struct<bound:array<double>,low:array<double>,high:array<double>>")
+    def bounds(m: pd.Series, i: pd.Series, s: pd.Series) -> pd.DataFrame:
+        """Per row its bound; per cell the distances to its centre between which a row could be needed."""
+        out = []
+        for a, i1, s1 in zip(m, i, s):
+            i1, s1 = np.asarray(i1), np.asarray(s1)
+            p, d = compare(a, i1, s1, a, i1, s1)
+            bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(p), np.inf)
+            # a cosine of unit (or zero) vectors is at least c where their distance is at most sqrt(|q|^2 + 1 - 2 c)
+            reach = bound if metric == "euclidean" else np.sqrt(np.maximum((p**2).sum(1) + 1 + 2 * bound, 0))
+            far, reach = _dense_dist(p, box.value), (reach + slack(p))[:, None]
+            out.append({"bound": bound.tolist(), "low": (far - reach).min(0).tolist(), "high": (far + reach).max(0).tolist()})
+        return pd.DataFrame(out)
 
     @F.pandas_udf("array<struct<id:bigint,s:bigint,y:bigint,o:bigint,t:bigint,z:bigint,d:double>>")
-    def top(m: pd.Series, i: pd.Series, s: pd.Series, y: pd.Series, o: pd.Series, j: pd.Series, t: pd.Series, z: pd.Series) -> pd.Series:
+    def top(m: pd.Series, i: pd.Series, s: pd.Series, y: pd.Series, bound: pd.Series, o: pd.Series, j: pd.Series, t: pd.Series, z: pd.Series) -> pd.Series:
         out = []
-        for a, i1, s1, y1, b, i2, s2, y2 in zip(m, i, s, y, o, j, t, z):
+        for a, i1, s1, y1, most, b, i2, s2, y2 in zip(m, i, s, y, bound, o, j, t, z):
             i1, s1, y1, i2, s2, y2 = (np.asarray(v) for v in (i1, s1, y1, i2, s2, y2))
-            p, q = K.matrix(a), K.matrix(b)
-            d = _dense_dist(p, q) if metric == "euclidean" else -(p @ q.T)
-            d[(s1[:, None] == s2[None]) if other_subject else (i1[:, None] == i2[None])] = np.inf
-            take = min(k, d.shape[1])
+            p, d = compare(a, i1, s1, b, i2, s2)
+            d[d > (np.asarray(most, float) + slack(p))[:, None]] = np.inf
             rows = []
-            # i2 is sorted, so a stable sort breaks ties by id
-            for r, c_ in enumerate(np.argsort(d, axis=1, kind="stable")[:, :take]):
+            # i2 is sorted, so the first of equal ones has the smaller id
+            for r, c_ in enumerate(_top_of(d, min(k, d.shape[1]))):
                 rows += [{"id": int(i1[r]), "s": int(s1[r]), "y": int(y1[r]), "o": int(i2[n]), "t": int(s2[n]), "z": int(y2[n]), "d": float(d[r, n])} for n in c_ if np.isfinite(d[r, n])]
             out.append(rows)
         return pd.Series(out)
 
-    cols = ["m", id_col, S, label]
-    p = _block_pairs(_blocks(u, [id_col], [S, label], x, block), cols, both=True)
-    e = p.select(F.explode_outer(top("l_m", f"l_{id_col}", f"l_{S}", f"l_{label}", "r_m", f"r_{id_col}", f"r_{S}", f"r_{label}")).alias("e")).select("e.*").filter("id IS NOT NULL")
+    asks = land(bl.select("cell", "b", "m", id_col, S, label, bounds("m", id_col, S).alias("q")).withColumn("me", F.xxhash64("cell", "b")))
+    needs = asks.select("me", F.posexplode(F.arrays_zip("q.low", "q.high")).alias("to", "z")).select("me", "to", "z.low", "z.high")
+    shell = bl.select(F.col("cell").alias("to"), F.col("b").alias("at"), F.col("low").alias("from_"), F.col("high").alias("upto"))
+    pairs = land(needs.join(shell, "to").filter("from_ <= high and upto >= low").select("me", "to", "at"))
+    if visits is not None:
+        visits.append((pairs.count(), bl.count() ** 2))
+    right = bl.select(F.col("cell").alias("to"), F.col("b").alias("at"), *[F.col(v).alias(f"r_{v}") for v in ("m", id_col, S, label)])
+    left = pairs.join(asks.select("me", "m", id_col, S, label, F.col("q.bound").alias("bound")), "me")
+    p = left.join(right, ["to", "at"])
+    e = p.select(F.explode_outer(top("m", id_col, S, label, "bound", "r_m", f"r_{id_col}", f"r_{S}", f"r_{label}")).alias("e")).select("e.*").filter("id IS NOT NULL")
     return pick_first(e, ["id"], F.col("d"), F.col("o"), k=k, rank="rank")
 
 
@@ -502,29 +574,22 @@ def probe_metrics(pred: DataFrame, label: str = "label") -> DataFrame:
     return ev.summary_rates(ev.confusion(pred, true=label))
 
 
-def forest_classifier(train: DataFrame, test: DataFrame, n_classes: int, *, trees: int = 300, depth: int = 30, seed: int = 42, label: str = "label", x: str = "x", keys: Sequence[str] = (S,)) -> tuple[DataFrame, DataFrame]:
-    """CLU17: random forest on window vectors, classes weighted alike; window predictions and their soft vote per ``keys``.
-
-    Spark grows trees to depth 30 at most. Weights are those of the training rows, not of each tree's draw.
-    """
-    f = lambda d: d.withColumn("features", array_to_vector(x))
-    model = RandomForestClassifier(featuresCol="features", labelCol="_y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed).fit(
-        f(balanced_weights(train, label)).withColumn("_y", F.col(label).cast("double")))
-    t = model.transform(f(test)).select(*test.columns, F.col(label).alias("true_label"), F.col("prediction").cast("long").alias("pred_label"), vector_to_array("probability").alias("prob"))
-    return t, ev.soft_vote(t, n_classes, list(keys))
-
-
-def forest_runs(train: DataFrame, held: DataFrame, n_classes: int, seeds: Sequence[int] = (15, 42, 100), *, label: str = "label", **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """CLU17: one forest per seed. Window predictions and subject votes of the rows ``held`` out (with ``split``), and rates
+def forest_votes(forest: forests.Forest, held: DataFrame, *, label: str = "label", x: str = "x") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CLU17: window predictions and subject votes of the rows ``held`` out (with ``split``) for every seed of a forest, and rates
     per seed and split: of windows as ``val_segment``, of subjects as ``val``."""
-    keys, windows, subjects = ["seed", "split", S], None, None
-    for seed in seeds:
-        w, v = (land(x) for x in forest_classifier(train, held.withColumn("seed", F.lit(int(seed))), n_classes, seed=seed, label=label, keys=keys, **kw))
-        windows, subjects = (w, v) if windows is None else (windows.unionByName(w), subjects.unionByName(v))
+    keys = ["seed", "split", S]
+    p = forests.predict(forest, held, [k for k in held.columns if k != x], x)
+    windows = land(p.withColumn("true_label", F.col(label)).withColumn("pred_label", argmax_first("prob").cast("long")))
+    subjects = land(ev.soft_vote(windows, forest.classes, keys))
     named = windows.select("seed", F.concat("split", F.lit("_segment")).alias("split"), "true_label", "pred_label").unionByName(subjects.select("seed", "split", "true_label", "pred_label"))
     return windows, subjects, ev.summary_rates(ev.confusion(named, keys=keys[:2]), keys[:2])
 
 
+def forest_runs(train: DataFrame, held: DataFrame, n_classes: int, seeds: Sequence[int] = (15, 42, 100), *, label: str = "label", trees: int = 300, **kw) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """CLU17: random forests of ``trees`` trees for each seed, all grown together, and ``forest_votes`` of the rows held out."""
+    return forest_votes(forests.grow_forest(train, n_classes, seeds, trees=trees, label=label, **kw), held, label=label)
+
+
 COMBINED_WEIGHTS = [
     ("probe_macro_f1_mean", 2.0), ("probe_bal_acc_mean", 1.5), ("knn_class_purity_mean", 1.0), ("segment_centroid_match_rate", 1.0), ("subject_centroid_match_rate", 0.8),
     ("bw_scatter_ratio_segments", 0.8), ("bw_scatter_ratio_subjects", 0.8), ("knn_subject_purity_mean", -0.8), ("probe_macro_f1_std", -0.5), ("probe_bal_acc_std", -0.3)]  # fixed values

@@ -144,7 +144,7 @@ def wavelet_energy(windows: DataFrame, level: int = 5, x: str = "x") -> DataFram
 
 
 def higuchi(windows: DataFrame, kmax: int = 8, x: str = "x") -> DataFrame:
-    """SIG08: slope of ln L(k) on ln(1/k) for k = 1 .. kmax; null for fewer than 4 samples."""
+    """SIG08: slope of ln L(k) on ln(1/k) for k = 1 .. kmax; null for fewer than 4 samples, NaN where some L(k) is 0."""
     n = F.size(x)
 
     def length(k):
@@ -156,12 +156,13 @@ def higuchi(windows: DataFrame, kmax: int = 8, x: str = "x") -> DataFrame:
         starts = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda m: m + k <= n - 1)
         return a_mean(F.transform(starts, one))
 
-    pts = F.array(*[F.struct(F.lit(-math.log(k)).alias("u"), F.ln(length(k)).alias("v")) for k in range(1, kmax + 1)])
-    w = windows.withColumn("_p", F.filter(pts, lambda p: p["v"].isNotNull()))
-    u, v, k = F.col("_p.u"), F.col("_p.v"), F.size("_p")
+    pts = F.array(*[F.struct(F.lit(-math.log(k)).alias("u"), length(k).alias("l")) for k in range(1, kmax + 1)])
+    w = windows.withColumn("_p", F.filter(pts, lambda p: p["l"].isNotNull()))
+    u, v, k = F.col("_p.u"), F.transform("_p", lambda p: F.ln(p["l"])), F.size("_p")
+    flat = F.exists("_p", lambda p: p["l"] <= 0)
     dot = lambda a, b: a_sum(F.zip_with(a, b, lambda s, t: s * t))
     slope = F.try_divide(k * dot(u, v) - a_sum(u) * a_sum(v), k * dot(u, u) - a_sum(u) * a_sum(u))
-    return w.withColumn("higuchi_fd", F.when((n >= 4) & (k >= 2), slope)).drop("_p")
+    return w.withColumn("higuchi_fd", F.when((n >= 4) & (k >= 2), F.when(flat, F.lit(float("nan"))).otherwise(slope))).drop("_p")
 
 
 def derived_ratio(df: DataFrame, numerators: Sequence[str], denominators: Sequence[str], name: str) -> DataFrame:

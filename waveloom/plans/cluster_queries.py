@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks as B
 from ..operators import clustering as cl
+from ..operators import forests
 from ..operators import graphs as gr
 from ..operators import selection as sel
+from ..operators.landing import land
 from .evaluate_queries import rates_sql
 from .registry import query
 
@@ -43,7 +45,8 @@ def _(t):
                    F.sum(F.when(F.abs(d - F.col("distance")) > 1e-6, 1).otherwise(0)).alias("far"))
 
 
-@query("clu03_grid_search", "dims:i k:i silhouette:d4 calinski_harabasz:d4 davies_bouldin:d4 inertia:d2 min_share:d4 max_share:d4 ari_mean:d4")
+@query("clu03_grid_search", "dims:i k:i explained_variance:d4 silhouette_mean:d4 silhouette_std:d4 calinski_harabasz_mean:d4 calinski_harabasz_std:d4 davies_bouldin_mean:d4 davies_bouldin_std:d4 "
+       "inertia_mean:d2 inertia_std:d2 min_share_mean:d4 max_share_mean:d4 ari_mean:d4 ari_std:d4")
 def _(t):
     return cl.grid_search(t.vectors.select("vec_id", "x"), [3, 5, 8, 10, 15], [4, 5, 6, 8, 10, 12], [15, 42, 100], ["vec_id"], starts=20)
 
@@ -249,24 +252,48 @@ def _(t):
     return cl.probe_metrics(t.vectors.select((F.col("vec_id") % 3).alias("label"), (F.col("label") % 3).alias("pred_label")))
 
 
+_GROWN: dict[tuple, tuple] = {}
+
+
 def _forests(t):
-    v = _split(t).withColumn("label", F.col("subject_id") % 3)
-    return cl.forest_runs(v.filter("split = 'train'"), v.filter("split <> 'train'"), 3)
+    """The forest of the three seeds and what it predicts; grown once per application and folder, as tables in the shared folder."""
+    key = t.spark.sparkContext.applicationId, t.sf_dir
+    if key not in _GROWN:
+        v = _split(t).withColumn("label", F.col("subject_id") % 3)
+        forest = forests.grow_forest(v.filter("split = 'train'"), 3, (15, 42, 100))
+        _GROWN[key] = forest, *cl.forest_votes(forest, v.filter("split <> 'train'"))
+    return _GROWN[key]
 
 
 @query("clu17_forest_segments", "seed:i split:s vec_id:i true_label:i pred_label:i")
 def _(t):
-    return _forests(t)[0]
+    return _forests(t)[1]
 
 
 @query("clu17_forest_subjects", "seed:i split:s subject_id:i true_label:i pred_label:i num_instances:i")
 def _(t):
-    return _forests(t)[1]
+    return _forests(t)[2]
 
 
 @query("clu17_forest_metrics", "seed:i split:s accuracy:d balanced_accuracy:d macro_f1:d n_samples:i")
 def _(t):
-    return _forests(t)[2]
+    return _forests(t)[3]
+
+
+_TRAIN = "(SELECT vec_id FROM embeddings WHERE vec_id % 25 % 5 > 1)"
+
+
+@query("clu17_leaf_conservation", "seed:i tree:i n_rows:i n_ids:i wrong_leaves:i", f"""
+    SELECT seed, tree, count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, 0 AS wrong_leaves FROM {_TRAIN}, (SELECT unnest([15, 42, 100]) AS seed), range(300) r(tree) GROUP BY 1, 2""")
+def _(t):
+    """Every training row is in one leaf of every tree, and the rows that a tree drew reach the leaves that recorded them."""
+    forest = _forests(t)[0]
+    train = _split(t).filter("split = 'train'")
+    at = land(forests.leaves(forest, train))
+    met = forests.drawn_rows(forest, train).join(at, ["seed", "tree", "vec_id"]).groupBy("seed", "tree", "node", "leaf").agg(F.count("*").alias("n"))
+    noted = forest.parts.select("seed", "tree", "node", F.posexplode(F.arrays_zip("feature", "rows")).alias("leaf", "z")).filter("z.feature < 0").select("seed", "tree", "node", "leaf", F.col("z.rows").alias("rows"))
+    wrong = noted.join(met, ["seed", "tree", "node", "leaf"], "full").filter("leaf >= 0").groupBy("seed", "tree").agg(F.sum(F.when(F.col("n").eqNullSafe(F.col("rows")), 0).otherwise(1)).alias("wrong_leaves"))
+    return at.groupBy("seed", "tree").agg(F.count("*").alias("n_rows"), F.count_distinct("vec_id").alias("n_ids")).join(wrong, ["seed", "tree"])
 
 
 @query("clu18_combined_score", "fold:i combined_score:d", f"""

@@ -213,13 +213,12 @@ def _(t):
     return gr.fuse_bank(_bank(t), method="median", rule="intersection")
 
 
-_MACRO_E = "(SELECT subject_id, segment_id * 500 // 2000 AS macro_id, i, j, avg(w) AS w, count(*) AS n_windows FROM v_edges GROUP BY 1, 2, 3, 4)"
-
-
-@query("gra13_macro_graphs", "subject_id:i macro_id:i i:i j:i w:d n_windows:i", f"""
-    SELECT DISTINCT subject_id, macro_id, least(i, j) AS i, greatest(i, j) AS j, w, n_windows FROM (
-      SELECT *, row_number() OVER (PARTITION BY subject_id, macro_id, i ORDER BY abs(w) DESC, j) AS r FROM (
-        SELECT * FROM {_MACRO_E} UNION ALL SELECT subject_id, macro_id, j, i, w, n_windows FROM {_MACRO_E})) WHERE r <= 2""")
+@query("gra13_macro_graphs", "subject_id:i macro_id:i i:i j:i w:d n_windows:i", """
+    WITH m AS MATERIALIZED (SELECT subject_id, segment_id * 500 // 2000 AS macro_id, i, j, avg(w) AS w, count(*) AS n_windows FROM v_edges GROUP BY 1, 2, 3, 4),
+    d AS (SELECT subject_id, macro_id, i, j, abs(w) AS a FROM m UNION ALL SELECT subject_id, macro_id, j, i, abs(w) FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY subject_id, macro_id, i ORDER BY a DESC, j) AS r FROM d),
+    p AS (SELECT subject_id, macro_id, least(i, j) AS i, greatest(i, j) AS j FROM r WHERE r <= 2 GROUP BY 1, 2, 3, 4)
+    SELECT m.* FROM m JOIN p USING (subject_id, macro_id, i, j)""")
 def _(t):
     mac = F.floor(F.col("segment_id") * 500 / 2000)
     level = ["subject_id", "macro_id"]

@@ -382,9 +382,10 @@ def _(t):
 
 
 @query("qc34_strategy_dispatch", "strategy:s subject_id:i segment_id:i", f"""
-    SELECT 'weighted_k' AS strategy, subject_id, segment_id FROM ({pick(f"ln({unit(7, 'subject_id', 'segment_id')}) / greatest(sampling_weight, 1e-8) DESC, segment_id", 4, "(SELECT * FROM v_manifest WHERE keep_clean)")})
-    UNION ALL SELECT 'random_k', subject_id, segment_id FROM ({pick(md5(7, 'subject_id', 'segment_id') + ', segment_id', 4)})
-    UNION ALL SELECT 'keep_clean', subject_id, segment_id FROM v_manifest WHERE keep_clean""")
+    WITH m AS MATERIALIZED (SELECT subject_id, segment_id, keep_clean, sampling_weight, {unit(7, 'subject_id', 'segment_id')} AS u, {md5(7, 'subject_id', 'segment_id')} AS h FROM v_manifest)
+    SELECT 'weighted_k' AS strategy, subject_id, segment_id FROM ({pick("ln(u) / greatest(sampling_weight, 1e-8) DESC, segment_id", 4, "(SELECT * FROM m WHERE keep_clean)")})
+    UNION ALL SELECT 'random_k', subject_id, segment_id FROM ({pick("h, segment_id", 4, "m")})
+    UNION ALL SELECT 'keep_clean', subject_id, segment_id FROM m WHERE keep_clean""")
 def _(t):
     out = None
     for s in ("weighted_k", "random_k", "keep_clean"):

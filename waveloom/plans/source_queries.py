@@ -125,7 +125,7 @@ def _(t):
     # a first run that stored the even subjects, then a resumed run over all
     store.write_store(path, {"windows": w.filter("subject_id % 2 = 0"), "features": f.filter("subject_id % 2 = 0")})
     store.write_store(path, {"windows": w, "features": f})
-    return t.spark.read.parquet(f"{path}/features").groupBy("subject_id", "family").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return store.read_table(t.spark, path, "features").groupBy("subject_id", "family").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("src06_feature_family", "subject_id:i segment_id:i channel:s feature:s value:d9 bad_segment_flag:b", f"""

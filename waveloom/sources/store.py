@@ -1,7 +1,13 @@
-"""Store of windows, features and connectivity as partitioned Parquet tables."""
+"""Store of windows, features and connectivity as partitioned Parquet tables behind a manifest.
+
+A write puts its rows into new folders and then names them in a new manifest, by one rename. Readers go through the newest
+manifest, so they see all tables of a write or none, and a job that dies at any step leaves folders that no manifest names.
+"""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,59 +18,107 @@ from ..functions.exprs import pick_first
 TABLES = {"windows": [], "features": ["family"], "connectivity": ["metric"]}
 
 
-def write_store(path: str, tables: dict[str, DataFrame], *, overwrite: bool = False, subject: str = "subject_id") -> None:
+def _files(spark: SparkSession, path: str):
+    """The store's file system, and a function from names below the store to Hadoop paths."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    fs = make(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, lambda *names: make("/".join([path.rstrip("/"), *names]))
+
+
+def manifest(spark: SparkSession, path: str) -> tuple[int, dict[str, list[str]]]:
+    """Number of the newest manifest (0 where there is none) and the live folders of each table, oldest first."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at("_manifest")):
+        return 0, {}
+    names = [f.getPath().getName() for f in fs.listStatus(at("_manifest"))]
+    newest = max((n for n in names if n.endswith(".json") and not n.startswith(("_", "."))), default=None)
+    if newest is None:
+        return 0, {}
+    stream = fs.open(at("_manifest", newest))
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return int(newest.split(".")[0]), json.loads(text)
+
+
+def _commit(spark: SparkSession, path: str, version: int, live: dict[str, list[str]]) -> None:
+    """Name the live folders in manifest ``version``: written aside, then renamed. A manifest of that number from another job raises."""
+    fs, at = _files(spark, path)
+    fs.mkdirs(at("_manifest"))
+    aside, final = at("_manifest", f"_{uuid.uuid4().hex}"), at("_manifest", f"{version:012d}.json")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(json.dumps(live).encode()))
+    stream.close()
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        raise RuntimeError(f"another job has written to the store {path} meanwhile")
+
+
+def _sweep(spark: SparkSession, path: str, live: dict[str, list[str]]) -> None:
+    """Delete folders that the newest manifest does not name: left by jobs that died, or replaced by an overwrite."""
+    fs, at = _files(spark, path)
+    for name in TABLES:
+        if fs.exists(at(name)):
+            for f in fs.listStatus(at(name)):
+                if f"{name}/{f.getPath().getName()}" not in live.get(name, []):
+                    fs.delete(f.getPath(), True)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """All rows of a table that are committed; None where it has none."""
+    folders, root = manifest(spark, path)[1].get(name), path.rstrip("/")
+    return spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{f}" for f in folders]).drop("commit") if folders else None
+
+
+def write_store(path: str, tables: dict[str, DataFrame], *, overwrite: bool = False, subject: str = "subject_id", segment: str = "segment_id") -> None:
     """SRC05: append window, feature and connectivity rows; subjects that are stored already are skipped, unless all is overwritten.
 
-    Feature tables are partitioned by family and connectivity by metric, so a read of few of them touches few files; rows are
-    sorted by subject inside files, so subject filters skip row groups. A subject counts as stored once its windows are, and
-    windows are written last: a job that dies between tables repeats the subject on the next run after clearing its rows.
+    A subject counts as stored if the table that leads the write (the windows where given, else each table itself) has committed rows of
+    it. All tables of a call become visible together. An overwrite replaces the tables of the call and keeps the others. One job writes at a time:
+    a second one that ends later raises and leaves nothing; folders without a manifest are removed by the next write.
+
+    Feature tables are partitioned by family and connectivity by metric, so a read of few of them touches few files. Rows are range
+    partitioned and sorted by (partition, subject, segment): a subject with many rows is spread over files, and
+    subject filters skip files and row groups.
     """
     spark = next(iter(tables.values())).sparkSession
-    done = None if overwrite else stored_subjects(spark, f"{path}/windows", subject)
-    for name in [*(n for n in tables if n != "windows"), *(n for n in tables if n == "windows")]:
-        df = tables[name]
-        target = f"{path}/{name}"
-        own = done if "windows" in tables else None if overwrite else stored_subjects(spark, target, subject)
-        if name != "windows" and "windows" in tables and not overwrite:
-            _clear_orphans(spark, target, done, TABLES[name], subject)
+    path = path.rstrip("/")
+    version, live = manifest(spark, path)
+    _sweep(spark, path, live)
+    after = {k: list(v) for k, v in live.items()}
+    lead = None if overwrite or "windows" not in tables else stored_subjects(spark, path, "windows", subject)
+    for name, df in tables.items():
+        own = lead if "windows" in tables else None if overwrite else stored_subjects(spark, path, name, subject)
         if own is not None:
             df = df.join(own, subject, "left_anti")
         parts = TABLES[name]
-        w = df.repartition(*parts, subject).sortWithinPartitions(*parts, subject) if parts else df.repartition(subject).sortWithinPartitions(subject)
-        writer = w.write.mode("overwrite" if overwrite else "append")
-        (writer.partitionBy(*parts) if parts else writer).parquet(target)
-
-
-def _clear_orphans(spark: SparkSession, target: str, done: DataFrame | None, parts: Sequence[str], subject: str) -> None:
-    """Drop rows of subjects that have no windows: an earlier job ended before it wrote those. The kept rows are written
-    beside the table first and then take its place."""
-    if stored_subjects(spark, target, subject) is None:
-        return
-    have = spark.read.parquet(target)
-    keep = have.limit(0) if done is None else have.join(done, subject, "left_semi")
-    gone = have if done is None else have.join(done, subject, "left_anti")
-    if gone.isEmpty():
-        return
-    writer = keep.write.mode("overwrite")
-    (writer.partitionBy(*parts) if parts else writer).parquet(f"{target}.kept")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(target), True)
-    fs.rename(path(f"{target}.kept"), path(target))
-
-
-def stored_subjects(spark: SparkSession, target: str, subject: str = "subject_id") -> DataFrame | None:
-    from pyspark.errors import AnalysisException
+        order = [*parts, subject, *([segment] if segment in df.columns else [])]
+        w = df.repartitionByRange(*[F.col(c) for c in order], F.xxhash64(*[c for c in df.columns if c not in parts])).sortWithinPartitions(*order)
+        folder = f"{name}/commit=w{uuid.uuid4().hex}"
+        (w.write.partitionBy(*parts) if parts else w.write).parquet(f"{path}/{folder}")
+        fs, at = _files(spark, path)
+        some = any(not f.getPath().getName().startswith("_") for f in fs.listStatus(at(folder)))
+        after[name] = [*([] if overwrite else after.get(name, [])), *([folder] if some else [])]
+    _commit(spark, path, version + 1, after)
+    _sweep(spark, path, after)
 
-    try:
-        return spark.read.parquet(target).select(subject).distinct()
-    except AnalysisException:
-        return None
+
+def stored_subjects(spark: SparkSession, path: str, name: str = "windows", subject: str = "subject_id") -> DataFrame | None:
+    df = read_table(spark, path, name)
+    return None if df is None else df.select(subject).distinct()
+
+
+def _committed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    df = read_table(spark, path, name)
+    if df is None:
+        raise FileNotFoundError(f"the store {path} has no {name}")
+    return df
 
 
 def read_features(spark: SparkSession, path: str, families: Sequence[str], *, subjects: DataFrame | None = None, bad: DataFrame | None = None) -> DataFrame:
     """SRC06: chosen families (partition pruning) of chosen subjects, with an optional bad-window flag joined."""
-    return choose_features(spark.read.parquet(f"{path}/features"), families, subjects=subjects, bad=bad)
+    return choose_features(_committed(spark, path, "features"), families, subjects=subjects, bad=bad)
 
 
 def choose_features(features: DataFrame, families: Sequence[str], *, subjects: DataFrame | None = None, bad: DataFrame | None = None) -> DataFrame:
@@ -78,7 +132,7 @@ def choose_features(features: DataFrame, families: Sequence[str], *, subjects: D
 
 def read_connectivity(spark: SparkSession, path: str, metric: str, *, bands: Sequence | None = None, band_names: Sequence[str] | None = None) -> DataFrame:
     """SRC07: one metric (partition pruning), all or the listed bands in their order."""
-    return choose_bands(spark.read.parquet(f"{path}/connectivity"), metric, bands, band_names)
+    return choose_bands(_committed(spark, path, "connectivity"), metric, bands, band_names)
 
 
 def choose_bands(edges: DataFrame, metric: str, bands: Sequence | None = None, band_names: Sequence[str] | None = None) -> DataFrame:
