@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -16,7 +17,7 @@ from .common import Scratch, table, utf8
 # ---------------------------------------------------------------- fixed values of HTML
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object select".split())  # their content is no running text
+RAW = set("script style textarea title noscript iframe template svg select".split())  # their content is no running text
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCK = set("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
             "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -39,6 +40,7 @@ KEEP = set("html body main article".split())  # never switched off by a name
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_DEEP = 200  # levels of elements that a tree keeps
 
 
 # ---------------------------------------------------------------- pages as trees
@@ -62,7 +64,7 @@ def _named_off(name: str) -> bool:
 def _element(tag: str, attrs: str) -> Node:
     """``off`` is 2 for parts that are off by element or role, 1 for those by name only."""
     marks, off = [], 2 if tag in ASIDE else 0
-    if attrs and ("class" in attrs or "id" in attrs or "role" in attrs or "CLASS" in attrs):
+    if attrs and "=" in attrs:
         for name, *values in _ATTR.findall(attrs):
             words = "".join(values).lower().split()
             if name.lower() == "role":
@@ -75,63 +77,110 @@ def _element(tag: str, attrs: str) -> Node:
     return Node(tag, ".".join([tag, *marks]), off)
 
 
-def parse(html: str) -> Node:
-    """The page as a tree of elements and texts (strings, character references decoded). Any input gives a tree."""
-    root = Node("", "", 0)
-    stack, at, low = [root], 0, None
+class _Open:
+    """Open elements of a page that is read, and where their content goes.
+
+    Elements below ``_DEEP`` levels do not nest further: block elements become children of the last level kept, one after another in
+    page order and off where an element around them is; other elements give their text to the element around them.
+    """
 
-    def text(s):
-        if s and not s.isspace():
-            stack[-1].kids.append(entities.unescape(s))
-        elif s and stack[-1].kids:
-            stack[-1].kids.append(" ")
+    def __init__(self):
+        self.root = Node("", "", 0)
+        self.stack, self.into = [self.root], [self.root]
 
+    def text(self, s: str) -> None:
+        if not s:
+            return
+        to = self.into[-1]
+        if s.isspace():
+            if to.kids:
+                to.kids.append(" ")
+            return
+        if len(self.stack) > _DEEP:
+            floor = self.stack[_DEEP - 1]
+            if to.tag in BLOCK and to is not floor and floor.kids[-1] is not to:  # its text goes on after another element
+                more = Node(to.tag, to.label, to.off)
+                floor.kids.append(more)
+                for k in range(len(self.into) - 1, -1, -1):
+                    if self.into[k] is not to:
+                        break
+                    self.into[k] = more
+                to = more
+        to.kids.append(entities.unescape(s))
+
+    def add(self, node: Node, opens: bool) -> None:
+        around = self.into[-1]
+        to = node
+        if len(self.stack) < _DEEP:
+            around.kids.append(node)
+        elif around.off and around is not self.stack[_DEEP - 1] or not (node.off or node.tag in BLOCK):
+            to = around
+            if node.tag == "br":
+                around.kids.append(node)
+        elif node.tag in BLOCK:
+            floor = self.stack[_DEEP - 1]
+            node.off = max(node.off, around.off)
+            floor.kids.append(node)
+        else:
+            around.kids.append(node)
+        if opens:
+            self.stack.append(node)
+            self.into.append(to)
+
+    def cut(self, k: int) -> None:
+        del self.stack[k:], self.into[k:]
+
+    def close(self, tags: set[str]) -> None:
+        """Close the nearest open element of the given kinds, unless a container stands between."""
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k].tag in tags:
+                return self.cut(k)
+            if self.stack[k].tag in SCOPE:
+                return None
+        return None
+
+
+def parse(html: str) -> Node:
+    """The page as a tree of elements and texts (strings, character references decoded). Any input gives a tree of bounded depth."""
+    page, at, low = _Open(), 0, None
+    have: set[str] = set()  # of body, head, html
     while True:
         m = _TOKEN.search(html, at)
         if not m:
-            text(html[at:])
-            return root
-        text(html[at: m.start()])
+            page.text(html[at:])
+            return page.root
+        page.text(html[at: m.start()])
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            for k in range(len(page.stack) - 1, 0, -1):
+                if page.stack[k].tag == tag:
+                    page.cut(k)
+                    have.discard(tag)
                     break
-                if stack[k].tag in SCOPE and tag not in SCOPE:
+                if page.stack[k].tag in SCOPE and tag not in SCOPE:
                     break
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"})
+            page.close({"p"})
         if tag in CLOSES:
-            _close(stack, CLOSES[tag])
-        if tag in ("body", "head", "html") and any(n.tag == tag for n in stack):
-            continue
+            page.close(CLOSES[tag])
+        if tag in ("body", "head", "html"):
+            if tag in have and any(n.tag == tag for n in page.stack):
+                continue
+            have.add(tag)
         if tag == "body":
-            _close(stack, {"head"})
+            page.close({"head"})
         node = _element(tag, m[3])
-        stack[-1].kids.append(node)
-        if tag in RAW and not m[3].endswith("/"):
+        raw = tag in RAW and not m[3].endswith("/")
+        page.add(node, raw or (tag not in VOID and not m[3].endswith("/")))
+        if raw:
             if low is None:
                 low = html.lower() if len(html.lower()) == len(html) else html
             end = low.find(f"</{tag}", at)
             at = len(html) if end < 0 else end
-            stack.append(node)
-        elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
-
-
-def _close(stack: list[Node], tags: set[str]) -> None:
-    """Close the nearest open element of the given kinds, unless a container stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE:
-            return
 
 
 def blocks(node: Node) -> list[str]:
@@ -385,46 +434,75 @@ def _host(url_col: str):
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def shape(w: list) -> str:
+    """A wrapper's labels and repetitions without its texts. Wrappers of one shape merge item by item, in any order, to the same wrapper."""
+    return f"{w[0]} {w[1]}({','.join(map(shape, w[4]))})" if w[4] else f"{w[0]} {w[1]}"
+
+
+def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html", run: int = 256, fan: int = 16) -> DataFrame:
     """host, wrapper (JSON): one wrapper per host from all of its pages.
 
-    Pages are aligned one after another inside a task, then the tasks' wrappers, in two steps, so that
-    a host with most of the pages is never in one task. A wrapper holds each kind of sibling once and does not
-    grow with the number of pages.
+    Pages of one shape are merged first, inside tasks and then across them in two steps, so a host with most of the pages is never in one
+    task and pages do not move. The order in which different shapes are aligned matters, so it is fixed by the shapes alone: a
+    host's shapes are dealt to runs of about ``run`` by a hash and aligned in its order; the runs' wrappers are joined ``fan`` at a time in
+    the order of their numbers, then those of the joined ones. So the partitioning of the input makes no difference. A wrapper holds
+    each kind of sibling once and does not grow with the number of pages.
     """
+    scratch = Scratch(pages.sparkSession)
+    kind = "host string, shape string, wrapper string"
 
     def fold(batches):
         held: dict = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), utf8(batch.column(1)).to_pylist(), strict=True):
                 w = wrapper(parse(page))
-                held[host] = _merge(held[host], w) if host in held else w
+                key = host, hashlib.md5(shape(w).encode("utf-8", "surrogatepass")).hexdigest()
+                held[key] = _merge(held[key], w) if key in held else w
                 if len(held) >= 2000:
                     yield _rows(held)
                     held = {}
         if held:
             yield _rows(held)
 
-    def join(t: pa.Table) -> pa.Table:
+    def merge(t: pa.Table) -> pa.Table:
         done = None
-        for x in t.column("wrapper").to_pylist():
+        for x in sorted(t.column("wrapper").to_pylist()):
             w = json.loads(x)
             done = w if done is None else _merge(done, w)
-        return pa.Table.from_batches([_rows({t.column("host")[0].as_py(): done})])
-
-    parts = pages.select(_host(url_col).alias("host"), html_col).filter(F.col(html_col).isNotNull()).mapInArrow(fold, "host string, wrapper string")
-    some = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(16))).groupBy("host", "part").applyInArrow(join, "host string, wrapper string")
-    return some.groupBy("host").applyInArrow(join, "host string, wrapper string")
+        return pa.Table.from_batches([_rows({(t.column("host")[0].as_py(), t.column("shape")[0].as_py()): done})])
+
+    parts = pages.select(_host(url_col).alias("host"), html_col).filter(F.col(html_col).isNotNull()).mapInArrow(fold, kind)
+    some = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32))).groupBy("host", "shape", "salt").applyInArrow(merge, kind)
+    shapes, _ = scratch.land(some.groupBy("host", "shape").applyInArrow(merge, kind))
+
+    def join(t: pa.Table, up: int) -> pa.Table:
+        """Wrappers in the order of (part, shape), as part number ``part // up``."""
+        rows = sorted(zip(t.column("part").to_pylist(), t.column("shape").to_pylist(), t.column("wrapper").to_pylist(), strict=True))
+        done = json.loads(rows[0][2])
+        for _, _, x in rows[1:]:
+            done = _merge(done, json.loads(x))
+        out = pa.Table.from_batches([_rows({(t.column("host")[0].as_py(), ""): done})])
+        return out.append_column("part", pa.array([rows[0][0] // up], pa.int64()))
+
+    runs = shapes.groupBy("host").agg(F.ceil(F.count("*") / run).alias("runs"))
+    most = runs.agg(F.max("runs")).first()[0] or 1
+    out = shapes.join(runs, "host").withColumn("part", F.pmod(F.xxhash64("shape"), F.col("runs"))).select("host", "shape", "wrapper", "part")
+    out = out.groupBy("host", "part").applyInArrow(lambda t: join(t, 1), kind + ", part long")
+    while most > 1:
+        out = out.withColumn("up", F.floor(F.col("part") / fan)).groupBy("host", "up").applyInArrow(lambda t: join(t, fan), kind + ", part long")
+        most = -(-most // fan)
+    return out.select("host", "wrapper")
 
 
 def _rows(held: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"host": pa.array(list(held), pa.string()), "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
+    return pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in held], pa.string()), "shape": pa.array([s for _, s in held], pa.string()),
+                                       "wrapper": pa.array([json.dumps(w) for w in held.values()], pa.string())})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text: the article of every page, whole; blocks joined by one newline.
 
-    Null and empty pages, and pages without an article, have an empty text; a null or odd url belongs to the
+    Elements may nest to any depth (below ``_DEEP`` levels they are kept side by side). Null and empty pages, and pages without an article, have an empty text; a null or odd url belongs to the
     host "". Null ids pass through, repeated rows are extracted alike; other columns are not read.
     """
     scratch = Scratch(pages.sparkSession)
