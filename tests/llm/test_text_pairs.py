@@ -1,5 +1,6 @@
 """Operators that compare texts with each other: leaks, near duplicates, repeated passages."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -142,6 +143,8 @@ def test_leaks(spark, nothing):
     items = spark.createDataFrame([(7, ITEM), (7, ITEM), (8, "too short"), (9, None), (None, ITEM), (10, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["n_changed"] for r in templates.find_leaks(docs, items).collect()}
     assert got == {(k, 7): n for k, (_, n) in enumerate(CASES.values()) if n is not None}
+    same = spark.createDataFrame([(1, "Too short!"), (2, "it is too short"), (3, "1 2 3 4 5 6 7 8 9 10 11 12"), (4, "2 2 3 4 5 6 7 8 9 10 11 13")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in templates.find_leaks(same, items).collect()} == {(1, 8), (3, 10), (4, 10)}
     assert templates.find_leaks(nothing, items).count() == 0
     assert templates.find_leaks(docs, items.limit(0)).count() == 0
 
@@ -157,6 +160,50 @@ def test_leaks_with_few_slots_that_differ(spark):
     assert got == {(0, 1): 1, (1, 2): 6}
 
 
+def moved_cases():
+    """Texts with tokens added, dropped or changed, and items of every length."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in "abcdefghijklmnopqrstuvwxyz"] + ["12", "7", "Anna", "kg"]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (40, 40, 24, 9, 8, 7, 5, 3, 2, 1)]
+    items += ["we pay " + " ".join(str(rng.randrange(90)) for _ in range(20)), "a 5 b", "x " * 30]
+    docs = []
+    for t in items:
+        w = t.split()
+        m = len(w) // 2
+        docs += [t, " ".join([*w[:m], "inserted", *w[m:]]), " ".join(w[:m] + w[m + 1:]), "before it " + t + " and after", " ".join([*w[:m], "several", "more", "words", "here", *w[m:]]),
+                 " ".join(x if x != "12" else "13" for x in w), " ".join(x.replace("12", "31").replace("7", "9").replace("Anna", "Bob") for x in w), " ".join(w[: max(1, len(w) * 6 // 10)]), t + " " + t]
+    docs.append(" ".join(items))
+    docs += [None, "", "12", "we pay 1 2 3"]
+    return docs, items
+
+
+def test_moved_and_short_items(spark):
+    docs, items = moved_cases()
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in templates.find_leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for k in range(2):  # whole items of 40 tokens with a token more, a token less, some more, or another value
+        assert {(9 * k + j, k) for j in (0, 1, 2, 3, 4, 5, 8)} <= found and (9 * k + 7, k) not in found
+    for k in range(len(items)):
+        assert (9 * k, k) in found  # word for word, whatever the length
+    for k in (5, 6, 7):
+        assert (9 * k + 3, k) in found and (9 * k + 1, k) not in found
+    assert (9 * 8 + 3, 8) not in found  # two words inside another text are no leak
+
+
+def test_moved_and_short_items_equal_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    docs, items = moved_cases()
+    documents, benchmark = pd.DataFrame(list(enumerate(docs)), columns=["doc_id", "text"]), pd.DataFrame(list(enumerate(items)), columns=["item_id", "text"])  # noqa: F841
+    con = duckdb.connect()
+    con.register("documents", documents)
+    con.register("benchmark", benchmark)
+    want = sorted((a, b, round(c, 9), n, m) for a, b, c, n, m in con.execute(templates.oracle()).fetchall())
+    got = templates.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], round(r["coverage"], 9), r["n_slots"], r["n_changed"]) for r in got.collect()) == want and len(want) > 60
+
+
 def test_leak_windows_need_a_power_of_two(docs):
     with pytest.raises(ValueError):
         templates.windows(docs.select(F.split("text", " ").alias("tok")), [], 6)

@@ -109,7 +109,8 @@ def test_token_files(spark, docs, corpus, nothing, tmp_path):
     assert repair.read_files(spark, str(tmp_path / "empty")).count() == 0
 
 
-def test_separator_scan(spark):
+@pytest.mark.parametrize("width", [2, 4])
+def test_separator_scan(spark, width):
     rng = random.Random(4)
     files, want = [], []
     for f in range(5):
@@ -119,9 +120,12 @@ def test_separator_scan(spark):
             if x == 9 or k == len(ids) - 1:
                 want.append((f, place, start, k + 1 - start))
                 start, place = k + 1, place + 1
-        raw = np.array(ids, "<u2").tobytes()
-        files += [(f, k, bytearray(raw[14 * k: 14 * k + 14])) for k in range((len(raw) + 13) // 14)]
-    df = spark.createDataFrame(files, "file int, block long, data binary").repartition(3)
+        raw = np.array(ids, f"<u{width}").tobytes()
+        n = 7 * width
+        files += [(f, k, bytearray(raw[n * k: n * k + n]), width) for k in range((len(raw) + n - 1) // n)]
+    df = spark.createDataFrame(files, "file int, block long, data binary, width int").repartition(3)
+    if width == 2:
+        df = df.drop("width")
     assert sorted(tuple(r) for r in separators.count_tokens(df, 9).collect()) == sorted(want)
     assert separators.count_tokens(df.limit(0), 9).count() == 0
 
@@ -133,4 +137,6 @@ def test_document_counts(docs, corpus, nothing):
     coder.whole.encode_special_tokens = True
     want = sorted((i if i is not None else -1, len(coder.whole.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in corpus)
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in got) == want
+    wide = separators.document_counts(docs, vocabulary, 70_000).collect()  # an end id beyond 16 bits: ids of 4 bytes
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in wide) == want
     assert separators.document_counts(nothing, vocabulary, 49407).count() == 0

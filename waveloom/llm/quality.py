@@ -57,10 +57,10 @@ def _runs(batch, text_col: str):
 
 
 def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: float = 1.0, tol: float = 1e-3, max_epochs: int = 500):
-    """Weights and bias that minimise |w|²/2 + cost * hinge losses, over unit-length rows of ``scale`` at the columns given.
+    """Weights, bias and relative duality gap of the least |w|²/2 + cost * hinge losses, over unit-length rows of ``scale`` at the columns given.
 
     One dual variable at a time is set to its optimum inside [0, cost]; epochs run in a fixed random order
-    until the largest change of an epoch is under ``tol``.
+    until the largest change of an epoch is under ``tol``, or ``max_epochs`` are over: the gap says how far the result is from the optimum.
     """
     rng = np.random.default_rng(7)
     values = [scale[c] / max(np.linalg.norm(scale[c]), 1e-12) for c in rows]
@@ -78,8 +78,10 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
                 alpha[i] = new
                 most = max(most, abs(step))
         if most < tol:
-            return w, bias
-    raise RuntimeError("dual coordinate descent did not settle")
+            break
+    norm = float(w @ w + bias**2)
+    primal = norm / 2 + cost * sum(max(0.0, 1 - t * (float(w[c] @ v) + bias)) for c, v, t in zip(rows, values, y, strict=True))
+    return w, bias, (primal - (float(alpha.sum()) - norm / 2)) / max(primal, 1e-12)
 
 
 def _sigmoid_fit(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -107,8 +109,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 8_000, id_col: str =
 
     Log-count ratios come from all labelled texts (summed per task before the shuffle; the result has
     2^18 columns at most). The linear model is fitted on at most ``max_fit`` labelled texts, those with the
-    smallest hash of their id; every fifth of them sets the score's slope and offset instead.
-    Without texts of one class the model is a constant: 1 unless only class 0 is known.
+    smallest hash of their id, one text per id; every fifth of them sets the score's slope and offset instead.
+    Texts are read whole, however long. Without texts of one class the model is a constant: 1 unless only class 0 is known.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null")
     train = docs.select(F.col(id_col).alias("_id"), text_col)
@@ -141,7 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 8_000, id_col: str =
                                                   "cols": pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(col.astype(np.int32)))})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = train.join(F.broadcast(some), "_id").mapInArrow(gather, f"_id {kind}, _y int, cols array<int>").toArrow()  # max_fit rows
+    # of rows that share an id, the text with the smallest hash
+    one = train.join(F.broadcast(some), "_id").groupBy("_id", "_y").agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), F.col(text_col))).alias(text_col)).select("_id", text_col, "_y")
+    rows = one.mapInArrow(gather, f"_id {kind}, _y int, cols array<int>").toArrow()  # max_fit rows
     y = np.where(rows.column("_y").to_numpy() > 0, 1, -1)
     if len(set(y.tolist())) < 2:
         return {"constant": 0.0 if len(y) and y[0] < 0 else 1.0}
@@ -154,11 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 8_000, id_col: str =
     if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart[:] = False
     use = np.flatnonzero(~apart)
-    w, bias = dual_descent([cols[i] for i in use], ratio, y[use])
+    w, bias, gap = dual_descent([cols[i] for i in use], ratio, y[use])
     test = np.flatnonzero(apart) if apart.any() else use
     margin = np.array([w[cols[i]] @ ratio[cols[i]] / max(np.linalg.norm(ratio[cols[i]]), 1e-12) + bias for i in test])
     slope, offset = _sigmoid_fit(margin, y[test])
-    return {"weight": (w * ratio).astype(np.float32), "square": (ratio**2).astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
+    return {"weight": (w * ratio).astype(np.float32), "square": (ratio**2).astype(np.float32), "bias": bias, "gap": gap, "slope": slope, "offset": offset}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None,

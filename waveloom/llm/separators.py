@@ -16,8 +16,8 @@ def write_flat(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, id_co
     """Encode texts to flat token files below ``path``/tokens and note the texts' order in ``path``/order.
 
     A file is the ids of its texts, one after another, each closed by ``end_id``, as little-endian
-    integers, cut into blocks of ``block_bytes`` bytes with no regard to texts: row (file, block,
-    data). Nothing in it says where a text begins. Strings of special tokens in a text are encoded as
+    integers of ``width`` bytes, cut into blocks of ``block_bytes`` bytes with no regard to texts: row (file, block,
+    data, width). Nothing in it says where a text begins. Strings of special tokens in a text are encoded as
     ordinary text, so the end id occurs at the ends only. ``order`` has (file, place, id): the place
     of each text in its file. One task writes one file, whole or not at all.
     """
@@ -27,35 +27,37 @@ def write_flat(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, id_co
         from pyspark import TaskContext
 
         coder, file = wordbpe.load(box.value), TaskContext.get().partitionId()
-        buffer, block, place = bytearray(), 0, 0
+        buffer, block, place, width = bytearray(), 0, 0, None
 
         def row(data):
-            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary()),
+            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary()), "width": pa.array([width], pa.int32()),
                                                "place": pa.array([None], pa.int64()), "id": pa.array([None], pa.int64())})
 
         for batch in batches:
             names = batch.schema.names
             texts = utf8(batch.column(names.index(text_col)))
             for lo in range(0, len(texts), 512):
-                buffer += coder.encode_arrow(texts.slice(lo, 512), end_id, literal=True)[0].tobytes()
+                ids = coder.encode_arrow(texts.slice(lo, 512), end_id, literal=True)[0]
+                width = ids.dtype.itemsize
+                buffer += ids.tobytes()
                 while len(buffer) >= block_bytes:
                     yield row(bytes(buffer[:block_bytes]))
                     del buffer[:block_bytes]
                     block += 1
             n = len(texts)
-            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.int32()), "block": pa.nulls(n, pa.int64()), "data": pa.nulls(n, pa.binary()),
+            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.int32()), "block": pa.nulls(n, pa.int64()), "data": pa.nulls(n, pa.binary()), "width": pa.nulls(n, pa.int32()),
                                               "place": pa.array(range(place, place + n), pa.int64()), "id": batch.column(names.index(id_col)).cast(pa.int64())})
             place += n
         if buffer:
             yield row(bytes(buffer))
 
-    both = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(encode, "file int, block long, data binary, place long, id long")
+    both = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(encode, "file int, block long, data binary, width int, place long, id long")
     # one pass writes both: rows with data are token blocks, the others are the order of the texts
     both.withColumn("kind", F.when(F.col("data").isNull(), "order").otherwise("tokens")).write.option("compression", "zstd").partitionBy("kind").parquet(path)
 
 
 def count_tokens(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
-    """file, place, start, n_tokens of every text in flat token files (file, block, data).
+    """file, place, start, n_tokens of every text in flat token files (file, block, data, and ``width``: bytes of an id; 2 where there is no such column).
 
     Each block is searched on its own, by one vectorised comparison; it yields its number of ids, its
     number of end ids and their positions. A prefix sum over the blocks of a file gives each block
@@ -68,12 +70,13 @@ def count_tokens(blocks: DataFrame, end_id: int, width: int = 2) -> DataFrame:
     def scan(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = np.frombuffer(batch.column(2)[k].as_py(), f"<u{width}")
+                ids = np.frombuffer(batch.column(2)[k].as_py(), f"<u{batch.column(3)[k].as_py()}")
                 at = np.flatnonzero(ids == end_id)
                 yield pa.RecordBatch.from_pydict({"file": batch.column(0).slice(k, 1), "block": batch.column(1).slice(k, 1), "n_ids": [len(ids)], "n_ends": [len(at)],
                                                   "last": pa.array([int(at[-1]) if len(at) else None], pa.int64()), "ends": pa.array([at.astype(np.int32)], pa.list_(pa.int32()))})
 
-    found = blocks.select("file", "block", "data").mapInArrow(scan, "file int, block long, n_ids long, n_ends long, last long, ends array<int>")
+    wide = F.coalesce("width", F.lit(width)) if "width" in blocks.columns else F.lit(width)
+    found = blocks.select("file", "block", "data", wide.alias("width")).mapInArrow(scan, "file int, block long, n_ids long, n_ends long, last long, ends array<int>")
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     up_to = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     stitched = (found.withColumn("begin", F.coalesce(F.sum("n_ids").over(w), F.lit(0)))
@@ -104,8 +107,8 @@ def document_counts(docs: DataFrame, vocabulary: bytes, end_id: int, id_col: str
     spark = docs.sparkSession
     path = f"{Scratch(spark).root}/flat"
     write_flat(docs, path, vocabulary, end_id, id_col, text_col)
-    both = spark.read.schema("file int, block long, data binary, place long, id long, kind string").parquet(path)
-    counts = count_tokens(both.filter("kind = 'tokens'").select("file", "block", "data"), end_id)
+    both = spark.read.schema("file int, block long, data binary, width int, place long, id long, kind string").parquet(path)
+    counts = count_tokens(both.filter("kind = 'tokens'").select("file", "block", "data", "width"), end_id)
     order = both.filter("kind = 'order'").select("file", "place", F.col("id").alias(id_col))
     return order.join(counts, ["file", "place"]).select(id_col, "file", "place", "start", "n_tokens")
 
