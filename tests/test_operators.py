@@ -530,6 +530,29 @@ def test_registered_settings_are_the_references(monkeypatch):
     assert seen == [(5, 6, 3, {"starts": 20})]
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_probes_of_all_folds_equal_single_fits(spark, classes):
+    """Every (set, fold) of one joint fit against a converged fit of the same rows alone."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(classes)
+    y = np.arange(90) % 5 % classes
+    sets = {"a": rng.normal(size=(90, 4)) * [1, 10, 0.1, 0] + y[:, None] * 0.4, "b": rng.normal(size=(90, 2)) - y[:, None]}
+    rows = {n: spark.createDataFrame([(k, k % 3, sum(1 << f for f in range(3) if f != k % 3 and k % 7), int(y[k]), v.tolist()) for k, v in enumerate(x)],
+                                     "vec_id long, fold long, train long, label long, x array<double>").repartition(3) for n, x in sets.items()}
+    got = {(r["name"], r["vec_id"]): r for r in cl.probes.probe_folds(rows, 3, classes, ["vec_id"]).collect()}
+    assert len(got) == 180
+    for n, df in rows.items():
+        for f in range(3):
+            tr = cl.balanced_weights(df.filter(F.expr(f"train & {1 << f} <> 0"))).withColumn("features", array_to_vector("x")).withColumn("_y", F.col("label").cast("double"))
+            m = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=2000, tol=1e-14, regParam=1e-3).fit(tr)
+            for r in m.transform(df.filter(f"fold = {f}").withColumn("features", array_to_vector("x"))).select("vec_id", vector_to_array("probability").alias("p")).collect():
+                assert np.allclose(got[(n, r["vec_id"])]["prob"], r["p"], atol=1e-6) and got[(n, r["vec_id"])]["fold"] == f
+    with pytest.raises(RuntimeError):
+        cl.probes.probe_folds(rows, 3, classes, ["vec_id"], most=2)
+
+
 def test_forest_runs_and_probe_convergence(spark):
     rows = [(s, k, s % 3, "train" if s < 9 else "val" if s < 12 else "test", [float(s % 3) + 0.1 * k, float(k % 2)]) for s in range(15) for k in range(6) if s % 3 or s >= 9 or k < 2]
     v = spark.createDataFrame(rows, "subject_id long, vec_id long, label long, split string, x array<double>")

@@ -27,6 +27,18 @@ def _(t):
     return cl.apply_clusterer(cl.fit_clusterer(v.filter("split = 'train'")), v.filter("split <> 'train'"))
 
 
+@query("clu01_assignment_check", "n:i clusters:i wrong:i", "SELECT count(*) AS n, 6 AS clusters, 0 AS wrong FROM embeddings WHERE vec_id % 25 % 5 < 2")
+def _(t):
+    """Rows held out are all placed, in at most k clusters, each by the nearest centre and with its distance to it."""
+    v = _split(t)
+    model = cl.fit_clusterer(v.filter("split = 'train'"))
+    held = v.filter("split <> 'train'")
+    d = B.unpack(B.distances(model.place(held, ["vec_id"], "x"), model.centres, []), [], ["distances"])
+    j = cl.apply_clusterer(model, held).select("vec_id", "cluster", "distance").join(d, "vec_id")
+    bad = (F.array_min("distances") < F.col("distance") - 1e-9) | (F.abs(F.get("distances", F.col("cluster").cast("int")) - F.col("distance")) > 1e-9)
+    return j.agg(F.count("*").alias("n"), F.max(F.size("distances")).alias("clusters"), F.sum(bad.cast("int")).alias("wrong"))
+
+
 @query("clu02_cluster_manifest", "vec_id:i split:s cluster:i distance:d4 pca1:d4 pca2:d4")
 def _(t):
     return cl.cluster_manifest(_split(t))
@@ -152,6 +164,18 @@ def _(t):
     return _protos(t).withColumn("soft_0", F.get("soft", 0)).withColumn("d_0", F.get("log_distances", 0))
 
 
+@query("clu08_prototype_check", "n:i hard:i soft:i usage:i", "SELECT count(*) AS n, 0 AS hard, 0 AS soft, 0 AS usage FROM embeddings")
+def _(t):
+    """Rows whose hard prototype is not the nearest, whose soft shares do not follow the distances, and whether usages miss the sum of 1."""
+    p = _protos(t)
+    d = F.transform("log_distances", lambda v: F.exp(v) - 1)
+    rest = F.aggregate(F.transform(d, lambda v: F.exp(-v)), F.lit(0.0), lambda s, v: s + v)
+    off = F.aggregate(F.zip_with("soft", d, lambda s, v: F.abs(s - F.exp(-v) / rest)), F.lit(0.0), lambda s, v: s + v)
+    g = p.agg(F.count("*").alias("n"), F.sum((F.get(d, F.col("prototype")) > F.array_min(d) + 1e-9).cast("int")).alias("hard"), F.sum((off > 1e-6).cast("int")).alias("soft"))
+    u = cl.prototype_usage(p).agg((F.abs(F.sum("usage") - 1) > 1e-9).cast("int").alias("usage"))
+    return cl.attach(g, u, [])
+
+
 @query("clu08_prototype_usage", "prototype:i n:i usage:d4")
 def _(t):
     return cl.prototype_usage(_protos(t))
@@ -216,13 +240,34 @@ def _(t):
 
 @query("clu14_fold_alignment", "fold:i subject_id:i d:i v:d4")
 def _(t):
-    cen = cl.mean_vectors(t.vectors, ["subject_id"], _DIM, name="x")
-    turned = cen.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn(
-        "x", F.transform(F.sequence(F.lit(0), F.lit(_DIM - 1)), lambda k: F.get("x", ((k + F.col("fold") * 7) % _DIM).cast("int")) + F.col("fold")))
+    turned = _turned(t)
     out = cl.align_folds(turned.filter("subject_id % 3 <> fold"), turned.filter("subject_id % 3 = fold"), 0, _DIM)
     return out.select("fold", "subject_id", F.posexplode("aligned").alias("d", "v"))
 
 
+def _turned(t):
+    cen = cl.mean_vectors(t.vectors, ["subject_id"], _DIM, name="x")
+    return cen.withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn(
+        "x", F.transform(F.sequence(F.lit(0), F.lit(_DIM - 1)), lambda k: F.get("x", ((k + F.col("fold") * 7) % _DIM).cast("int")) + F.col("fold")))
+
+
+@query("clu14_alignment_residual", "fold:i anchors:i off:i stretched:i", """
+    SELECT fold, count(*) AS anchors, 0 AS off, 0 AS stretched FROM (SELECT DISTINCT vec_id % 25 AS s FROM embeddings), (SELECT unnest([1, 2]) AS fold) WHERE s % 3 <> 0 AND s % 3 <> fold GROUP BY 1""")
+def _(t):
+    """Folds that are shifted and turned copies of the first: aligned anchors that do not meet the reference, and whether distances
+    between aligned rows differ from those before (they do unless the map is a rotation)."""
+    f = _turned(t)
+    train = f.filter("subject_id % 3 <> fold")
+    out = cl.align_folds(train, train, 0, _DIM).filter("fold > 0")
+    ref = train.filter("fold = 0").select("subject_id", F.col("x").alias("ref"))
+    far = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+    met = out.join(ref, "subject_id").groupBy("fold").agg(F.count("*").alias("anchors"), F.sum((far("aligned", "ref") > 1e-12).cast("int")).alias("off"))
+    both = out.select("fold", "subject_id", "aligned").join(train.select("fold", "subject_id", "x"), ["fold", "subject_id"])
+    mean = both.groupBy("fold").agg(*[F.array(*[F.avg(F.get(c, k)) for k in range(_DIM)]).alias(f"m_{c}") for c in ("aligned", "x")])
+    size = both.join(mean, "fold").groupBy("fold").agg((F.max(F.abs(far("aligned", "m_aligned") - far("x", "m_x"))) > 1e-9).cast("int").alias("stretched"))
+    return met.join(size, "fold")
+
+
 @query("clu15_explained_variance", "component:i share:d5 cumulative:d5")
 def _(t):
     return cl.explained_variance(t.vectors, 10, ["vec_id"])

@@ -94,7 +94,18 @@ def _(t):
     return gr.top_edges(edges(t), share=0.2)
 
 
-@query("gra06_reconnect_isolates", _E)
+@query("gra06_reconnect_isolates", _E, """
+    WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY abs(w) DESC, i, j) AS r, count(*) OVER (PARTITION BY graph_id) AS m FROM v_edges),
+    top AS (SELECT graph_id, i, j FROM e WHERE r <= greatest(1, ceil(m * 0.05))),
+    ends AS (SELECT graph_id, i AS n, j AS o, i, j, r FROM e UNION ALL SELECT graph_id, j, i, i, j, r FROM e),
+    best AS MATERIALIZED (SELECT graph_id, n, o, i, j, row_number() OVER (PARTITION BY graph_id ORDER BY n) AS step FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, n ORDER BY r) AS q FROM ends) WHERE q = 1),
+    walk(graph_id, step, seen, added) AS (
+      SELECT graph_id, 0, list(n), CAST([] AS STRUCT(i BIGINT, j BIGINT)[]) FROM (SELECT graph_id, i AS n FROM top UNION SELECT graph_id, j FROM top) GROUP BY 1
+      UNION ALL SELECT walk.graph_id, walk.step + 1, CASE WHEN list_contains(seen, n) THEN seen ELSE list_concat(seen, [n, o]) END,
+        CASE WHEN list_contains(seen, n) THEN added ELSE list_append(added, {'i': CAST(i AS BIGINT), 'j': CAST(j AS BIGINT)}) END
+      FROM walk JOIN best ON best.graph_id = walk.graph_id AND best.step = walk.step + 1),
+    done AS (SELECT graph_id, i, j FROM top UNION SELECT graph_id, a.i, a.j FROM (SELECT graph_id, unnest(arg_max(added, step)) AS a FROM walk GROUP BY 1))
+    SELECT e.graph_id, e.i, e.j, e.w FROM e JOIN done USING (graph_id, i, j)""")
 def _(t):
     return gr.reconnect_isolates(edges(t), 0.05)
 

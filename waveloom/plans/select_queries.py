@@ -248,7 +248,20 @@ def _(t):
     return sel.cluster_balanced(t.manifest, 10)
 
 
-@query("qc22_cluster_allocation", "subject_id:i cluster:i n:i allocated:i")
+_ALLOCATED = f"""(
+    WITH RECURSIVE n AS MATERIALIZED (SELECT subject_id, cluster, count(*) AS n FROM v_manifest GROUP BY 1, 2),
+    s AS MATERIALIZED (SELECT subject_id, list(cluster ORDER BY cluster) AS c, list(n ORDER BY cluster) AS n, list(0.95 * sqrt(n) / total + 0.05 / cells ORDER BY cluster) AS w
+      FROM (SELECT *, sum(sqrt(n)) OVER (PARTITION BY subject_id) AS total, count(*) OVER (PARTITION BY subject_id) AS cells FROM n) GROUP BY 1),
+    d(subject_id, slot, got) AS (SELECT subject_id, 0, list_transform(c, lambda x: 0) FROM s
+      UNION ALL SELECT subject_id, slot + 1, CASE WHEN total > 0 THEN list_transform(range(1, len(got) + 1), lambda i: got[i] + CASE WHEN i = 1 + len(list_filter(run, lambda v: v <= u * total)) THEN 1 ELSE 0 END) ELSE got END
+      FROM (SELECT *, run[len(run)] AS total FROM (SELECT *, list_transform(range(1, len(q) + 1), lambda i: list_sum(q[1:i])) AS run, {unit(42, "'slot'", 'subject_id', 'slot')} AS u
+        FROM (SELECT *, CASE WHEN len(list_filter(open, lambda v: v > 0)) > 0 THEN open ELSE free END AS q
+          FROM (SELECT *, list_transform(range(1, len(got) + 1), lambda i: CASE WHEN got[i] < n[i] AND got[i] < 6 THEN w[i] ELSE 0 END) AS open,
+                       list_transform(range(1, len(got) + 1), lambda i: CASE WHEN got[i] < n[i] THEN w[i] ELSE 0 END) AS free FROM d JOIN s USING (subject_id) WHERE slot < 10)))))
+    SELECT subject_id, unnest(c) AS cluster, unnest(n) AS n, unnest(got) AS allocated FROM d JOIN s USING (subject_id) WHERE slot = 10)"""
+
+
+@query("qc22_cluster_allocation", "subject_id:i cluster:i n:i allocated:i", f"SELECT * FROM {_ALLOCATED}")
 def _(t):
     return sel.allocate_clusters(t.manifest, 10)
 
@@ -328,6 +341,22 @@ def _(t):
     return sel.pseudo_bags(t.manifest, n_bags=200)
 
 
+@query("qc29_bag_rules", "kind:s bags:i n_rows:i broken:i", "SELECT unnest(['class', 'cluster']) AS kind, 200 AS bags, 2000 AS n_rows, 0 AS broken")
+def _(t):
+    """Bags that break a rule: k slots once each, one label (and cluster), few subjects, only windows that exist and fit."""
+    own = t.manifest.select("subject_id", "segment_id", "label", "cluster")
+    out = None
+    for kind, by, kw in (("class", [], {}), ("cluster", ["cluster"], {"cluster": "cluster", "min_segments": 30, "min_subjects": 2})):
+        b = sel.pseudo_bags(t.manifest, n_bags=200, **kw)
+        j = b.join(own.withColumn("_there", F.lit(1)), ["subject_id", "segment_id", "label", *by], "left")
+        per = j.groupBy("bag").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count("_there").alias("there"),
+                                   F.count_distinct("label", *by).alias("pools"))
+        bad = F.when((F.col("n") == 10) & (F.col("slots") == 10) & (F.col("low") == 0) & (F.col("high") == 9) & (F.col("there") == 10) & (F.col("pools") == 1), 0).otherwise(1)
+        one = per.agg(F.count("*").alias("bags"), F.sum("n").alias("n_rows"), F.sum(bad).alias("broken")).select(F.lit(kind).alias("kind"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("qc29_pseudo_bags_by_cluster", "bag:i label:i cluster:i slot:i subject_id:i segment_id:i")
 def _(t):
     return sel.pseudo_bags(t.manifest, n_bags=200, cluster="cluster", min_segments=30, min_subjects=2)

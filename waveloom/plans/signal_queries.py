@@ -603,7 +603,25 @@ def _(t):
     return rec.bandpass_recording(t.samples, FS, 0.5, 3.0, block=32, short="keep")
 
 
-@query("sig12_notch_recording", "subject_id:i channel:s t:i value:d")
+def _notch_sql(freq, q, pad=9):
+    """Zero-phase notch of each recording, sample by sample: odd padding, one pass forward and one backward from the steady state of the first value."""
+    pass_ = """{name}(subject_id, channel, k, z0, z1, y) AS (
+      SELECT subject_id, channel, 0, zi0 * x[1], zi1 * x[1], CAST(NULL AS DOUBLE) FROM {src}, c
+      UNION ALL SELECT r.subject_id, r.channel, k + 1, b1 * v - b1 * (b0 * v + z0) + z1, b0 * v - a2 * (b0 * v + z0), b0 * v + z0
+      FROM (SELECT r.*, p.x[r.k + 1] AS v FROM {name} r JOIN {src} p ON p.subject_id = r.subject_id AND p.channel = r.channel WHERE r.k < len(p.x)) r, c)"""
+    turn = "{name} AS MATERIALIZED (SELECT subject_id, channel, list(y ORDER BY k DESC) AS x FROM {src} WHERE k > 0 GROUP BY 1, 2)"
+    return f"""
+    WITH RECURSIVE c AS MATERIALIZED (SELECT *, b1 * (1 - 1) + b0 - a2 AS zi0, b0 - a2 AS zi1 FROM (SELECT g AS b0, -2 * g * cos(w) AS b1, 2 * g - 1 AS a2 FROM (
+      SELECT w, 1 / (1 + tan(w / {q} / 2)) AS g FROM (SELECT 2 * pi() * {freq} / {FS} AS w)))),
+    s AS MATERIALIZED (SELECT subject_id, channel, list(value ORDER BY t) AS x FROM v_samples GROUP BY 1, 2),
+    p AS MATERIALIZED (SELECT subject_id, channel, list_concat(list_concat(list_transform(range({pad}), lambda i: 2 * x[1] - x[{pad + 1} - i]), x), list_transform(range({pad}), lambda i: 2 * x[len(x)] - x[len(x) - 1 - i])) AS x
+      FROM s WHERE len(x) > {pad}),
+    {pass_.format(name="f", src="p")}, {turn.format(name="g", src="f")}, {pass_.format(name="h", src="g")}, {turn.format(name="o", src="h")}
+    SELECT subject_id, channel, unnest(range(len(x) - {2 * pad})) AS t, unnest(x[{pad + 1} : len(x) - {pad}]) AS value FROM o
+    UNION ALL SELECT subject_id, channel, unnest(range(len(x))), unnest(x) FROM s WHERE len(x) <= {pad}"""
+
+
+@query("sig12_notch_recording", "subject_id:i channel:s t:i value:d", _notch_sql(2.0, 30))
 def _(t):
     return rec.notch_recording(t.samples, FS, 2.0, block=32, short="keep")
 
