@@ -6,7 +6,7 @@ hash; an alignment is a leak if it covers the item and its placeholders are fill
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -42,14 +42,14 @@ def _template(x: Column) -> Column:
     return F.when(x < _FIRST_WORD, F.substring(x, 1, 1)).otherwise(x)
 
 
-def windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
-    """keys, at (from 0), h: hash of each window of ``window`` template tokens of ``tok``; ``window`` is a power of 2.
+def windows(df: DataFrame, keys: list[str], window: int, literal: bool = False) -> DataFrame:
+    """keys, at (from 0), h: hash of each window of ``window`` tokens of ``tok``, as templates or ``literal``; ``window`` is a power of 2.
 
     Hashes of 1, 2, 4, ... tokens are built from two of half the length, so a token is read once.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of 2")
-    d = df.select(*keys, F.transform("tok", lambda x: F.xxhash64(_template(x))).alias("h"))
+    d = df.select(*keys, F.transform("tok", lambda x: F.xxhash64(x if literal else _template(x))).alias("h"))
     step = 1
     while step < window:
         d = d.select(*keys, F.zip_with("h", F.slice("h", step + 1, F.greatest(F.size("h"), F.lit(1))), lambda a, b: F.xxhash64(a, b)).alias("h"))
@@ -58,36 +58,82 @@ def windows(df: DataFrame, keys: list[str], window: int) -> DataFrame:
     return d.select(*keys, F.posexplode(full).alias("at", "h"))
 
 
+def _short(texts: DataFrame, items: DataFrame, window: int, least: int) -> DataFrame | None:
+    """doc_id, item_id of texts that hold an item of fewer than ``window`` tokens word for word, whole; items of fewer than ``least`` tokens
+    must be the whole text."""
+    few = items.filter(F.size("tok") < window)
+    sizes = [r[0] for r in few.select(F.size("tok")).distinct().collect()]  # fewer than ``window`` numbers
+    out = None
+    for n in sizes:
+        some = few.filter(F.size("tok") == n).select("item_id", F.col("tok").alias("b"), F.xxhash64("tok").alias("h"))
+        t = texts.select("doc_id", tokens(F.col("_text")).alias("tok")).filter(F.size("tok") >= n if n >= least else F.size("tok") == n)
+        at = F.sequence(F.lit(0), F.size("tok") - n)
+        met = t.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("tok", i + 1, n))))).alias("h")).join(some, "h").select("doc_id", "item_id", "b").distinct()
+        # equal hashes are compared word for word
+        sure = t.join(met, "doc_id").filter(F.exists(at, lambda i: F.slice("tok", i + 1, n) == F.col("b")))
+        slots = F.size(F.filter("b", lambda x: x < _FIRST_WORD))
+        one = sure.select("doc_id", "item_id", F.lit(1.0).alias("coverage"), slots.alias("n_slots"), F.lit(0).alias("n_changed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_coverage: float = 0.7, id_col: str = "doc_id", text_col: str = "text",
-               item_col: str = "item_id", item_text: str = "text", min_consistent: float = 0.8) -> DataFrame:
+               item_col: str = "item_id", item_text: str = "text", min_consistent: float = 0.8, slip: int = 8, least: int = 3) -> DataFrame:
     """doc_id, item_id, coverage, n_slots, n_changed: one row per text and benchmark item that it holds.
 
-    A text holds an item if, at one alignment that shares a template window, at least ``min_coverage`` of the
-    item's tokens have equal templates and the slots are consistent: at least ``min_consistent`` of them hold the value
-    that the text has most often for the item's value, for names, numbers and units alike. Where the equal tokens
-    alone reach ``min_coverage``, slots are not judged. So the item itself, also with a slot altered, and the
-    item with other numbers or names are found, a text that merely has the same shape is not. Of several alignments the best is reported. n_changed counts slots whose value differs.
+    A text and an item are aligned where they share a window: as templates, or word for word if the window has more placeholders
+    than words. Alignments of one item whose distances (place in the text minus place in the item) follow each other within ``slip`` are also
+    taken together: each token of the item is then compared at the distance of the shared window nearest to it (of equally near ones the
+    distance that shares most windows, then the smallest), so tokens that are added or dropped do not lose the rest of the item.
 
-    Null or empty texts and items give no rows. Items of fewer than ``window`` tokens and windows with more
-    placeholders than words are not searched. Rows with a null id are not judged. Repeated rows and
-    repeated items give one row per pair of ids. Other columns are not read, whatever their names.
+    A text holds the item if at least ``min_coverage`` of the item's tokens have equal templates and the slots are consistent: at least
+    ``min_consistent`` of them hold the value that the text has most often for the item's value, for names, numbers and units alike. Where the equal
+    tokens alone reach ``min_coverage``, slots are not judged. So the item itself, also with a slot altered, and the item with other numbers or names are
+    found, a text that merely has the same shape is not. Of several alignments the best is reported. n_changed counts slots whose value
+    differs. Items of fewer than ``window`` tokens are held where they stand word for word; of fewer than ``least``, as the whole text.
 
-    The windows of the benchmark are written as a table first, and so are the few alignments found; the planner
-    broadcasts either only if its written size is under the session's limit, and shuffles by hash
+    Null or empty texts and items give no rows. Rows with a null id are not judged (give them a key of their own, as the pipeline
+    does). Repeated rows and repeated items give one row per pair of ids. Other columns are not read, whatever their names.
+
+    The windows of the benchmark are written as a table first, and so are the windows shared and the tokens of the texts that share any; the planner
+    broadcasts a table only if its written size is under the session's limit, and shuffles by hash
     otherwise. Alignments are compared exactly, so equal hashes of different windows do no harm.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).filter("doc_id is not null")
-    items, _ = scratch.land(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tok")).filter(f"item_id is not null and size(tok) >= {window}"))
-    near = windows(items, ["item_id", "tok"], window)
+    items, _ = scratch.land(benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("tok")).filter("item_id is not null and size(tok) > 0"))
+    long = items.filter(F.size("tok") >= window)
     words = F.size(F.filter(F.slice("tok", F.col("at") + 1, window), lambda x: x >= _FIRST_WORD))
-    near, _ = scratch.land(near.filter(words * 2 >= window).select("item_id", F.col("at").alias("item_at"), "h"))
-    every = windows(texts.select("doc_id", tokens(F.col("_text")).alias("tok")), ["doc_id"], window)
-    hits, _ = scratch.land(every.join(near, "h").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct())
-
-    both = (texts.join(hits, "doc_id").withColumn("d", tokens(F.col("_text"))).drop("_text")
-            .join(items.withColumnRenamed("tok", "b"), "item_id"))
-    pairs = F.transform("b", lambda x, i: F.struct(x.alias("b"), F.when(i + F.col("shift") >= 0, F.get("d", i + F.col("shift"))).alias("d")))
+    own = lambda literal: windows(long, ["item_id", "tok"], window, literal)
+    near, _ = scratch.land(own(False).filter(words * 2 >= window).select("item_id", F.col("at").alias("item_at"), "h"))
+    dense, _ = scratch.land(own(True).filter(words * 2 < window).select("item_id", F.col("at").alias("item_at"), "h"))
+
+    def shared(of_items, literal):
+        every = windows(texts.select("doc_id", tokens(F.col("_text")).alias("tok")), ["doc_id"], window, literal)
+        return every.join(of_items, "h").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+
+    hits = shared(near, False)
+    if not dense.isEmpty():
+        hits = hits.unionByName(shared(dense, True))
+    hits, _ = scratch.land(hits.distinct())
+
+    by = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("ats"))
+    gap = F.col("shift") - F.lag("shift").over(by) > slip
+    runs = runs.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("cluster", F.sum("new").over(by))
+    run = F.struct((-F.size("ats")).alias("few"), "shift", "ats")
+    one = runs.select("doc_id", "item_id", F.array(run).alias("runs"))
+    together = runs.groupBy("doc_id", "item_id", "cluster").agg(F.collect_list(run).alias("runs")).filter(F.size("runs") > 1).select("doc_id", "item_id", "runs")
+    held, _ = scratch.land(texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("_text")).alias("d")))
+
+    def shift_at(i):
+        away = lambda r: F.array_min(F.transform(r["ats"], lambda a: F.greatest(a - i, i - a - (window - 1), F.lit(0))))
+        best = F.array_min(F.transform("runs", lambda r: F.struct(away(r).alias("away"), r["few"].alias("few"), r["shift"].alias("shift"))))["shift"]
+        return F.when(F.size("runs") == 1, F.get("runs", 0)["shift"]).otherwise(best)
+
+    both = one.unionByName(together).join(held, "doc_id").join(long.withColumnRenamed("tok", "b"), "item_id")
+    place = F.transform("b", lambda x, i: F.struct(x.alias("b"), (i + shift_at(i)).alias("at")))
+    pairs = F.transform(place, lambda p: F.struct(p["b"].alias("b"), F.when(p["at"] >= 0, F.get("d", p["at"])).alias("d")))
     agree = F.filter(pairs, lambda p: _template(p["b"]).eqNullSafe(_template(p["d"])))
     both = both.select("doc_id", "item_id", F.size("b").alias("n"), agree.alias("agree"))
     slots = F.filter("agree", lambda p: p["b"] < _FIRST_WORD)
@@ -96,13 +142,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_cover
     both, _ = scratch.land(both.filter(F.col("coverage") >= min_coverage))  # the few to be judged; each slot list is read many times
     kinds = F.array_distinct("slots")
     one = lambda side: F.array_distinct(F.transform("slots", lambda p: p[side]))
-    strict = (F.size(kinds) == F.size(one("b"))) & (F.size(kinds) == F.size(one("d")))
     # slots that hold the text's most frequent value for the item's value
     times = lambda q: F.size(F.filter("slots", lambda p: p == q))
     follow = F.aggregate(one("b"), F.lit(0), lambda n, x: n + F.array_max(F.transform(F.filter(kinds, lambda q: q["b"] == x), times)))
     most = F.size("slots") - (F.size(kinds) - F.size(one("b")))  # never less than follow, and cheap
-    found = both.filter((F.col("literal") >= min_coverage) | strict | ((most >= F.size("slots") * min_consistent) & (follow >= F.size("slots") * min_consistent))).select(
+    found = both.filter((F.col("literal") >= min_coverage) | ((most >= F.size("slots") * min_consistent) & (follow >= F.size("slots") * min_consistent))).select(
         "doc_id", "item_id", "coverage", F.size("slots").alias("n_slots"), F.size(F.filter("slots", lambda p: p["b"] != p["d"])).alias("n_changed"))
+    short = _short(texts, items, window, least)
+    if short is not None:
+        found = found.unionByName(short)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", (-F.col("n_changed")).alias("same"), "n_slots")).alias("x"))
     return best.select("doc_id", "item_id", F.col("x.coverage").alias("coverage"), F.col("x.n_slots").cast("long").alias("n_slots"), (-F.col("x.same")).cast("long").alias("n_changed"))
 
@@ -125,26 +173,38 @@ def _sql_tokens(text: str) -> str:
     return f"list_filter(regexp_split_to_array({unit}, {q(SPLIT)}), lambda x: x <> '')"
 
 
-def oracle(window: int = 8, min_coverage: float = 0.7) -> str:
-    """DuckDB SQL for ``query``: windows are compared as text instead of by hash."""
+def oracle(window: int = 8, min_coverage: float = 0.7, min_consistent: float = 0.8, slip: int = 8, least: int = 3) -> str:
+    """DuckDB SQL for ``query``: windows and short items are compared as text instead of by hash, alignments position by position."""
     tpl = "CASE WHEN {x} < chr(5) THEN {x}[1:1] ELSE {x} END"
-    cut = f"array_to_string(list_transform(tok[p : p + {window - 1}], lambda x: {tpl.format(x='x')}), ' ')"
+    kept = "row_number() OVER () AS rid"
+    cut = f"""SELECT {{key}}, p, count(*) OVER w AS n, sum(CASE WHEN x >= chr(5) THEN 1 ELSE 0 END) OVER w AS words, string_agg({tpl.format(x='x')}, ' ') OVER w AS cut,
+      chr(7) || string_agg(x, ' ') OVER w AS exact FROM {{src}} WINDOW w AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)"""
     return f"""
-WITH d AS (SELECT doc_id, {_sql_tokens('text')} AS tok FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, {_sql_tokens('text')} AS tok FROM benchmark WHERE item_id IS NOT NULL),
-dw AS (SELECT doc_id, p, {cut} AS w FROM (SELECT doc_id, tok, unnest(range(1, len(tok) - {window - 2})) AS p FROM d)),
-bw AS (SELECT item_id, p, {cut} AS w FROM (SELECT item_id, tok, unnest(range(1, len(tok) - {window - 2})) AS p FROM b)
-       WHERE 2 * len(list_filter(tok[p : p + {window - 1}], lambda x: x >= chr(5))) >= {window}),
-hits AS (SELECT DISTINCT doc_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (w)),
-pairs AS (SELECT doc_id, item_id, shift, len(b.tok) AS n, unnest(range(1, len(b.tok) + 1)) AS i, b.tok AS bt, d.tok AS dt
-          FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
-agree AS (SELECT * FROM (SELECT doc_id, item_id, shift, n, bt[i] AS x, CASE WHEN i + shift >= 1 THEN dt[i + shift] END AS y FROM pairs)
-          WHERE {tpl.format(x='x')} = {tpl.format(x='y')}),
-found AS (SELECT doc_id, item_id, shift, count(*) / any_value(n) AS coverage, count(*) FILTER (x < chr(5)) AS n_slots, count(*) FILTER (x < chr(5) AND x <> y) AS n_changed
-          FROM agree GROUP BY doc_id, item_id, shift
-          HAVING count(*) / any_value(n) >= {min_coverage}
-             AND count(DISTINCT x || chr(6) || y) FILTER (x < chr(5)) = count(DISTINCT x) FILTER (x < chr(5))
-             AND count(DISTINCT x || chr(6) || y) FILTER (x < chr(5)) = count(DISTINCT y) FILTER (x < chr(5)))
+WITH d AS MATERIALIZED (SELECT {kept}, doc_id, {_sql_tokens('text')} AS tok FROM documents WHERE doc_id IS NOT NULL),
+b AS MATERIALIZED (SELECT {kept}, item_id, {_sql_tokens('text')} AS tok FROM benchmark WHERE item_id IS NOT NULL),
+dt AS MATERIALIZED (SELECT rid, doc_id, unnest(tok) AS x, unnest(range(1, len(tok) + 1)) AS p FROM d),
+bt AS MATERIALIZED (SELECT rid, item_id, len(tok) AS n_tok, unnest(tok) AS x, unnest(range(1, len(tok) + 1)) AS p FROM b),
+dk AS MATERIALIZED ({cut.format(key='doc_id', src='dt')}),
+bk AS ({cut.format(key='item_id', src='bt')}),
+dw AS (SELECT doc_id, p, cut AS w FROM dk WHERE n = {window} UNION ALL SELECT doc_id, p, exact FROM dk WHERE n = {window} AND 2 * words < {window}),
+bw AS (SELECT item_id, p, CASE WHEN 2 * words >= {window} THEN cut ELSE exact END AS w FROM bk WHERE n = {window}),
+hits AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, bw.p AS spot, dw.p - bw.p AS shift FROM dw JOIN bw USING (w)),
+runs AS (SELECT doc_id, item_id, shift, count(*) AS n FROM hits GROUP BY 1, 2, 3),
+marked AS (SELECT *, CASE WHEN shift - lag(shift) OVER w <= {slip} THEN 0 ELSE 1 END AS new FROM runs WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY shift)),
+clusters AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY shift) AS c FROM marked),
+cand AS (SELECT doc_id, item_id, shift, n, 's' || shift AS cid FROM clusters UNION ALL SELECT doc_id, item_id, shift, n, 'c' || c FROM clusters),
+near AS (SELECT doc_id, item_id, cid, i, min([greatest(spot - i, i - spot - {window - 1}, 0), -n, shift])[3] AS shift
+         FROM (SELECT cand.*, hits.spot, bt.p AS i FROM cand JOIN hits USING (doc_id, item_id, shift) JOIN bt USING (item_id)) GROUP BY 1, 2, 3, 4),
+agree AS (SELECT near.doc_id, near.item_id, cid, n_tok AS n, bt.x AS x, dt.x AS y FROM near JOIN bt ON bt.item_id = near.item_id AND bt.p = near.i JOIN dt ON dt.doc_id = near.doc_id AND dt.p = near.i + near.shift
+          WHERE {tpl.format(x='bt.x')} = {tpl.format(x='dt.x')}),
+slots AS (SELECT doc_id, item_id, cid, x, max(k) AS k FROM (SELECT doc_id, item_id, cid, x, y, count(*) AS k FROM agree WHERE x < chr(5) GROUP BY 1, 2, 3, 4, 5) GROUP BY 1, 2, 3, 4),
+follow AS (SELECT doc_id, item_id, cid, sum(k) AS f FROM slots GROUP BY 1, 2, 3),
+sums AS (SELECT doc_id, item_id, cid, count(*) / any_value(n) AS coverage, count(*) FILTER (x = y) / any_value(n) AS literal, count(*) FILTER (x < chr(5)) AS n_slots,
+         count(*) FILTER (x < chr(5) AND x <> y) AS n_changed FROM agree GROUP BY 1, 2, 3),
+short AS (SELECT doc_id, item_id, 1.0 AS coverage, len(list_filter(b.tok, lambda x: x < chr(5))) AS n_slots, 0 AS n_changed FROM d JOIN b
+          ON len(b.tok) BETWEEN 1 AND {window - 1} AND (d.tok = b.tok OR (len(b.tok) >= {least} AND contains(chr(6) || array_to_string(d.tok, chr(6)) || chr(6), chr(6) || array_to_string(b.tok, chr(6)) || chr(6))))),
+found AS (SELECT doc_id, item_id, coverage, n_slots, n_changed FROM sums LEFT JOIN follow USING (doc_id, item_id, cid)
+          WHERE coverage >= {min_coverage} AND (literal >= {min_coverage} OR coalesce(f, 0) >= {min_consistent} * n_slots) UNION ALL SELECT * FROM short)
 SELECT doc_id, item_id, coverage, CAST(n_slots AS BIGINT) AS n_slots, CAST(n_changed AS BIGINT) AS n_changed
 FROM found QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY coverage DESC, n_changed, n_slots DESC) = 1
 """
