@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is written as
 Parquet and read again as the next one's documents. All but the last return the columns of ``documents``.
-Rows without an id are never dropped as copies or leaks; empty texts have no set, no window and no tokens.
+Rows without an id are never dropped as copies; empty texts have no set, no window and no tokens.
 """
 
 from __future__ import annotations
@@ -14,10 +14,18 @@ from waveloom.llm import jaccard, pieces, quality, substring, templates
 from waveloom.llm.common import Scratch, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose quality score is 0.7 or more; learned from all labelled documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, names=("_score", "_predicted")).filter("_predicted = 1").select(*docs.columns)
+    names = tuple(_free(docs, n) for n in ("score", "predicted"))
+    return quality.score(docs, model, names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,16 +42,22 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 13 words and more that a document with a smaller id has; other documents keep their text as it is."""
-    out = substring.remove_repeats(docs, tidy=False)
+    taken = [c for c in docs.columns if c in ("_chunk", "_n_words", "_n_removed")]
+    aside = {c: _free(docs, f"_own{c}") for c in taken}
+    out = substring.remove_repeats(docs.withColumnsRenamed(aside), tidy=False)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with other numbers or names."""
-    leaks = templates.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item, also with other numbers or names; those without an id too.
+
+    A row's key is its id and a hash of its text, so rows that share an id, or have none, are judged each by its own text.
+    """
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    leaks = templates.find_leaks(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks.select(F.col("doc_id").alias("_leak")), key == F.col("_leak"), "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
