@@ -124,7 +124,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_cover
     run = F.struct((-F.size("ats")).alias("few"), "shift", "ats")
     one = runs.select("doc_id", "item_id", F.array(run).alias("runs"))
     together = runs.groupBy("doc_id", "item_id", "cluster").agg(F.collect_list(run).alias("runs")).filter(F.size("runs") > 1).select("doc_id", "item_id", "runs")
-    held, _ = scratch.land(texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("_text")).alias("d")))
+    # written, so that the planner knows its size before it chooses how the texts meet it
+    ids, _ = scratch.land(hits.select("doc_id").distinct())
+    held, _ = scratch.land(texts.join(ids, "doc_id", "left_semi").select("doc_id", tokens(F.col("_text")).alias("d")))
 
     def shift_at(i):
         away = lambda r: F.array_min(F.transform(r["ats"], lambda a: F.greatest(a - i, i - a - (window - 1), F.lit(0))))
