@@ -604,38 +604,48 @@ def combined_score(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("combined_score", s)
 
 
-def feature_metrics(vectors: DataFrame, dim: int, n_folds: int = 5) -> DataFrame:
+def feature_metrics(vectors: DataFrame, dim: int, n_folds: int = 5, max_iter: int = 8000) -> DataFrame:
     """CLU18: the ten metrics of ``combined_score`` of one set of vectors (vec_id, subject_id, label, x), as one row.
 
     The probe reads subject centroids, fold by fold, to convergence; its std over folds is that of the population.
     """
     cen = land(mean_vectors(vectors, [S, "label"], dim, name="x"))
     folds = land(stratified_folds(cen.select(S, "label"), n_folds).select("fold", S, (F.col("role") == "test").alias("_test")))
-    every = (1 << n_folds) - 1
-    rows = cen.join(folds.filter("_test").select(S, F.col("fold").cast("long").alias("fold")), S).withColumn("train", F.lit(every) - F.pow(F.lit(2), F.col("fold")).cast("long"))
-    pred = probes.probe_folds({"centroid": rows}, n_folds, 3, [S]).withColumnRenamed("label", "true_label")
+    pred = None
+    for fold in range(n_folds):
+        r = land(cen.join(folds.filter(F.col("fold") == fold), S))
+        p = linear_probe(r.filter("not _test"), r.filter("_test"), balanced=True, max_iter=max_iter, converge=True).select("fold", F.col("label").alias("true_label"), "pred_label")
+        pred = p if pred is None else pred.unionByName(p)
     out = ev.summary_rates(ev.confusion(pred, keys=["fold"]), ["fold"]).agg(
         F.avg("macro_f1").alias("probe_macro_f1_mean"), F.stddev_pop("macro_f1").alias("probe_macro_f1_std"),
         F.avg("balanced_accuracy").alias("probe_bal_acc_mean"), F.stddev_pop("balanced_accuracy").alias("probe_bal_acc_std"))
-    out = attach(out, knn_purity(vectors).select("knn_class_purity_mean", "knn_subject_purity_mean"), [])
-    for name, v in (("segment", vectors), ("subject", cen)):
+    return attach(out, geometry_metrics(vectors, dim), [])
+
+
+def geometry_metrics(vectors: DataFrame, dim: int) -> DataFrame:
+    """CLU18: the six of the ten metrics that read the vectors alone: neighbour purities, and match rates and scatter ratios of windows and subject centroids."""
+    out = knn_purity(vectors).select("knn_class_purity_mean", "knn_subject_purity_mean")
+    for name, v in (("segment", vectors), ("subject", land(mean_vectors(vectors, [S, "label"], dim, name="x")))):
         out = attach(out, nearest_class(v, dim).agg(F.avg(F.col("matches").cast("int")).alias(f"{name}_centroid_match_rate")), [])
         out = attach(out, scatter_ratio(v, dim).select(F.col("ratio").alias(f"bw_scatter_ratio_{name}s")), [])
     return out
 
 
-def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int, classes: int = 3, ids: Sequence[str] = ("graph_id",)) -> DataFrame:
+def worthiness_report(vectors: dict[str, DataFrame], folds: DataFrame, stability: DataFrame, n_folds: int, max_iter: int = 8000) -> DataFrame:
     """CLU19: per fold and representation, subject-level rates of a balanced linear probe, with the stability of the graphs.
-
-    ``vectors`` maps a representation (node flat, node mean, edge, combined) to rows (ids.., subject_id, label, x). The probes of all folds and
-    representations are fitted together."""
-    bit = F.pow(F.lit(2), F.col("fold")).cast("long")
-    role = land(folds.groupBy(S).agg(F.max(F.when(F.col("role") == "test", F.col("fold"))).cast("long").alias("fold"), F.sum(F.when(F.col("role") == "train", bit).otherwise(F.lit(0))).alias("train")))
-    rows = {name: v.join(role, S).withColumn("fold", F.coalesce("fold", F.lit(-1))) for name, v in vectors.items()}
-    p = probes.probe_folds(rows, n_folds, classes, [*ids, S]).withColumnRenamed("label", "true_label")
-    keys = ["fold", "name"]
-    m = ev.summary_rates(ev.confusion(ev.soft_vote(p, classes, [*keys, S]), keys=keys), keys)
-    return attach(m.withColumnRenamed("name", "representation"), stability, [])
+    A probe that does not converge raises.
+
+    ``vectors`` maps a representation (node flat, node mean, edge, combined) to rows (subject_id, label, x)."""
+    out = None
+    for fold in range(n_folds):
+        role = folds.filter(F.col("fold") == fold).select(S, "role")
+        for name, v in vectors.items():
+            r = land(v.join(role, S))
+            p = linear_probe(r.filter("role = 'train'"), r.filter("role = 'test'"), balanced=True, max_iter=max_iter, converge=True)
+            voted = ev.soft_vote(p.withColumnRenamed("label", "true_label"), 3, [S])
+            m = ev.summary_rates(ev.confusion(voted)).select(F.lit(fold).alias("fold"), F.lit(name).alias("representation"), "accuracy", "macro_f1", "n_samples")
+            out = m if out is None else out.unionByName(m)
+    return attach(out, stability, [])
 
 
 def segment_vectors(summary: DataFrame, graphs: DataFrame, mode: str = "summary_only", target_nodes: int = 23) -> DataFrame:

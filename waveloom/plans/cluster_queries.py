@@ -350,6 +350,36 @@ def _(t):
     return cl.combined_score(m.select("fold", F.col("macro_f1").alias("probe_macro_f1_mean"), F.col("balanced_accuracy").alias("probe_bal_acc_mean"), F.col("accuracy").alias("probe_macro_f1_std")))
 
 
+def _score_sql():
+    """The ten metrics: rates of the given predictions over folds, and the geometry of windows and subject centroids with the subject's class."""
+    seg = "(SELECT vec_id AS id, subject_id % 3 AS label, k, x FROM v_vec)"
+    sub = "(SELECT subject_id AS id, subject_id % 3 AS label, k, avg(x) AS x FROM v_vec GROUP BY 1, 2, 3)"
+    mean = "(SELECT label, k, avg(x) AS mu, count(*) AS n FROM {0} GROUP BY 1, 2)"
+    match = ("(SELECT avg((y = near)::INT) FROM (SELECT id, min(y) AS y, arg_min(label, d) AS near FROM (SELECT v.id, v.label AS y, c.label, sqrt(sum(pow(v.x - c.mu, 2))) AS d FROM {0} v JOIN "
+             + mean + " c ON c.k = v.k GROUP BY 1, 2, 3) GROUP BY 1))")
+    ratio = ("(SELECT sum(c.n * pow(c.mu - g.mu, 2)) FROM " + mean + " c JOIN (SELECT k, avg(x) AS mu FROM {0} GROUP BY 1) g USING (k)) / (SELECT sum(pow(v.x - c.mu, 2)) FROM {0} v JOIN "
+             + mean + " c ON c.label = v.label AND c.k = v.k)")
+    names = ", ".join(n for n, _ in cl.COMBINED_WEIGHTS)
+    return f"""
+    WITH r AS ({rates_sql('fold')}), knn AS (SELECT avg(c) AS c, avg(s) AS s FROM (SELECT i, avg((s1 % 3 = s2 % 3)::INT) AS c, avg((s1 = s2)::INT) AS s FROM (
+      SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM {_PAIRS}) WHERE r <= 10 GROUP BY 1)),
+    m AS (SELECT avg(macro_f1) AS probe_macro_f1_mean, avg(balanced_accuracy) AS probe_bal_acc_mean, (SELECT c FROM knn) AS knn_class_purity_mean, {match.format(seg)} AS segment_centroid_match_rate,
+      {match.format(sub)} AS subject_centroid_match_rate, {ratio.format(seg)} AS bw_scatter_ratio_segments, {ratio.format(sub)} AS bw_scatter_ratio_subjects, (SELECT s FROM knn) AS knn_subject_purity_mean,
+      stddev_pop(macro_f1) AS probe_macro_f1_std, stddev_pop(balanced_accuracy) AS probe_bal_acc_std FROM r)
+    SELECT {names}, {' + '.join(f'({w}) * {n}' for n, w in cl.COMBINED_WEIGHTS)} AS combined_score FROM m"""
+
+
+@query("clu18_score_of_ten", " ".join(f"{name}:d" for name, _ in cl.COMBINED_WEIGHTS) + " combined_score:d", _score_sql())
+def _(t):
+    """Ten real metrics: rates of the given predictions over folds in the place of a fitted probe, so that SQL can follow."""
+    from ..operators import evaluation as ev
+
+    m = ev.summary_rates(ev.confusion(t.preds, keys=["fold"]), ["fold"]).agg(
+        F.avg("macro_f1").alias("probe_macro_f1_mean"), F.stddev_pop("macro_f1").alias("probe_macro_f1_std"),
+        F.avg("balanced_accuracy").alias("probe_bal_acc_mean"), F.stddev_pop("balanced_accuracy").alias("probe_bal_acc_std"))
+    return cl.combined_score(cl.attach(m, cl.geometry_metrics(t.vectors.withColumn("label", F.col("subject_id") % 3), _DIM), []))
+
+
 @query("clu18_ten_metrics", " ".join(f"{name}:d4" for name, _ in cl.COMBINED_WEIGHTS) + " combined_score:d4")
 def _(t):
     return cl.combined_score(cl.feature_metrics(t.vectors.withColumn("label", F.col("subject_id") % 3), _DIM))
