@@ -562,3 +562,10 @@ def test_forest_runs_and_probe_convergence(spark):
     assert windows.count() == 72 and subjects.count() == 12 and got[(15, "test")][1] == 1.0
     with pytest.raises(RuntimeError):
         cl.linear_probe(v, v, max_iter=2, converge=True)
+
+
+def test_contingency_of_counts_beyond_a_long(spark):
+    """Products of three counts (here 1.35e19) leave the range of a long."""
+    df = spark.range(6_000_000).select((F.col("id") % 2).alias("cluster"), (F.floor(F.col("id") / 2) % 2).alias("label"))
+    r = cl.contingency_metrics(df).first()
+    assert r["n"] == 6_000_000 and abs(r["chi2"]) < 1e-6 and abs(r["mutual_info"]) < 1e-12 and r["dof"] == 1
