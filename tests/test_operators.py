@@ -569,3 +569,27 @@ def test_contingency_of_counts_beyond_a_long(spark):
     df = spark.range(6_000_000).select((F.col("id") % 2).alias("cluster"), (F.floor(F.col("id") / 2) % 2).alias("label"))
     r = cl.contingency_metrics(df).first()
     assert r["n"] == 6_000_000 and abs(r["chi2"]) < 1e-6 and abs(r["mutual_info"]) < 1e-12 and r["dof"] == 1
+
+
+def test_positions_of_keys_that_span_partitions(spark):
+    """Null and NaN keys, a heavy key over many partitions, and rows written once without the columns that only order them."""
+    key = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 11 == 1, float("nan")).when(F.col("id") % 11 < 9, 1.0).otherwise(F.col("id").cast("double"))
+    df = spark.range(20000).select(key.alias("k"), "id", (-F.col("id")).alias("o"))
+    p = od.positions(df, ["k"], ["o"], "p", keep=["id"])
+    assert p.columns == ["k", "id", "p"]
+    got = {r["id"]: r["p"] for r in p.collect()}
+    by = {}
+    for i in range(19999, -1, -1):
+        g = "null" if i % 11 == 0 else "nan" if i % 11 == 1 else "one" if i % 11 < 9 else i
+        assert got[i] == by.get(g, 0)
+        by[g] = by.get(g, 0) + 1
+    assert "Exchange" not in od.positions(df, ["k"], ["o"], "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert p._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 0
+
+
+def test_thinned_rows_hold_the_first_of_every_key(spark):
+    df = spark.range(30000).select((F.col("id") % 7).alias("epoch"), F.when(F.col("id") % 13 > 0, F.col("id") % 13).alias("subject_id"), F.col("id").alias("segment_id"), F.md5(F.col("id").cast("string")).alias("_h"))
+    thin = sel._thin(df, ["epoch", "subject_id"], ["_h", "segment_id"], 5)
+    first = lambda d: {tuple(r) for r in sel.pick_first(d, ["epoch", "subject_id"], F.col("_h"), F.col("segment_id"), k=5).select("epoch", "subject_id", "segment_id").collect()}
+    assert thin.count() < 30000 / 3
+    assert first(thin) == first(df)

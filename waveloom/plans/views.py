@@ -39,10 +39,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _stored(self, name: str, build) -> DataFrame:
+    def _stored(self, name: str, build, written: bool = False) -> DataFrame:
+        """``written``: what ``build`` returns reads a table that it has written itself."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORE:
-            _STORE[key] = land(build())
+            _STORE[key] = build() if written else land(build())
         return _STORE[key]
 
     # ---- recordings ----
@@ -140,18 +141,17 @@ class Tables:
             li = self.table("lineitem")
             cols = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
                     "l_returnflag", "l_linestatus", "l_shipdate"]
-            m = positions(li, ["l_suppkey"], cols, "segment_id")
+            kept = [F.pmod("l_partkey", F.lit(6)).alias("cluster"), (F.col("l_returnflag") != "R").alias("keep_clean"),
+                    F.exp(-10 * F.col("l_discount")).alias("sampling_weight"), (F.col("l_extendedprice") / 1e5).alias("distance"),
+                    (-F.col("l_tax")).alias("score")]
+            m = positions(li.select("l_suppkey", *cols), ["l_suppkey"], cols, "segment_id", keep=kept)
             return m.select(
-                F.col("l_suppkey").alias("subject_id"), "segment_id",
-                F.pmod("l_partkey", F.lit(6)).alias("cluster"),
-                (F.col("l_returnflag") != "R").alias("keep_clean"),
-                F.exp(-10 * F.col("l_discount")).alias("sampling_weight"),
-                (F.col("l_extendedprice") / 1e5).alias("distance"),
-                (-F.col("l_tax")).alias("score"), (F.col("l_suppkey") % 3).alias("label"),
+                F.col("l_suppkey").alias("subject_id"), "segment_id", "cluster", "keep_clean", "sampling_weight", "distance", "score",
+                (F.col("l_suppkey") % 3).alias("label"),
                 F.when(F.col("l_suppkey") % 5 == 0, "test").when(F.col("l_suppkey") % 5 == 1, "val")
                 .otherwise("train").alias("split"))
 
-        return self._stored("manifest", build)
+        return self._stored("manifest", build, written=True)
 
     @cached_property
     def preds(self) -> DataFrame:
