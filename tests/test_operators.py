@@ -593,3 +593,17 @@ def test_thinned_rows_hold_the_first_of_every_key(spark):
     first = lambda d: {tuple(r) for r in sel.pick_first(d, ["epoch", "subject_id"], F.col("_h"), F.col("segment_id"), k=5).select("epoch", "subject_id", "segment_id").collect()}
     assert thin.count() < 30000 / 3
     assert first(thin) == first(df)
+
+
+def test_nearest_moves_blocks_once_per_group(spark):
+    """Rows without groups: what moves is far less than a pair of vectors per block pair; k per visit no longer return."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 6))
+    v = spark.createDataFrame([(i, i % 5, i % 3, [float(a) for a in r]) for i, r in enumerate(x)], "vec_id long, subject_id long, label long, x array<double>")
+    n = cl.nearest(v, 4, block=30)
+    got = {(r["id"], r["rank"]): r["o"] for r in n.collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert all(got[i, k + 1] == o for i in range(1200) for k, o in enumerate(np.argsort(d[i], kind="stable")[:4]))
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Generate" not in plan
