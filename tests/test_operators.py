@@ -17,6 +17,7 @@ from waveloom.operators import kernels as K
 from waveloom.operators import ordered as od
 from waveloom.operators import recordings as rec
 from waveloom.operators import selection as sel
+from waveloom.operators import stats as st
 from waveloom.operators import windows as win
 from waveloom.sources import store
 
@@ -607,3 +608,15 @@ def test_nearest_moves_blocks_once_per_group(spark):
     assert all(got[i, k + 1] == o for i in range(1200) for k, o in enumerate(np.argsort(d[i], kind="stable")[:4]))
     plan = n._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan and "Generate" not in plan
+
+
+def test_bootstrap_draws_are_spread_over_tasks(spark, monkeypatch):
+    """Draws grow with the input, so their tasks do; the widths do not depend on the number of tasks."""
+    edges = spark.range(3000).select((F.col("id") % 3).alias("subject_id"), F.floor(F.col("id") / 3).alias("segment_id"), F.lit(0).alias("i"), F.lit(1).alias("j"), F.randn(1).alias("w"))
+    made = []
+    kind, plain = type(edges), type(edges).repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, *a: made.append(a) or plain(df, *a))
+    want = {r["subject_id"]: r["ci_width"] for r in st.bootstrap_widths(edges, draws=20).collect()}
+    monkeypatch.setattr(st, "PER_TASK", 2000)
+    got = {r["subject_id"]: r["ci_width"] for r in st.bootstrap_widths(edges, draws=20).collect()}
+    assert [a[0] for a in made] == [8, 31] and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)

@@ -14,6 +14,7 @@ from .ordered import _same, attach, positions, quantiles, running, tie_table
 
 
 CHUNK = 1 << 16
+PER_TASK = 1 << 20  # draws that one task makes, about
 
 # ---- feature tables -----------------------------------------------------------------------------
 
@@ -199,7 +200,10 @@ def bootstrap_widths(edges: DataFrame, *, draws: int = 200, low: float = 0.025,
     size = seg.groupBy("subject_id").agg(F.count("*").alias("_T"))
     # draws are made in chunks of bounded length, spread over the cluster before they are expanded
     d = size.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_T") - 1) / CHUNK))))
-    d = d.repartition("subject_id", "_b", "_k").withColumn("_d", F.explode(F.sequence(F.col("_k") * CHUNK, F.least((F.col("_k") + 1) * CHUNK, F.col("_T")) - 1))).drop("_k")
+    # chunks are small rows, which adaptive execution would gather in one task: their partitions are counted by the draws that they stand for
+    total = (size.agg(F.sum("_T")).first()[0] or 0) * draws
+    width = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_TASK + 1)
+    d = d.repartition(width, "subject_id", "_b", "_k").withColumn("_d", F.explode(F.sequence(F.col("_k") * CHUNK, F.least((F.col("_k") + 1) * CHUNK, F.col("_T")) - 1))).drop("_k")
     d = d.withColumn("_p", random_below("_T", F.lit(seed), "subject_id", "_b", "_d")).groupBy("subject_id", "_p", "_b").agg(F.count("*").alias("_c"))
     cnt = d.groupBy("subject_id", "_p").agg(F.collect_list(F.struct("_b", "_c")).alias("_bc"))
     m = seg.join(cnt, ["subject_id", "_p"]).join(size, "subject_id").select("subject_id", segment, "_bc", "_T")
