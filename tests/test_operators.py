@@ -620,3 +620,20 @@ def test_bootstrap_draws_are_spread_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(st, "PER_TASK", 2000)
     got = {r["subject_id"]: r["ci_width"] for r in st.bootstrap_widths(edges, draws=20).collect()}
     assert [a[0] for a in made] == [8, 31] and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_grid_sums_of_all_models_of_a_shape():
+    """Models taken together by shape give the sums and counts of each model on its own; the first of equally near centres wins."""
+    from waveloom.operators import grids
+
+    rng = np.random.default_rng(3)
+    specs = [(2, 3), (4, 5), (2, 3), (4, 2)]
+    models = grids.Models(specs, [np.round(rng.standard_normal((k, d))) for d, k in specs])
+    m = np.round(rng.standard_normal((300, 4)))
+    got, want = ([np.zeros(k * (d + 1)) for d, k in specs] for _ in range(2))
+    models.add_sums(m, got)
+    for i, x, near, _ in models.labels(m):
+        s = want[i].reshape(specs[i][1], -1)
+        np.add.at(s[:, :-1], near, x)
+        s[:, -1] += np.bincount(near, minlength=len(s))
+    assert all(np.allclose(a, b) for a, b in zip(got, want))
