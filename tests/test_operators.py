@@ -596,6 +596,17 @@ def test_thinned_rows_hold_the_first_of_every_key(spark):
     assert first(thin) == first(df)
 
 
+def test_thinning_follows_sparks_order_for_several_choices(spark):
+    """Descending keys, nulls, NaN and both zeros lie as in Spark; the rows of two choices stay in one pass."""
+    odd = F.when(F.col("id") % 11 == 0, None).when(F.col("id") % 17 == 0, float("nan")).when(F.col("id") % 5 == 0, -0.0).when(F.col("id") % 7 == 0, 0.0).otherwise((F.col("id") * 37 % 1009).cast("double"))
+    df = spark.range(0, 24000, 1, 1).select((F.col("id") % 4).alias("subject_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("cluster"), F.col("id").alias("segment_id"), odd.alias("v"))
+    thin = sel._thin(df, ["subject_id", "cluster"], ["-v", "segment_id"], 3, (["subject_id"], ["v", "segment_id"], 900))
+    for keys, by, k in ((["subject_id", "cluster"], F.desc("v"), 3), (["subject_id"], F.col("v"), 900)):
+        first = lambda d: {r["segment_id"] for r in sel.pick_first(d, keys, by, F.col("segment_id"), k=k).select("segment_id").collect()}  # noqa: E731, B023
+        assert first(thin) == first(df)
+    assert thin.count() < 20000
+
+
 def test_nearest_moves_blocks_once_per_group(spark):
     """Rows without groups: what moves is far less than a pair of vectors per block pair; k per visit no longer return."""
     rng = np.random.default_rng(3)
