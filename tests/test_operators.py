@@ -607,6 +607,22 @@ def test_thinning_follows_sparks_order_for_several_choices(spark):
     assert thin.count() < 20000
 
 
+@pytest.mark.parametrize("strategy", [s for s in sel.STRATEGIES if s != "keep_clean"])
+def test_choices_drop_rows_before_any_sort(spark, strategy):
+    """A sort of whole subjects spills: between the manifest and the first ranking stands the thinning step (or a count)."""
+    lines = sel.select(manifest(spark), strategy, 6, 3)._jdf.queryExecution().sparkPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-*")) for x in lines]
+    leaves = [i for i, x in enumerate(lines) if " Range " in f" {x.lstrip(' :+-*')} "]
+    assert leaves
+    for leaf in leaves:
+        at, first = leaf, None
+        for i in range(leaf - 1, -1, -1):
+            if depth[i] < depth[at]:
+                at = i
+                first = first or next((w for w in ("MapInArrow", "WindowGroupLimit", "Window", "Aggregate") if w in lines[i].split("[")[0]), None)
+        assert first in ("MapInArrow", "Aggregate"), lines
+
+
 def test_nearest_moves_blocks_once_per_group(spark):
     """Rows without groups: what moves is far less than a pair of vectors per block pair; k per visit no longer return."""
     rng = np.random.default_rng(3)
