@@ -283,6 +283,15 @@ def test_proportional_allocation_caps(spark):
     assert (a["allocated"] <= a["n"]).all()
 
 
+def test_allocation_needs_no_group_per_subject(spark):
+    """Subjects go through Arrow batches, not one Python group each; a cluster or subject without id keeps its slots."""
+    m = manifest(spark).withColumn("cluster", F.when(F.col("cluster") > 0, F.col("cluster"))).withColumn("subject_id", F.when(F.col("subject_id") != 2, F.col("subject_id")))
+    d = sel.allocate_clusters(m, 10)
+    assert "InPandas" not in d._jdf.queryExecution().sparkPlan().toString()
+    a = d.groupBy("subject_id").agg(F.sum("allocated").alias("a"), F.sum("n").alias("n")).collect()
+    assert {r["subject_id"]: r["a"] for r in a} == {s: 3 if s == 9 else 10 for s in (0, None, 1, 3, 4, 5, 6, 9)} and sum(r["n"] for r in a) == 900
+
+
 def test_pseudo_bags(spark):
     b = sel.pseudo_bags(manifest(spark), n_bags=30, k=10, subjects_per_bag=3).toPandas()
     assert (b.groupby("bag").size() == 10).all() and (b.groupby("bag")["slot"].nunique() == 10).all()
