@@ -112,3 +112,19 @@ def test_ranked_ids_equal_the_library(files):
     assert len(texts) > 8
     for t in texts:
         assert pair.encode([t])[0][0] == pair.a.encode(" " + t, add_special_tokens=False).ids
+
+
+def test_chunks_in_small_row_groups(spark, docs, files, monkeypatch):
+    """A task holds few chunks at a time, however many it writes to a file or reads from it."""
+    from pyarrow import parquet as pq
+    from waveloom.llm import common
+
+    paths, land = [], common.Scratch.land
+    monkeypatch.setattr(alignment, "_GROUP", 1 << 10)
+    monkeypatch.setattr(common.Scratch, "land", lambda self, *a: paths.append(land(self, *a)) or paths[-1])
+    some = docs.coalesce(1)
+    got = {(r["doc_id"], r["n_links"], r["count_sum"], r["groups_sha256"]) for r in alignment.align(some, files, 4 << 10).collect()}
+    chunks = [pq.ParquetFile(f.removeprefix("file:")) for f in paths[0][0].inputFiles()]
+    sizes = [m.row_group(k).num_rows for m in (f.metadata for f in chunks) for k in range(m.num_row_groups)]
+    assert sum(sizes) > 10 and max(sizes) <= 2
+    assert got == {(r["doc_id"], r["n_links"], r["count_sum"], r["groups_sha256"]) for r in alignment.align(some, files).collect()}

@@ -20,6 +20,8 @@ from .common import Scratch, gather, slices, table, utf8, utf8_bytes
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: characters whose class (letter, number, space) every version of Unicode agrees on
 _SETTLED = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*+\Z")
+#: bytes of chunks that a task holds while it writes or reads them
+_GROUP = 8 << 20
 _LOADED: dict[int, Pair] = {}
 
 
@@ -174,7 +176,8 @@ def align(df: DataFrame, files: tuple[bytes, bytes], chunk_bytes: int = 8 << 20,
     rows and rows with a null id count like any other. An empty table gives no rows. Other columns are not read.
 
     Rows are worked in chunks of about ``chunk_bytes`` of text (a longer text is a chunk of its own; its arrays are bounded
-    by its length). A chunk is encoded once and written with the places of its links in its list of distinct id pairs. The
+    by its length). A chunk is encoded once and written with the places of its links in its list of distinct id pairs; files hold
+    few chunks per row group, so the memory of a task does not grow with the number of its chunks. The
     lists are summed by pair; each pair goes back once to each chunk that has it. So texts and links never move,
     and a pair that all texts share is one row per chunk. The highest count per B id is a table of one row
     per entry of B's vocabulary.
@@ -218,7 +221,7 @@ def align(df: DataFrame, files: tuple[bytes, bytes], chunk_bytes: int = 8 << 20,
 
     n_b = sentencepiece.SentencePieceProcessor(model_proto=files[1]).get_piece_size()
     chunks, _ = scratch.land(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        encode, f"chunk long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, spot binary, width int, pairs array<long>, times array<long>"))
+        encode, f"chunk long, ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, spot binary, width int, pairs array<long>, times array<long>"), _GROUP)
     lists = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("chunk", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     total, _ = scratch.land(lists.groupBy("pair").agg(F.sum("times").alias("count")))
     most = total.groupBy((F.col("pair") % n_b).alias("b")).agg(F.max("count").alias("most"))
