@@ -673,3 +673,15 @@ def test_grid_sums_of_all_models_of_a_shape():
         np.add.at(s[:, :-1], near, x)
         s[:, -1] += np.bincount(near, minlength=len(s))
     assert all(np.allclose(a, b) for a, b in zip(got, want))
+
+
+def test_quantile_labels_take_one_set_of_scores(spark):
+    """Scores that come out a little lower each time they are computed: the 9th and 17th of 25 are the quantiles themselves and not below them."""
+    import time
+
+    later = F.udf(lambda k: float(k) - time.time() * 1e-6, "double").asNondeterministic()
+    subjects = spark.range(25).select(F.col("id").alias("subject_id"), later("id").alias("score"))
+    got = {r["subject_id"]: r["fake_label"] for r in gr.quantile_labels(subjects).collect()}
+    assert got == {k: 0 if k < 8 else 1 if k < 16 else 2 for k in range(25)}
+    got = {r["subject_id"]: r["fake_label"] for r in gr.quantile_labels(subjects, 2).collect()}
+    assert got == {k: int(k > 12) for k in range(25)}

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import EPS, a_dot, a_mean, c, over, pick_first, random_hex
 from . import kernels as K
 from .connectivity import feature_similarity, mirror
+from .landing import land
 from .ordered import attach, positions, quantiles
 
 G = ("graph_id",)
@@ -678,7 +679,11 @@ def subject_scores(scores: DataFrame, value: str, how: str = "mean", *, top_rati
 
 
 def quantile_labels(subjects: DataFrame, classes: int = 3, score: str = "score") -> DataFrame:
-    """GRA24: two classes by > median, or three by < the exact 1/3 and 2/3 quantiles."""
+    """GRA24: two classes by > median, or three by < the exact 1/3 and 2/3 quantiles.
+
+    Scores are written once: a sum of doubles computed again may differ in its last digit, and a quantile that is itself a score would miss it.
+    """
+    subjects = land(subjects)
     if classes == 2:
         q = quantiles(subjects, [], score, {"_q1": 0.5})
         return attach(subjects, q, []).withColumn("fake_label", F.when(F.col(score) > F.col("_q1"), 1).otherwise(0)).drop("_q1")
