@@ -685,3 +685,22 @@ def test_quantile_labels_take_one_set_of_scores(spark):
     assert got == {k: 0 if k < 8 else 1 if k < 16 else 2 for k in range(25)}
     got = {r["subject_id"]: r["fake_label"] for r in gr.quantile_labels(subjects, 2).collect()}
     assert got == {k: int(k > 12) for k in range(25)}
+
+
+def test_silhouette_moves_a_block_once_per_group(spark):
+    """Clusters without structure, where every block meets every block: what is shuffled grows with groups of blocks, not with pairs of blocks."""
+    v = spark.range(2000).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("cluster"), F.array(*[F.randn(k).cast("float").cast("double") for k in range(32)]).alias("x"))
+    x = np.array([r[0] for r in v.orderBy("vec_id").select("x").collect()])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own = np.arange(2000) % 3
+    sums = np.stack([d[:, own == k].sum(1) for k in range(3)], 1)
+    n = np.bincount(own)
+    a = sums[np.arange(2000), own] / (n[own] - 1)
+    mean = sums / n
+    mean[np.arange(2000), own] = np.inf
+    b = mean.min(1)
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = shuffled()
+    got = cl.silhouette(v, ["vec_id"], block=20).first()[0]
+    assert got == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()), abs=1e-9)
+    assert shuffled() - before < 2000 * 32 * 8 * 40  # 100 blocks: a pair of vectors for each pair of blocks would be 200 times the rows
