@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.landing import app_dir
+from ..operators.landing import app_dir, grouped
 
 U64 = np.uint64
 
@@ -27,14 +27,9 @@ class Scratch:
         self._n = 0
 
     def land(self, df: DataFrame, group_bytes: int | None = None) -> tuple[DataFrame, str]:
-        """``group_bytes``: size of a row group where a row may be megabytes. A task that writes or reads holds one group at a time; without
-        it the size is looked at every 100 rows only, so all rows of a task may be one group."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        writer = df.write.option("compression", "zstd")
-        if group_bytes:
-            writer = writer.options(**{"parquet.block.size": str(group_bytes), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"})
-        writer.parquet(path)
+        grouped(df.write.option("compression", "zstd"), group_bytes).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
