@@ -700,7 +700,14 @@ def test_silhouette_moves_a_block_once_per_group(spark):
     mean[np.arange(2000), own] = np.inf
     b = mean.min(1)
     shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
-    before = shuffled()
     got = cl.silhouette(v, ["vec_id"], block=20).first()[0]
     assert got == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()), abs=1e-9)
-    assert shuffled() - before < 2000 * 32 * 8 * 40  # 100 blocks: a pair of vectors for each pair of blocks would be 200 times the rows
+    many = spark.range(12000).select(F.col("id").alias("vec_id"), (F.col("id") % 3).alias("cluster"), F.array(*[F.randn(k).cast("float").cast("double") for k in range(32)]).alias("x"))
+    before, small = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large to be broadcast
+    try:
+        cl.silhouette(many, ["vec_id"], block=400).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    moved = shuffled() - before
+    assert moved < 12000 * 32 * 8 * 12, moved  # 30 blocks or more: a block for each pair of blocks would be 30 times the rows
